@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from latticework.llm.embedding_dedup import op1_embedding_dedup
 from latticework.llm.mixing import op3_mixing
 from latticework.llm.sharding import op7_sharding
+from latticework.llm.token_binary import op6_token_binary
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_mixing": op3_mixing,
+    "op6_token_binary": op6_token_binary,
     "op7_sharding": op7_sharding,
 }
 
