@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from latticework.llm.bpe import op10_bpe
 from latticework.llm.embedding_dedup import op1_embedding_dedup
 from latticework.llm.mixing import op3_mixing
 from latticework.llm.sharding import op7_sharding
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op6_token_binary": op6_token_binary,
     "op7_sharding": op7_sharding,
+    "op10_bpe": op10_bpe,
 }
 
 #: DuckDB SQL of those that SQL can express; the others are held against
