@@ -7,15 +7,26 @@ from latticework.llm.embedding_dedup import op1_embedding_dedup
 from latticework.llm.mixing import op3_mixing
 from latticework.llm.sharding import op7_sharding
 from latticework.llm.token_binary import op6_token_binary
+from latticework.llm.warc import op8_warc
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op6_token_binary": op6_token_binary,
     "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
 
 #: DuckDB SQL of those that SQL can express; the others are held against
 #: brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+FROM f""",
+}
