@@ -5,15 +5,19 @@ from __future__ import annotations
 from latticework.llm.bpe import op10_bpe
 from latticework.llm.embedding_dedup import op1_embedding_dedup
 from latticework.llm.mixing import op3_mixing
+from latticework.llm.quality import op4_quality
 from latticework.llm.sharding import op7_sharding
 from latticework.llm.simhash import op2_simhash
 from latticework.llm.token_binary import op6_token_binary
+from latticework.llm.toxicity import op5_toxicity
 from latticework.llm.warc import op8_warc
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_token_binary": op6_token_binary,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
