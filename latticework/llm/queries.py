@@ -5,6 +5,7 @@ from __future__ import annotations
 from latticework.llm.bpe import op10_bpe
 from latticework.llm.embedding_dedup import op1_embedding_dedup
 from latticework.llm.mixing import op3_mixing
+from latticework.llm.ngram_join import op9_ngram_join
 from latticework.llm.quality import op4_quality
 from latticework.llm.sharding import op7_sharding
 from latticework.llm.simhash import op2_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_token_binary": op6_token_binary,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
+    "op9_ngram_join": op9_ngram_join,
     "op10_bpe": op10_bpe,
 }
 
