@@ -23,7 +23,7 @@ def near_pairs(marks: DataFrame, radius: int = 10) -> DataFrame:
     """
     bands = radius + 1
     edges = [64 * i // bands for i in range(bands + 1)]
-    bits = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    bits = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1))
     one = marks.select("simhash").distinct()
     long = one.select("simhash", F.posexplode(F.array(*[bits(F.col("simhash"), i) for i in range(bands)])).alias("band", "key"))
     a, b = long.alias("a"), long.alias("b")
