@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from latticework.llm import words
 from latticework.llm.common import shuffle_width
-from latticework.llm.token_binary import tokenizer
+from latticework.llm.token_binary import encode_words, tokenizer
 
 #: Bytes of text in a block, about (a longer text is a block of its own).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Words whose ids are gathered at once; bytes of ids decoded at once.
+GATHER, DECODE = 1 << 18, 1 << 18
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def _blocks(buckets: int):
         block = _Block()
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, data, offsets in words.text_slices(batch.column(1)):
+            for at, data, offsets in words.text_slices(batch.column(1), 2 << 20):
                 block.add(names[at : at + len(offsets) - 1], data, offsets)
                 if block.held >= BLOCK_BYTES:
                     yield block.rows(buckets)
@@ -130,9 +132,7 @@ def _encode_bucket(path: str):
         starts = ends - size
         _, first, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        coded = [e.ids for e in tokenizer(path).encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum()))
+        flat, lengths = encode_words(path, [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
         begins, at, out = np.cumsum(lengths) - lengths, 0, []
         for row in range(len(table)):
             mine = inverse[at : at + len(sizes[row])]
@@ -143,37 +143,54 @@ def _encode_bucket(path: str):
     return run
 
 
-def _rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
+_CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+
+def _rebuild(path: str, decode: bool):
     """Each text's ids, from its block's numbers and the ids of the block's words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    texts = left.filter(pa.compute.invert(left["words"]))
-    if not len(texts):
-        return schema.empty_table()
-    numbers = np.concatenate([np.cumsum(_widen(_unpack(x)).astype(np.int64)) for x in right["numbers"]] or [np.zeros(0, np.int64)])
-    size = np.concatenate([_widen(_unpack(x)).astype(np.int64) for x in right["lengths"]] or [np.zeros(0, np.int64)])
-    flat = np.concatenate([_widen(_unpack(x)) for x in right["ids"]] or [np.zeros(0, np.uint32)])
-    starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-    if len(numbers):
+    schema = _CODED.append(pa.field("decoded", pa.string())) if decode else _CODED
+
+    def some(names: np.ndarray, counts: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> pa.Table:
+        size = lengths[at]
+        ids = flat[words.spread(starts[at], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
+        begin = np.concatenate([[0], ends[:-1]])
+        columns = [pa.array(names), pa.array(ends - begin), words.cut(ids.view(np.uint8), 4 * begin, 4 * ends)]
+        return pa.table([*columns, _decoded(columns[2], path)] if decode else columns, schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.filter(pa.compute.invert(left["words"]))
+        if not len(texts):
+            return schema.empty_table()
+        numbers = np.concatenate([np.cumsum(_widen(_unpack(x)).astype(np.int64)) for x in right["numbers"]] or [np.zeros(0, np.int64)])
+        size = np.concatenate([_widen(_unpack(x)).astype(np.int64) for x in right["lengths"]] or [np.zeros(0, np.int64)])
+        flat = np.concatenate([_widen(_unpack(x)) for x in right["ids"]] or [np.zeros(0, "<u4")])
+        starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         starts[numbers], lengths[numbers] = np.cumsum(size) - size, size
-    out = []
-    for row in range(len(texts)):
-        names = np.frombuffer(_unpack(texts["a"][row]), np.int64)
-        counts = np.frombuffer(_unpack(texts["b"][row]), "<u4").astype(np.int64)
-        at = _widen(_unpack(texts["c"][row]))
-        if len(at) and at.max() >= len(lengths):
-            raise ValueError("a block lacks ids of its words: its input must read alike each time")
-        ids = flat[words.spread(starts[at], lengths[at])]
-        run = np.concatenate([[0], np.cumsum(lengths[at])])
-        ends = run[np.cumsum(counts)]
-        begin = ends - np.diff(ends, prepend=0)
-        out.append(pa.table([pa.array(names), pa.array(ends - begin), words.cut(ids.astype("<u4").view(np.uint8), 4 * begin, 4 * ends)], schema))
-    return pa.concat_tables(out)
-
-
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        out = []
+        for row in range(len(texts)):
+            names = np.frombuffer(_unpack(texts["a"][row]), np.int64)
+            counts = np.frombuffer(_unpack(texts["b"][row]), "<u4").astype(np.int64)
+            at = _widen(_unpack(texts["c"][row]))
+            if len(at) and at.max() >= len(lengths):
+                raise ValueError("a block lacks ids of its words: its input must read alike each time")
+            ends = np.cumsum(counts)
+            a = 0
+            while a < len(names):
+                first = int(ends[a] - counts[a])
+                b = max(a + 1, int(np.searchsorted(ends, first + GATHER, "right")))
+                out.append(some(names[a:b], counts[a:b], at[first : ends[b - 1]], starts, lengths, flat))
+                a = b
+        return pa.concat_tables(out)
+
+    return run
+
+
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document: ids as little-endian unsigned
     32-bit integers, equal to those of the library on the whole text (without
-    added special tokens, truncation and padding).
+    added special tokens, truncation and padding). ``decode``: also the text of
+    these ids, as ``decode_documents`` gives it, in the same pass.
 
     A null text is empty and has no ids; rows without an id are left out;
     repeated rows are encoded each; an empty table gives an empty result; other
@@ -185,7 +202,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     # one exchange serves both: texts by block and words by bucket
     dealt = rows.mapInArrow(_blocks(width), _SHAPE_SQL).repartition(width, "key")
     coded = dealt.groupBy("key").applyInArrow(_encode_bucket(tokenizer_path), "key long, numbers binary, lengths binary, ids binary")
-    return dealt.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(_rebuild, "doc_id long, n_tokens long, ids binary")
+    return dealt.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(_rebuild(tokenizer_path, decode), "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 @lru_cache(maxsize=4)
@@ -201,21 +218,26 @@ def piece_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
 
 
+def _decoded(column: pa.Array, path: str) -> pa.Array:
+    """The texts of ids: each id joined with its piece's bytes."""
+    data, begins = piece_table(path)
+    out: list[pa.Array] = []
+    for _, raw, offsets in words.text_slices(column, DECODE):
+        ids = raw.view("<u4") if len(raw) else np.zeros(0, "<u4")
+        size = begins[ids + 1] - begins[ids]
+        cuts = np.concatenate([[0], np.cumsum(size)])[offsets // 4]
+        text = words.cut(data[words.spread(begins[ids], size)], cuts[:-1], cuts[1:])
+        try:
+            out.append(text.cast(pa.string()))
+        except pa.ArrowInvalid:  # ids that were not made from a text
+            out.append(pa.array([x.decode("utf-8", "replace") for x in text.to_pylist()], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, begins = piece_table(path)
-        where = None
         for batch in batches:
-            where = batch.schema.get_field_index("ids")
-            for at, raw, offsets in words.text_slices(batch.column(where)):
-                ids = raw.view("<u4") if len(raw) else np.zeros(0, "<u4")
-                size = begins[ids + 1] - begins[ids]
-                run = np.concatenate([[0], np.cumsum(size)])
-                text = data[words.spread(begins[ids], size)]
-                cuts = run[offsets // 4]
-                part = batch.slice(at, len(offsets) - 1)
-                decoded = [x.decode("utf-8", "replace") for x in words.cut(text, cuts[:-1], cuts[1:]).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.string())], [*part.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch["ids"], path)], [*batch.schema.names, "decoded"])
 
     return run
 
@@ -230,5 +252,5 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    both = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, decode=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

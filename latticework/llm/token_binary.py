@@ -122,6 +122,20 @@ def tokenizer(path: str):
     return found
 
 
+#: Words that the library encodes at once; its result for each takes much memory.
+AT_ONCE = 4096
+
+
+def encode_words(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and how many each has."""
+    ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for a in range(0, len(texts), AT_ONCE):
+        coded = [e.ids for e in tokenizer(path).encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+        ids.append(np.fromiter((i for x in coded for i in x), np.uint32, int(lengths[-1].sum())))
+    return np.concatenate(ids), np.concatenate(lengths)
+
+
 class WordEncoder:
     """Ids of words by their hash; each word is encoded when it first comes.
 
@@ -138,12 +152,11 @@ class WordEncoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        coded = [e.ids for e in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        total = int(lengths.sum())
+        ids, lengths = encode_words(self.path, texts)
+        total = len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = ids
         self.at = np.concatenate([self.at, np.arange(len(self.starts), len(self.starts) + len(keys))])
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
@@ -195,7 +208,7 @@ def _write(path: str, end_id: int, folder: str, file_ids: int):
         task = TaskContext.get().partitionId()
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, data, offsets in words.text_slices(batch.column(1)):
+            for at, data, offsets in words.text_slices(batch.column(1), 2 << 20):
                 got, run_at = encoder(data, offsets)
                 n = len(offsets) - 1
                 full = np.insert(got, run_at[1:], np.uint32(end_id))
