@@ -192,3 +192,30 @@ def test_near_pairs_are_all_found(spark, radius):
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= radius}
     table = spark.createDataFrame([(str(i), m) for i, m in enumerate(signed)], "id string, simhash bigint")
     assert {(r.src, r.dst) for r in similar.near_pairs(table, radius).collect()} == want
+
+
+def test_resolution_tiers_and_caps(spark):
+    from latticework.operators import resolve as R
+
+    defs = spark.createDataFrame([("d1", "foo", "a"), ("d2", "foo", "b"), ("d3", "MakeIt", "c"), ("d4", "plain", "c")] + [(f"m{i:02d}", "many", "a") for i in range(20)] + [(f"w{i:02d}", "WideName", f"z{i}") for i in range(40)], "id string, name string, file string")
+    refs = spark.createDataFrame([("r1", "foo", "a"), ("r2", "foo", "x"), ("r3", "MakeIt", "x"), ("r4", "plain", "x"), ("r5", "many", "a"), ("r6", "WideName", "x")], "ref string, name string, file string")
+    imports = spark.createDataFrame([("x", "b"), ("x", "b")], "file string, target string")
+    got = {}
+    for r in R.resolve(refs, defs, imports).collect():
+        got.setdefault(r.ref, []).append((r.target, r.tier))
+    assert got["r1"] == [("d1", 1)] and got["r2"] == [("d2", 2)] and got["r3"] == [("d3", 3)]
+    assert "r4" not in got and "r6" not in got and len(got["r5"]) == 16
+
+
+def test_candidates_reviews_and_views(spark):
+    from latticework.operators import resolve as R
+
+    rows = spark.createDataFrame([("ok", "A", 1), ("ok", "B", 2), ("Bad id", "C", 3), ("blank", " ", 4)], "id string, name string, seq int")
+    kept, warned = R.scan_candidates(rows)
+    assert [r.name for r in kept.collect()] == ["A"]
+    assert {tuple(r) for r in warned.collect()} == {("ok", "duplicate id"), ("Bad id", "invalid id"), ("blank", "empty name")}
+    n = nodes(spark, [("m", "rust_module", "m", "m"), ("f", "file", "f", "f"), ("r", "requirement", "r", "r"), ("p", "python_function", "p", "p")])
+    e = edges(spark, [("m", "f", "contains"), ("p", "r", "declares_implementation"), ("p", "gone")])
+    assert {r.id for r in R.visible(n, e, "overview").collect()} == {"m"}
+    assert {r.id for r in R.visible(n, e, "business").collect()} == {"r", "p"}
+    assert R.visible(n, e, "focus").count() == 4

@@ -132,3 +132,23 @@ def test_ledger_batch_and_stream(spark, tmp_path):
     q.stop()
     time.sleep(0.1)
     assert {(r.command, r.calls, r.total_ms) for r in spark.sql("select * from ledger_test").collect()} == {("a", 1, 10), ("a", 1, 30), ("b", 1, 5)}
+
+
+def test_facts_and_suggestions(spark):
+    from latticework.operators import facts as A
+
+    body = "def f(x):\n  # if return\n  s = 'if'\n  for i in x:\n    if i == None: raise E\n  return open(p)"
+    rows = spark.createDataFrame([("a", body), ("b", "x + 1"), ("c", None)], "id string, body string")
+    got = {r.id: r for r in A.symbol_facts(rows).collect()}
+    a = got["a"]
+    assert (a.branches, a.loops, a.early_returns, a.throws, a.null_checks, a.comparisons) == (1, 1, 1, 1, 1, 1)
+    assert (a.purity, a.impurity) == ("impure", ["io"]) and got["b"].purity == "pure" and got["c"].purity == "unknown"
+    names = {r.suggestion for r in A.suggest_tests(A.symbol_facts(rows)).filter("id = 'a'").collect()}
+    assert names == {"smoke", "branch", "boundary", "null", "error", "loop", "dependency"}
+
+
+@pytest.mark.parametrize("decorator,role", [("router.get('/x')", "fastapi_route"), ("bp.route('/')", "flask_route"), ("shared_task", "background_task"), ("click.command()", "cli_command"), ("app.middleware('http')", "asgi_infrastructure"), ("field_validator('x')", "pydantic_validator"), ("dataclass", "data_class"), ("property", None)])
+def test_framework_roles(spark, decorator, role):
+    from latticework.operators.facts import framework_role
+
+    assert one(spark, decorator, framework_role) == role
