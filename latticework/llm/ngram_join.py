@@ -34,6 +34,8 @@ CHUNK, MET, FREQUENT, MOST = 3 << 20, 3, 6, 1 << 18
 LONGEST, SPLIT = 4, 1 << 16
 #: Cost of verifying a candidate, in list entries read, for each shingle.
 VERIFY = 0.02
+#: Ids and classes that are broadcast to pick texts; more are joined by shuffling the texts.
+FEW_IDS = 1 << 19
 
 
 def _class_key(s: np.ndarray) -> int:
@@ -102,12 +104,12 @@ class _Order:
 
 
 def _prefixes(k: int, order: _Order):
-    """(cls, tokens, salts) of each distinct set of a task."""
+    """(cls, many, tokens, salts) of each distinct set of a task; many: its l."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = words.Shingles(k), set()
         for batch in batches:
-            cls, tokens, salts = [], [], []
+            cls, many, tokens, salts = [], [], [], []
             for s in shingles(batch["text"]):
                 key = _class_key(s) if len(s) else None
                 if key is None or key in seen:
@@ -115,25 +117,25 @@ def _prefixes(k: int, order: _Order):
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(key)
-                token, count, _ = order.prefix(s)
+                token, count, best = order.prefix(s)
                 cls.append(key)
+                many.append(best)
                 tokens.append(token.view(np.int64))
                 parts = 1 + count // SPLIT
                 salts.append(np.where(parts > 1, 1 + (key & 0xFFFFFFFF) % parts, 0).astype(np.int32))
             at = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t))) for x, t in ((tokens, np.int64), (salts, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), *lists], ["cls", "tokens", "salts"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(many, pa.int32()), *lists], ["cls", "many", "tokens", "salts"])
 
     return run
 
 
-def _sets(k: int, order: _Order):
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = words.Shingles(k)
         for batch in batches:
-            rows = [(_class_key(s), len(s), order.prefix(s)[2], s.tobytes()) if len(s) else (None, 0, 0, b"") for s in shingles(batch["text"])]
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["wanted"], *cols], ["doc", "wanted", "cls", "n", "many", "shingles"])
+            rows = [(_class_key(s), s.tobytes()) if len(s) else (None, b"") for s in shingles(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["wanted"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["wanted", "cls", "shingles"])
 
     return run
 
@@ -156,14 +158,32 @@ def _verify(numerator: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs of documents (a, b) of ``pairs`` (x, y: classes; shared)."""
-    short = lambda s, c: sets.select(F.col("cls").alias(c), F.col("doc").alias(s), F.col("n").alias(f"{s}_n"), F.col("many").alias(f"{s}_many"))
-    near = pairs.join(short("a", "x"), "x").join(short("b", "y"), "y")
-    near = near.filter((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("shared") >= F.least("a_many", "b_many"))).select("x", "y", "a", "b")
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes (x, y, shared) that may link, with their documents (a, b).
+
+    Both must be of like size and share enough of their prefixes: at least the
+    smaller l, and enough that with all that follows the prefix that ends first
+    in the global order (r - l shingles at most) the overlap can be reached.
+    """
+    known = lambda s, c: classes.select(F.col("cls").alias(c), F.col("doc").alias(s), F.col("n").alias(f"{s}_n"), F.col("many").alias(f"{s}_many"))
+    near = pairs.join(known("a", "x"), "x").join(known("b", "y"), "y")
+    rest = lambda s: F.greatest(F.ceil(F.col(f"{s}_n") * percent / 100) - F.col(f"{s}_many"), F.lit(0))
+    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    alike = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    enough = (F.col("shared") >= F.least("a_many", "b_many")) & (F.col("shared") + F.greatest(rest("a"), rest("b")) >= overlap)
+    return materialize(near.filter(alike & enough).select("x", "y", "a", "b"), "candidates")
+
+
+def _links(near: DataFrame, rows: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
+    """The candidates (a, b) that link: their sets are made again from their texts."""
+    wanted = near.select(F.col("x").alias("wanted"), F.col("a").alias("doc_id")).unionAll(near.select("y", "b")).distinct()
+    if wanted.count() <= FEW_IDS:  # two numbers a row: its size is known, beyond it the texts are shuffled
+        wanted = F.broadcast(wanted)
+    sets = rows.join(wanted, "doc_id").select("wanted", "text").mapInArrow(_sets(k), "wanted long, cls long, shingles binary").filter("cls = wanted").select("cls", "shingles")
+    sets = materialize(sets.dropDuplicates(["cls"]) if repeated else sets, "sets")
     whole = lambda s, c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"{s}_shingles"))
     both = near.join(whole("a", "x"), "x").join(whole("b", "y"), "y").select("a", "b", "a_shingles", "b_shingles")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    return materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,37 +205,34 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     order = _Order(often["token"].to_numpy().view(np.uint64), often["met"].to_numpy(), percent / 100)
     members = found.filter("doc_id is not null").select("doc_id", "n", "cls")
 
-    entries = rows.select("text").mapInArrow(_prefixes(k, order), "cls long, tokens array<long>, salts array<int>")
-    entries = entries.select("cls", F.explode(F.arrays_zip("tokens", "salts")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.salts").alias("salt"), "cls")
+    repeated = not members.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    entries = rows.select("text").mapInArrow(_prefixes(k, order), "cls long, many int, tokens array<long>, salts array<int>")
+    entries = entries.select("cls", "many", F.explode(F.arrays_zip("tokens", "salts")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.salts").alias("salt"), "cls", "many")
     # a frequent shingle's list is split by salt (from 1), so that no task holds a hot one
     part = Window.partitionBy("token", "salt")
     lists = entries.withColumn("low", F.min("cls").over(part)).withColumn("high", F.max("cls").over(part)).filter("low < high or salt > 0")
-    lists = materialize(lists.select("token", "salt", "cls", "low"), "lists")
-
-    firsts = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"))
-    wanted = lists.select("cls").distinct().join(firsts, "cls").select(F.col("doc").alias("doc_id"), F.col("cls").alias("wanted"))
-    texts = rows.join(wanted, "doc_id").select(F.col("doc_id").alias("doc"), "wanted", "text")
-    sets = texts.mapInArrow(_sets(k, order), "doc long, wanted long, cls long, n long, many int, shingles binary").filter("cls = wanted").drop("wanted")
-    sets = materialize(sets.dropDuplicates(["cls"]), "sets")
+    lists = materialize(lists.select("token", "salt", "cls", "many", "low"), "lists")
+    firsts = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
+    classes = materialize(lists.groupBy("cls").agg(F.max("many").alias("many")).join(firsts, "cls"), "classes")
 
     # lists that were split: their parts' smallest classes among themselves
     heads = lists.filter("salt > 0").select("token", F.col("low").alias("cls")).distinct()
     across = heads.join(heads.groupBy("token").agg(F.min("cls").alias("low")), "token")
     stars = lists.select("token", "cls", "low").unionByName(across.select("token", "cls", "low")).filter("cls <> low").distinct()
-    stars = materialize(stars.groupBy(F.col("cls").alias("x"), F.col("low").alias("y")).agg(F.count(F.lit(1)).alias("shared")), "stars")
-    linked = materialize(_links(stars, sets, percent), "links")
-    roots = components(linked)
-
-    class_of = sets.select("cls", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cls", F.coalesce("root", "doc").alias("part"))
-    open_ = materialize(lists.select("token", "cls").distinct().join(class_of, "cls"), "open")
-    mixed = open_.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("token")
-    open_ = materialize(open_.join(mixed, "token"), "mixed")
-    x, y = (open_.select("token", F.col("cls").alias(c), F.col("part").alias(f"{c}_part")) for c in "xy")
+    stars = stars.groupBy(F.col("cls").alias("x"), F.col("low").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    roots = components(_links(_candidates(stars, classes, percent), rows, k, percent, repeated))
+
+    class_of = classes.select("cls", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cls", F.coalesce("root", "doc").alias("part"))
+    entries = materialize(lists.select("token", "cls").distinct().join(class_of, "cls"), "open")
+    mixed = entries.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("token")
+    entries = materialize(entries.join(mixed, "token"), "mixed")
+    x, y = (entries.select("token", F.col("cls").alias(c), F.col("part").alias(f"{c}_part")) for c in "xy")
     pairs = x.join(y, (x["token"] == y["token"]) & (x["x_part"] < y["y_part"])).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
-    rest = materialize(_links(pairs, sets, percent), "links")
+    rest = _links(_candidates(pairs, classes, percent), rows, k, percent, repeated)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
 
-    class_root = firsts.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cls", F.coalesce("root", "doc").alias("component_id"))
+    class_root = firsts.drop("n").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cls", F.coalesce("root", "doc").alias("component_id"))
     joined = members.filter("cls is not null").join(class_root, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionAll(members.filter("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
