@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import words
@@ -29,7 +29,9 @@ from latticework.llm.components import components
 
 #: Shingles counted together when frequent ones are sought; how often one must
 #: then be met to be reported; reports needed to count as frequent; most that are.
-CHUNK, MET, FREQUENT, MOST = 3 << 20, 3, 6, 1 << 18
+CHUNK, MET, FREQUENT, MOST = 3 << 20, 2, 2, 1 << 20
+#: Classes of a list that all others are verified against first.
+CENTRES = 8
 #: Longest multi-match; entries of a frequent shingle's list that one task reads.
 LONGEST, SPLIT = 4, 1 << 16
 #: Cost of verifying a candidate, in list entries read, for each shingle.
@@ -104,12 +106,12 @@ class _Order:
 
 
 def _prefixes(k: int, order: _Order):
-    """(cls, many, tokens, salts) of each distinct set of a task; many: its l."""
+    """(cls, n, many, tokens, salts) of each distinct set of a task, tokens in global order; many: its l."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = words.Shingles(k), set()
         for batch in batches:
-            cls, many, tokens, salts = [], [], [], []
+            cls, size, many, tokens, salts = [], [], [], [], []
             for s in shingles(batch["text"]):
                 key = _class_key(s) if len(s) else None
                 if key is None or key in seen:
@@ -120,12 +122,13 @@ def _prefixes(k: int, order: _Order):
                 token, count, best = order.prefix(s)
                 cls.append(key)
                 many.append(best)
+                size.append(len(s))
                 tokens.append(token.view(np.int64))
                 parts = 1 + count // SPLIT
                 salts.append(np.where(parts > 1, 1 + (key & 0xFFFFFFFF) % parts, 0).astype(np.int32))
             at = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t))) for x, t in ((tokens, np.int64), (salts, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(many, pa.int32()), *lists], ["cls", "many", "tokens", "salts"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(many, pa.int32()), *lists], ["cls", "n", "many", "tokens", "salts"])
 
     return run
 
@@ -158,20 +161,28 @@ def _verify(numerator: int):
     return run
 
 
+def _overlap(x: str, y: str, percent: int) -> Column:
+    """What sets of these sizes must share to link."""
+    return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent))
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes (x, y, shared) that may link, with their documents (a, b).
+    """Of pairs of classes (x, y, x_n, y_n, x_many, y_many, shared) those that may
+    link, with their documents (a, b).
 
     Both must be of like size and share enough of their prefixes: at least the
     smaller l, and enough that with all that follows the prefix that ends first
     in the global order (r - l shingles at most) the overlap can be reached.
     """
-    known = lambda s, c: classes.select(F.col("cls").alias(c), F.col("doc").alias(s), F.col("n").alias(f"{s}_n"), F.col("many").alias(f"{s}_many"))
-    near = pairs.join(known("a", "x"), "x").join(known("b", "y"), "y")
     rest = lambda s: F.greatest(F.ceil(F.col(f"{s}_n") * percent / 100) - F.col(f"{s}_many"), F.lit(0))
-    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
-    alike = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    enough = (F.col("shared") >= F.least("a_many", "b_many")) & (F.col("shared") + F.greatest(rest("a"), rest("b")) >= overlap)
-    return materialize(near.filter(alike & enough).select("x", "y", "a", "b"), "candidates")
+    enough = (F.col("shared") >= F.least("x_many", "y_many")) & (F.col("shared") + F.greatest(rest("x"), rest("y")) >= _overlap("x_n", "y_n", percent))
+    near = pairs.filter(_alike("x_n", "y_n", percent) & enough).select("x", "y")
+    doc = lambda s, c: classes.select(F.col("cls").alias(c), F.col("doc").alias(s))
+    return materialize(near.join(doc("a", "x"), "x").join(doc("b", "y"), "y"), "candidates")
 
 
 def _links(near: DataFrame, rows: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
@@ -207,32 +218,44 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
 
     repeated = not members.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
-    entries = rows.select("text").mapInArrow(_prefixes(k, order), "cls long, many int, tokens array<long>, salts array<int>")
-    entries = entries.select("cls", "many", F.explode(F.arrays_zip("tokens", "salts")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.salts").alias("salt"), "cls", "many")
+    entries = rows.select("text").mapInArrow(_prefixes(k, order), "cls long, n int, many int, tokens array<long>, salts array<int>")
+    entries = entries.select("cls", "n", "many", F.posexplode(F.arrays_zip("tokens", "salts")).alias("at", "e"))
+    # one number for a class's size, its l and the shingle's place in its order
+    entries = entries.select(F.col("e.tokens").alias("token"), F.col("e.salts").alias("salt"), "cls", F.expr("shiftleft(cast(at as bigint), 34) | shiftleft(cast(n as bigint), 4) | many").alias("about"))
     # a frequent shingle's list is split by salt (from 1), so that no task holds a hot one
     part = Window.partitionBy("token", "salt")
-    lists = entries.withColumn("low", F.min("cls").over(part)).withColumn("high", F.max("cls").over(part)).filter("low < high or salt > 0")
-    lists = materialize(lists.select("token", "salt", "cls", "many", "low"), "lists")
-    firsts = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
-    classes = materialize(lists.groupBy("cls").agg(F.max("many").alias("many")).join(firsts, "cls"), "classes")
+    ranked = part.orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    centres = F.array_distinct(F.array_compact(F.array(*[F.nth_value("cls", i + 1).over(ranked) for i in range(CENTRES)])))
+    lists = entries.withColumn("centres", centres).withColumn("high", F.max("cls").over(part)).filter("element_at(centres, 1) < high or salt > 0")
+    lists = materialize(lists.select("token", "salt", "cls", "about", "centres").distinct(), "lists")
+    firsts = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"))
+    size, many, place = F.expr("(about >> 4) & 1073741823"), F.expr("about & 15"), F.expr("about >> 34")
+    classes = lists.groupBy("cls").agg(F.max(size).alias("n"), F.max(many).alias("many"))
+    classes = materialize(classes.join(firsts, "cls"), "classes")
 
     # lists that were split: their parts' smallest classes among themselves
-    heads = lists.filter("salt > 0").select("token", F.col("low").alias("cls")).distinct()
-    across = heads.join(heads.groupBy("token").agg(F.min("cls").alias("low")), "token")
-    stars = lists.select("token", "cls", "low").unionByName(across.select("token", "cls", "low")).filter("cls <> low").distinct()
-    stars = stars.groupBy(F.col("cls").alias("x"), F.col("low").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    heads = lists.filter("salt > 0").select("token", F.element_at("centres", 1).alias("cls")).distinct()
+    across = heads.join(heads.groupBy("token").agg(F.min("cls").alias("centre")), "token")
+    stars = lists.select("token", "cls", F.explode("centres").alias("centre")).unionByName(across.select("token", "cls", "centre")).filter("cls <> centre")
+    stars = stars.select("token", F.greatest("cls", "centre").alias("x"), F.least("cls", "centre").alias("y")).distinct()
+    stars = stars.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    known = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("many").alias(f"{c}_many"))
+    stars = stars.join(known("x"), "x").join(known("y"), "y")
     roots = components(_links(_candidates(stars, classes, percent), rows, k, percent, repeated))
 
     class_of = classes.select("cls", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cls", F.coalesce("root", "doc").alias("part"))
-    entries = materialize(lists.select("token", "cls").distinct().join(class_of, "cls"), "open")
+    entries = materialize(lists.select("token", "cls", size.alias("n"), many.alias("many"), place.alias("place")).distinct().join(class_of, "cls"), "open")
     mixed = entries.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("token")
     entries = materialize(entries.join(mixed, "token"), "mixed")
-    x, y = (entries.select("token", F.col("cls").alias(c), F.col("part").alias(f"{c}_part")) for c in "xy")
-    pairs = x.join(y, (x["token"] == y["token"]) & (x["x_part"] < y["y_part"])).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    x, y = (entries.select("token", F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in ("part", "n", "many", "place")]) for c in "xy")
+    # what comes before a shared shingle and what comes after it bound the overlap on either side
+    bound = F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    pairs = x.join(y, (x["token"] == y["token"]) & (x["x_part"] < y["y_part"]) & _alike("x_n", "y_n", percent) & (bound >= _overlap("x_n", "y_n", percent)))
+    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), *[F.first(f"{s}_{f}").alias(f"{s}_{f}") for s in "xy" for f in ("n", "many")])
     rest = _links(_candidates(pairs, classes, percent), rows, k, percent, repeated)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
 
-    class_root = firsts.drop("n").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cls", F.coalesce("root", "doc").alias("component_id"))
+    class_root = firsts.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cls", F.coalesce("root", "doc").alias("component_id"))
     joined = members.filter("cls is not null").join(class_root, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionAll(members.filter("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
