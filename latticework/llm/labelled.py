@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.llm.common import bound_batches
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether a document is never learned from: crc32 of its id as text, mod 3, is 1."""
@@ -17,6 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     A document with several labels has that of their majority, none at a tie.
     Which documents are in the sample depends on a hash of their ids alone.
     """
+    bound_batches(docs.sparkSession)
     votes = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out(F.col("id")))
     votes = votes.groupBy("id").agg(F.avg("y").alias("mean")).filter("mean <> 0.5").select("id", (F.col("mean") > 0.5).cast("int").alias("y"))
     share = min(1.0, most / max(1, votes.count()))

@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import words
-from latticework.llm.common import materialize
+from latticework.llm.common import bound_batches, materialize
 from latticework.llm.components import components
 
 #: Shingles counted together when frequent ones are sought; how often one must
 #: then be met to be reported; reports needed to count as frequent; most that are.
-CHUNK, MET, FREQUENT, MOST = 3 << 20, 2, 2, 1 << 20
+CHUNK, MET, FREQUENT, MOST = 2 << 20, 2, 2, 1 << 20
 #: Classes of a list that all others are verified against first.
 CENTRES = 8
 #: Longest multi-match; entries of a frequent shingle's list that one task reads.
@@ -209,6 +209,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     empty table gives an empty result; other columns are not carried. Shingles
     and sets are compared by 64-bit hashes.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
     found = materialize(rows.mapInArrow(_describe(k), "doc_id long, n long, cls long, token long, met long"), "classes")
     # at most MOST rows, whatever the input
