@@ -114,6 +114,13 @@ def components(g: Graph) -> DataFrame:
     return T.label_components(pairs.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
 
 
+@query("call_components")
+def call_components(g: Graph) -> DataFrame:
+    """Connected components of all call edges (recursive SQL would hold all pairs of one; no SQL)."""
+    pairs = g.edges.filter("kind = 'calls' and from_id <> to_id")
+    return T.label_components(pairs.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
+
+
 @query("select_tests", """WITH c AS (SELECT id FROM nodes WHERE kind = 'python_function' AND path = 'lib/p5.py'),
 direct AS (SELECT e.from_id AS id, 'calls_changed' AS reason, 3 AS rank FROM edges e JOIN c ON e.to_id = c.id JOIN nodes n ON n.id = e.from_id WHERE e.kind IN ('calls', 'references') AND n.kind = 'test_case'),
 req AS (SELECT v.from_id AS id, 'verifies_requirement' AS reason, 2 AS rank FROM edges i JOIN c ON i.from_id = c.id JOIN edges v ON v.to_id = i.to_id AND v.kind = 'declares_verification' WHERE i.kind = 'declares_implementation')

@@ -10,7 +10,10 @@ from latticework.functions import exprs
 from latticework.functions import kinds as K
 from latticework.operators import communities, joins, reach, similar, store
 from latticework.operators import traverse as T
+from latticework.plans import catalogue
+from latticework.sources.derived import Graph
 
+FOLDER = "/root/testdata/sf0.001"
 
 def edges(spark, pairs, kind="calls"):
     rows = [(f"e{i}", a, b, k[0] if k else kind) for i, (a, b, *k) in enumerate(pairs)]
@@ -50,6 +53,25 @@ def test_label_components(spark):
     assert got == up
 
 
+def test_call_components_take_every_call(spark):
+    edges = Graph(spark, FOLDER).edges.filter("kind = 'calls'").select("from_id", "to_id").collect()
+    up = {n: n for e in edges if e.from_id != e.to_id for n in e}
+
+    def root(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    got = {r.id: r.root for r in catalogue.queries()["call_components"](spark, FOLDER).collect()}
+    assert got == {n: root(n) for n in up}
+    assert any(n.startswith("python::app") for n in got)
+
+
 def test_ancestors_take_the_first_parent(spark):
     e = edges(spark, [("f", "c", "contains"), ("x", "c", "contains"), ("m", "f", "contains")])
     got = {(r.ancestor, r.hop) for r in T.ancestors(e, spark.createDataFrame([("c",)], "id string")).collect()}
