@@ -80,6 +80,15 @@ def doc_votes(g: Graph) -> DataFrame:
     return R.doc_votes(mentions, owners)
 
 
+@query("all_doc_votes", """WITH o AS (SELECT DISTINCT concat('n', p_partkey % 400) AS name, p_brand AS module FROM part), s AS (SELECT name, min(module) AS module FROM o GROUP BY 1 HAVING count(*) = 1), d AS (SELECT DISTINCT o_orderkey % 200 AS doc, concat('n', o_custkey % 400) AS name FROM orders),
+v AS (SELECT doc, module, count(*) AS votes FROM d JOIN s USING (name) GROUP BY 1, 2), t AS (SELECT *, max(votes) OVER (PARTITION BY doc) AS top FROM v) SELECT doc, module, votes FROM t WHERE votes = top AND votes >= 2""")
+def all_doc_votes(g: Graph) -> DataFrame:
+    """``doc_votes`` with every part as an owner."""
+    owners = g.table("part").select(_CAT("n", F.col("p_partkey") % 400).alias("name"), F.col("p_brand").alias("module"))
+    mentions = g.table("orders").select((F.col("o_orderkey") % 200).alias("doc"), _CAT("n", F.col("o_custkey") % 400).alias("name"))
+    return R.doc_votes(mentions, owners)
+
+
 @query("snippets", "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS row_no FROM t), h AS (SELECT *, contains(lower(line), 'tion')::INT + contains(lower(line), 'the')::INT + contains(lower(line), 'license')::INT AS hits FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, row_no) AS n FROM h WHERE hits > 0) SELECT doc_id AS key, row_no, hits FROM n WHERE n = 1")
 def snippets(g: Graph) -> DataFrame:
     rows = _lines(g).select(F.col("doc_id").alias("key"), F.col("row_no").alias("at"), "line")

@@ -105,6 +105,25 @@ def most_specific_ranges(g: Graph) -> DataFrame:
     return joins.most_specific(joins.interval_join(g.ranges, g.hunks)).select("file_path", "hunk", "symbol_id")
 
 
+_ALL_HITS = _HITS.replace("FROM ranges r JOIN hunks h", "FROM all_ranges r JOIN all_hunks h")
+
+
+@query("all_interval_join", f"WITH {_ALL_HITS} SELECT file_path, symbol_id, hunk FROM hits")
+def all_interval_join(g: Graph) -> DataFrame:
+    """``interval_join`` over every range and hunk."""
+    return joins.interval_join(g.all_ranges, g.all_hunks).select("file_path", "symbol_id", "hunk")
+
+
+@query("all_innermost_range", f"WITH {_ALL_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_path, hunk ORDER BY end_line - start_line, start_line DESC, symbol_id) AS n FROM hits WHERE start_line > 0) SELECT file_path, hunk, symbol_id FROM n WHERE n = 1")
+def all_innermost_range(g: Graph) -> DataFrame:
+    return joins.innermost(joins.interval_join(g.all_ranges, g.all_hunks)).select("file_path", "hunk", "symbol_id")
+
+
+@query("all_most_specific_ranges", f"WITH {_ALL_HITS} SELECT file_path, hunk, symbol_id FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE a.file_path = b.file_path AND a.hunk = b.hunk AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND a.end_line - a.start_line > b.end_line - b.start_line)")
+def all_most_specific_ranges(g: Graph) -> DataFrame:
+    return joins.most_specific(joins.interval_join(g.all_ranges, g.all_hunks)).select("file_path", "hunk", "symbol_id")
+
+
 @query("broken_links", "SELECT id, 'from' AS side FROM edges WHERE from_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT id, 'to' FROM edges WHERE to_id NOT IN (SELECT id FROM nodes)")
 def broken_links(g: Graph) -> DataFrame:
     return joins.dangling(g.edges, g.nodes)

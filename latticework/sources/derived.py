@@ -54,14 +54,16 @@ UNION ALL SELECT {_ORDER.format("o_orderkey")}, {_TABLE.format("c_mktsegment")},
 UNION ALL SELECT {_SUPPLIER.format("s_suppkey")}, {_TABLE.format("'AUDIT'")}, 'persists_to', 'git_diff', 'fact', 'confirmed', CAST(NULL AS STRING) FROM {{supplier}} WHERE s_suppkey % 6 = 0
 ) e ) d"""
 
-#: Ranges of symbols in files, and changed lines (hunks).
-RANGES = """
+#: Ranges of symbols in files, and changed lines (hunks): all, and a part.
+ALL_RANGES = """
 SELECT concat('f', l_orderkey % 50) AS file_path, concat('s', l_orderkey, '_', l_linenumber) AS symbol_id, CAST(l_orderkey AS BIGINT) + l_linenumber * 3 AS start_line,
-  CAST(l_orderkey AS BIGINT) + l_linenumber * 3 + CAST(l_quantity AS BIGINT) AS end_line FROM {lineitem} WHERE l_partkey % 3 = 0"""
-HUNKS = """
-SELECT concat('f', o_orderkey % 50) AS file_path, concat('h', o_orderkey) AS hunk, CAST(o_orderkey AS BIGINT) + 5 AS new_start, CAST(o_orderkey AS BIGINT) + 5 + o_custkey % 4 AS new_end FROM {orders} WHERE o_orderkey % 7 = 0"""
+  CAST(l_orderkey AS BIGINT) + l_linenumber * 3 + CAST(l_quantity AS BIGINT) AS end_line FROM {lineitem}"""
+RANGES = ALL_RANGES + " WHERE l_partkey % 3 = 0"
+ALL_HUNKS = """
+SELECT concat('f', o_orderkey % 50) AS file_path, concat('h', o_orderkey) AS hunk, CAST(o_orderkey AS BIGINT) + 5 AS new_start, CAST(o_orderkey AS BIGINT) + 5 + o_custkey % 4 AS new_end FROM {orders}"""
+HUNKS = ALL_HUNKS + " WHERE o_orderkey % 7 = 0"
 
-VIEWS = {"nodes": NODES, "edges": EDGES, "ranges": RANGES, "hunks": HUNKS}
+VIEWS = {"nodes": NODES, "edges": EDGES, "ranges": RANGES, "hunks": HUNKS, "all_ranges": ALL_RANGES, "all_hunks": ALL_HUNKS}
 
 
 class Graph:

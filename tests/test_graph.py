@@ -173,6 +173,17 @@ def test_interval_joins(spark):
     assert {x.symbol_id for x in joins.most_specific(nested).collect()} == {"mid", "same", "zero"}
 
 
+def test_interval_queries_take_every_range_and_hunk(spark):
+    g = Graph(spark, FOLDER)
+    assert g.all_ranges.count() == g.table("lineitem").count() and g.all_hunks.count() == g.table("orders").count()
+    hits = {tuple(r) for r in catalogue.queries()["all_interval_join"](spark, FOLDER).collect()}
+    assert any(int(symbol.split("_")[0][1:]) % 7 and int(hunk[1:]) % 7 for _, symbol, hunk in hits)
+    part = {tuple(r) for r in catalogue.queries()["interval_join"](spark, FOLDER).collect()}
+    assert part < hits
+    for name in ("all_innermost_range", "all_most_specific_ranges"):
+        assert {r.hunk for r in catalogue.queries()[name](spark, FOLDER).collect()} == {h for *_, h in hits}
+
+
 def test_diff_coverage_and_store(spark):
     base = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", None, 3)], "id string, kind string, n int")
     head = spark.createDataFrame([("a", "y", 1), ("b", "x", 2), ("c", None, 4), ("d", "x", 5)], "id string, kind string, n int")
