@@ -130,6 +130,11 @@ def slugs(g: Graph) -> DataFrame:
     return g.table("documents").select("doc_id", exprs.slug(F.left("text", F.lit(40))).alias("slug"))
 
 
+@query("whole_slugs", r"SELECT doc_id, regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+def whole_slugs(g: Graph) -> DataFrame:
+    return g.table("documents").select("doc_id", exprs.slug(F.col("text")).alias("slug"))
+
+
 @query("page_links", "SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) x GROUP BY 1, 2")
 def page_links(g: Graph) -> DataFrame:
     """References that a page's markup names, each with its count."""

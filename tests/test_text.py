@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from latticework.functions import lexers, text
 from latticework.operators import ledger as L
 from latticework.operators import search as S
+from latticework.plans import catalogue
 from latticework.sources import parsers as P
 
 
@@ -100,6 +101,12 @@ def test_headings_and_requirements(spark):
     assert not any(t == "y" for *_, t in refs)
 
 
+def test_slugs_of_whole_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "-- A title " + "x" * 40 + " and THE end! "), (2, "é"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.slug for r in catalogue.queries()["whole_slugs"](spark, str(tmp_path)).collect()}
+    assert got == {1: "a-title-" + "x" * 40 + "-and-the-end", 2: "", 3: None}
+
+
 def test_reference_parsers(spark):
     assert one(spark, "WITH r AS (SELECT 1) SELECT * FROM Users u JOIN r ON 1 LEFT JOIN db.Orders; insert into log values (1) on duplicate key update x = 2", P.sql_table_refs) == ["users", "db.orders", "log"]
     assert [tuple(r) for r in one(spark, "see `src/a.py`, `b.md`, `Foo::bar()` and `x + y`", P.inline_refs)] == [("src/a.py", "path"), ("b.md", "file"), ("Foo::bar()", "symbol"), ("x + y", "none")]
