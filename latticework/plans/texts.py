@@ -9,6 +9,7 @@ from latticework.functions import exprs, lexers, text
 from latticework.operators import search as S
 from latticework.operators import similar
 from latticework.plans.registry import query
+from latticework.sources import parsers
 from latticework.sources.derived import Graph
 
 _SPLIT = r"list_filter(string_split(translate(regexp_replace(regexp_replace(@, '(\p{Ll})(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '[_\-.]', chr(1), 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(1)), lambda p: octet_length(encode(p)) >= 2)"
@@ -125,6 +126,26 @@ def sections(g: Graph) -> DataFrame:
     return out.select("doc_id", F.col("row_no").cast("bigint").alias("row_no"), F.col("level").cast("bigint").alias("level"), F.col("nth").cast("bigint").alias("nth"), F.col("end_at").cast("bigint").alias("end_at"))
 
 
+_HEADS = _LINES + r""", f AS (SELECT *, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY row_no) AS fences, max(row_no) OVER (PARTITION BY doc_id) AS last FROM l),
+h AS (SELECT doc_id, row_no, last, length(regexp_extract(line, '^(#+)', 1)) AS level, regexp_extract(line, '^#+\s+(.*?)\s*#*\s*$', 1) AS title FROM f WHERE fences % 2 = 0 AND regexp_matches(line, '^#{1,6}\s+\S'))"""
+
+
+@query("headings", f"""WITH {_HEADS} SELECT doc_id, row_no, level, title, row_number() OVER (PARTITION BY doc_id, title ORDER BY row_no) AS nth, coalesce((SELECT min(m.row_no) - 1 FROM h m WHERE m.doc_id = h.doc_id AND m.row_no > h.row_no AND m.level <= h.level), last) AS end_at FROM h""")
+def headings(g: Graph) -> DataFrame:
+    """Headings of all documents outside fences: repetition number, and the section's end."""
+    nth = F.row_number().over(Window.partitionBy("doc_id", "title").orderBy("at"))
+    out = parsers.headings(g.table("documents"), "doc_id").withColumn("nth", nth)
+    return out.select("doc_id", F.col("at").cast("bigint").alias("row_no"), F.col("level").cast("bigint").alias("level"), "title", F.col("nth").cast("bigint").alias("nth"), F.col("end_at").cast("bigint").alias("end_at"))
+
+
+@query("requirements", rf"""WITH {_HEADS}, q AS (SELECT doc_id, row_no, regexp_extract(title, '^(\S+)', 1) AS requirement, regexp_extract(title, '^\S+\s*(.*)$', 1) AS title, coalesce((SELECT min(m.row_no) - 1 FROM h m WHERE m.doc_id = h.doc_id AND m.row_no > h.row_no AND m.level <= h.level), last) AS end_at FROM h WHERE regexp_matches(title, '^[A-Z][A-Z0-9]*-\d+')),
+r AS (SELECT doc_id, row_no, regexp_extract(line, '^\s*[-*]\s*(docs|implementations?|tests?)\s*:\s*(\S.*?)\s*$', 1) AS word, unnest(string_split_regex(regexp_extract(line, '^\s*[-*]\s*(docs|implementations?|tests?)\s*:\s*(\S.*?)\s*$', 2), '\s*,\s*')) AS target FROM f WHERE fences % 2 = 0 AND regexp_matches(line, '^\s*[-*]\s*(docs|implementations?|tests?)\s*:\s*(\S.*?)\s*$'))
+SELECT q.doc_id, requirement, title, CASE WHEN word = 'docs' THEN 'documents' WHEN starts_with(word, 'impl') THEN 'declares_implementation' ELSE 'declares_verification' END AS relation, trim(target) AS target FROM q JOIN r ON q.doc_id = r.doc_id AND r.row_no > q.row_no AND r.row_no <= q.end_at""")
+def requirements(g: Graph) -> DataFrame:
+    """Declared references of the requirements in all documents."""
+    return parsers.requirements(g.table("documents"), "doc_id")
+
+
 @query("slugs", r"SELECT doc_id, regexp_replace(regexp_replace(translate(left(text, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def slugs(g: Graph) -> DataFrame:
     return g.table("documents").select("doc_id", exprs.slug(F.left("text", F.lit(40))).alias("slug"))

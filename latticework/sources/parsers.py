@@ -29,14 +29,20 @@ def parse_diffs(texts: DataFrame, key: str = "id", column: str = "diff") -> Data
     return head.join(hunks, [key, "file"], "left").select(key, "path", "status", "new_start", "new_end")
 
 
+def unfenced(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, at, line, last): the lines outside fences, with the number of the text's last line."""
+    rows = lines(texts, key, column)
+    fences = F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(Window.partitionBy(key).orderBy("at"))
+    rows = rows.withColumn("fences", fences).withColumn("last", F.max("at").over(Window.partitionBy(key)))
+    return rows.filter("fences % 2 = 0").drop("fences")
+
+
 def headings(texts: DataFrame, key: str = "path", column: str = "text") -> DataFrame:
     """(key, at, level, title, end_at) of Markdown headings outside fences; a
     section ends before the next heading that is not deeper, or at the end."""
-    rows = lines(texts, key, column)
     by = Window.partitionBy(key).orderBy("at")
-    rows = rows.withColumn("fences", F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(by)).withColumn("last", F.max("at").over(Window.partitionBy(key)))
-    h = rows.filter((F.col("fences") % 2 == 0) & F.col("line").rlike(r"^#{1,6}\s+\S"))
-    h = h.select(key, "at", "last", F.char_length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.regexp_replace(F.regexp_extract("line", r"^#+\s+(.*?)\s*#*\s*$", 1), r"\s+$", "").alias("title"))
+    h = unfenced(texts, key, column).filter(F.col("line").rlike(r"^#{1,6}\s+\S"))
+    h = h.select(key, "at", "last", F.char_length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.regexp_replace(F.regexp_extract("line", r"(?s)^#+\s+(.*?)\s*#*\s*$", 1), r"\s+$", "").alias("title"))
     end = F.lit(None).cast("int")
     for k in range(6, 0, -1):
         end = F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("at"))).over(by.rowsBetween(1, Window.unboundedFollowing)) - 1).otherwise(end)
@@ -48,8 +54,8 @@ def requirements(texts: DataFrame, key: str = "path", column: str = "text") -> D
     ``- docs|implementations|tests: a, b`` lists; fences are inert."""
     h = headings(texts, key, column).filter(F.col("title").rlike(r"^[A-Z][A-Z0-9]*-\d+"))
     h = h.select(key, F.col("at").alias("top"), "end_at", F.regexp_extract("title", r"^(\S+)", 1).alias("requirement"), F.regexp_extract("title", r"^\S+\s*(.*)$", 1).alias("title"))
-    item = r"^\s*[-*]\s*(docs|implementations?|tests?)\s*:\s*(.+)$"
-    refs = lines(texts, key, column).filter(F.col("line").rlike(item))
+    item = r"(?s)^\s*[-*]\s*(docs|implementations?|tests?)\s*:\s*(\S.*?)\s*$"
+    refs = unfenced(texts, key, column).filter(F.col("line").rlike(item))
     refs = refs.select(key, "at", F.regexp_extract("line", item, 1).alias("word"), F.explode(F.split(F.regexp_extract("line", item, 2), r"\s*,\s*")).alias("target"))
     relation = F.when(F.col("word") == "docs", "documents").when(F.startswith("word", F.lit("impl")), "declares_implementation").otherwise("declares_verification")
     joined = h.alias("h").join(refs.alias("r"), (F.col(f"h.{key}") == F.col(f"r.{key}")) & (F.col("at") > F.col("top")) & (F.col("at") <= F.col("end_at")))

@@ -1,7 +1,10 @@
 """Tokenisers, lexers, parsers, ranking and the ledger."""
 
+import random
+import re
 import time
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,6 +104,38 @@ def test_headings_and_requirements(spark):
     assert not any(t == "y" for *_, t in refs)
 
 
+def _sections(body):
+    """Headings of a text by a scan, and the references of its requirements."""
+    heads, items, fenced = [], [], False
+    rows = body.split("\n")
+    for at, line in enumerate(rows, 1):
+        if line.lstrip().startswith(("```", "~~~")):
+            fenced = not fenced
+        elif not fenced and (m := re.match(r"(#{1,6})\s+(\S.*)", line)):
+            heads.append([at, len(m[1]), m[2].rstrip().rstrip("#").rstrip(), len(rows)])
+        elif not fenced and (m := re.match(r"\s*[-*]\s*(docs|implementation|test)s?\s*:\s*(\S.*)", line)):
+            items += [(at, m[1], t.strip()) for t in m[2].split(",")]
+    for i, h in enumerate(heads):
+        h[3] = next((at - 1 for at, level, *_ in heads[i + 1 :] if level <= h[1]), len(rows))
+    names = {"docs": "documents", "implementation": "declares_implementation", "test": "declares_verification"}
+    refs = [(*(t.split(" ", 1) + [""])[:2], names[w], x) for top, _, t, end in heads if re.match(r"[A-Z][A-Z0-9]*-\d", t) for at, w, x in items if top < at <= end]
+    return [(*h[:3], [g[2] for g in heads[: i + 1]].count(h[2]), h[3]) for i, h in enumerate(heads)], refs
+
+
+def test_headings_and_requirements_of_all_documents(spark, tmp_path):
+    draw = random.Random(5)
+    bank = ["# REQ-1 One", "# REQ-2", "## Part ##", "### Part", "# Other", "#none", "```", "~~~ x", "- docs: a.md, b.md", "* tests: t ", "- implementations: x.py#f\r", "# Last\r", "text", ""]
+    texts = {i: "\n".join(draw.choice(bank) for _ in range(draw.randrange(1, 40))) for i in range(60)} | {60: MARKDOWN}
+    spark.createDataFrame([*texts.items(), (61, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    both = {i: _sections(t) for i, t in texts.items()}
+    for name, columns, want in (("headings", "doc_id, row_no, level, title, nth, end_at", [(i, *h) for i, (hs, _) in both.items() for h in hs]), ("requirements", "doc_id, requirement, title, relation, target", [(i, *r) for i, (_, rs) in both.items() for r in rs])):
+        assert len(want) > 50
+        assert sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).select(*columns.split(", ")).collect())) == sorted(want)
+        assert sorted(con.sql(f"select {columns} from ({catalogue.oracle_sql()[name]})").fetchall()) == sorted(want)
+
+
 def test_slugs_of_whole_documents(spark, tmp_path):
     spark.createDataFrame([(1, "-- A title " + "x" * 40 + " and THE end! "), (2, "é"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.slug for r in catalogue.queries()["whole_slugs"](spark, str(tmp_path)).collect()}
