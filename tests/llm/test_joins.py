@@ -6,7 +6,7 @@ import pytest
 from latticework.llm.components import components
 from latticework.llm.embedding_dedup import near_duplicates
 from latticework.llm.ngram_join import jaccard_components
-from latticework.llm.simhash import BITS, compare_edited, edited, fingerprints, near_fingerprints
+from latticework.llm.simhash import BITS, compare_edited, edited, fingerprints, near_fingerprints, op2_simhash, probed_fingerprints
 from tests.llm.helpers import SCHEMA, documents, fuller
 
 
@@ -159,3 +159,35 @@ def test_block_tables_find_all(spark):
         q = [int(r.fingerprint, 16) for r in asked.collect() if r.fingerprint]
         want = {(f"{a:032x}", f"{b:032x}", bin(a ^ b).count("1")) for a in q for b in marks if bin(a ^ b).count("1") <= radius}
         assert got == want
+
+
+def test_probes_find_all(spark):
+    draw = np.random.default_rng(2)
+    marks = [0, (1 << 128) - 1, *(int.from_bytes(draw.bytes(16), "big") for _ in range(30))]
+    for m in list(marks):
+        for k in (1, 3, 6, 12, 16, 17, 18, 20):
+            x = m
+            for bit in draw.choice(128, k, replace=False):
+                x ^= 1 << int(bit)
+            marks.append(x)
+    table = spark.createDataFrame([(f"{m:032x}",) for m in marks] + [(None,)], "fingerprint string")
+    asked = table.limit(80)
+    q = [int(r.fingerprint, 16) for r in asked.collect() if r.fingerprint]
+    for radius in (17, 5):
+        got = sorted((r.query, r.found, r.distance) for r in probed_fingerprints(asked, table, radius).collect())
+        assert got == sorted((f"{a:032x}", f"{b:032x}", bin(a ^ b).count("1")) for a in set(q) for b in set(marks) if bin(a ^ b).count("1") <= radius)
+
+
+def test_near_copies_are_found(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    bank = ["".join(draw.choice(list("abcdefghij"), draw.integers(2, 10))) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        words = list(draw.choice(bank, 300))
+        near = list(words)
+        for at in draw.choice(300, 6, replace=False):  # 5-word Jaccard 0.8 or more
+            near[at] = bank[draw.integers(3000)]
+        rows += [(50 * i, " ".join(words)), (50 * i + 1, " ".join(near))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [r.near_found for r in op2_simhash(spark, str(tmp_path)).filter("doc_id % 50 = 0").collect()]
+    assert len(found) == 60 and sum(n >= 1 for n in found) >= 54
