@@ -3,11 +3,11 @@ mixing, BPE. Each stage works on all rows that the one before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.bpe import encode_documents
-from latticework.llm.common import new_folder
+from latticework.llm.common import WORD, materialize, new_folder, with_position
 from latticework.llm.mixing import mix_documents
 from latticework.llm.ngram_join import jaccard_components
 from latticework.llm.quality import keep_good, train_quality
@@ -28,20 +28,45 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return keep_good(docs, train_quality(docs, _labels(spark, sf_dir)))
 
 
+def _repeats_ids(docs: DataFrame) -> bool:
+    return not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates
-    (one row, should it be repeated) and documents without an id."""
-    kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    unique = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return unique.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The document with the smallest id of each component of near duplicates and
+    documents without an id. Where ids repeat, rows are documents of their own
+    (unlike texts of an id all stay), in a fixed order within the id; of its
+    rows without words one stays."""
+    unnamed = docs.filter("doc_id is null")
+    if not _repeats_ids(docs):
+        kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").unionByName(unnamed).select(*docs.columns)
+    rows = docs.filter("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", "text").withColumn("by_row", F.xxhash64("row"))
+    rows = with_position(rows, [F.col("doc_id"), F.xxhash64("text"), F.col("by_row")], name="at")
+    found = materialize(jaccard_components(rows, id_col="at").filter("doc_id = component_id").select(F.col("doc_id").alias("at"), "n_shingles"), "kept")
+    worded, blank = found.filter("n_shingles > 0").select("at"), found.filter("n_shingles = 0").select("at")
+    blank = rows.select("at", "doc_id").join(blank, "at").groupBy("doc_id").agg(F.min("at").alias("at")).select("at")
+    return rows.join(worded.unionAll(blank), "at", "left_semi").select("row.*").unionByName(unnamed).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows without an id are not taken."""
-    taken = mix_documents(docs).filter("repeats > 0").select("doc_id", "repeats").dropDuplicates(["doc_id"])
-    copies = F.explode(F.sequence(F.lit(1), F.col("t.repeats"))).alias("copy")
-    both = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id") == F.col("t.doc_id"))
-    return both.select(F.struct("d.*").alias("row"), copies).select("row.*")
+    """Each document as many times as the mix takes it; rows without an id are
+    neither taken nor counted. Rows that repeat an id are taken each."""
+    named = docs.filter("doc_id is not null")
+    taken = mix_documents(named)
+    key = ["doc_id"]
+    rows = named.select(F.struct("*").alias("row"), "doc_id")
+    if _repeats_ids(named):
+        # rows of an id with one size and source share their draw: numbered, they meet their own repeats
+        key = ["doc_id", "size", "origin", "nth"]
+        by = ["doc_id", "size", "origin"]
+        origin = F.to_json(F.struct("source"))
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        rows = named.select(F.struct("*").alias("row"), "doc_id", size.alias("size"), origin.alias("origin")).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("row"))))
+        taken = taken.withColumn("origin", origin).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("repeats").desc())))
+    copies = F.explode(F.sequence(F.lit(1), F.col("taken_repeats"))).alias("copy")
+    both = rows.join(taken.filter("repeats > 0").select(*key, F.col("repeats").alias("taken_repeats")), key)
+    return both.select("row", copies).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

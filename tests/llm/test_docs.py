@@ -162,6 +162,26 @@ def test_ordinal_thresholds_ascend():
     assert model.chances(np.array([3]), np.array([1])).sum() > 1.5 > 0.5 > model.chances(np.array([0]), np.array([1])).sum()
 
 
+def test_repeated_ids_keep_unlike_texts(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(3, 4, 40)
+    a, b, c = (t + " one two three four five six seven" + x for t, x in ((a, " a"), (b, " b"), (c, " c")))
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "t", 1), (5, c, "fr", "s", 1), (6, "", "en", "s", 0), (6, " ", "en", "s", 1), (7, "", "en", "s", 0), (None, c, "en", "s", 1)]
+    docs = documents(spark, rows=rows)
+    for parts in (1, 5):
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), "")
+        got = sorted((r.doc_id or 0, (r.text or "").strip()) for r in kept.collect())
+        assert got == sorted([(3, a), (5, b), (5, c), (6, ""), (7, ""), (0, c)])
+    from latticework.llm.mixing import mix_documents as mix
+
+    rows = [(1, "x y", "en", "s", 1), (1, "u v", "en", "s", 1), (1, "p q r", "en", "s", 1), (2, "k l", "en", None, 1), (None, "n " * 50, "en", "s", 1)]
+    got = sorted(r.text for r in corpus_pipeline.mix_sources(spark, documents(spark, rows=rows), "").collect())
+    named = mix(documents(spark, rows=rows[:-1])).collect()
+    assert len(got) == sum(r.repeats for r in named) and sum(len(t.split()) for t in got) == sum(r.taken for r in named)
+    assert {"x y", "u v", "p q r"} & set(got) and not any("n" in t for t in got)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from latticework.llm.mixing import mix_documents as mix
