@@ -27,6 +27,18 @@ def put(folder: str, stem: str, data: bytes) -> str:
     return address
 
 
+def put_at(address: str, data: bytes) -> None:
+    """Write ``data`` under a name that says what it holds (a digest): where that file is, it stays."""
+    files, path = _fs(address)
+    if files.get_file_info(path).is_file:
+        return
+    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}-{uuid.uuid4().hex}.part"
+    with files.open_output_stream(part, compression=None) as out:
+        out.write(data)
+    files.move(part, path)
+
+
 def get(address: str) -> bytes:
     files, path = _fs(address)
     with files.open_input_stream(path, compression=None) as f:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE = 1 << 20
@@ -21,23 +22,10 @@ _STARTS = np.ones(256, bool)
 _STARTS[:33] = False
 _STARTS[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        k = 1
-        while k < size:
-            have[k : 2 * k] = have[:k] * np.uint64(pow(base, k, 1 << 64))
-            k *= 2
-        _powers[base] = have
-    return have[:n]
+#: Odd multipliers of the hash; a word beyond LONG bytes is hashed alone, by xxh3.
+_BASE, _NEXT, _SIZE, LONG = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 256
+#: The low n bytes of a lane of eight.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -93,21 +81,34 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[:-1], at[1:]
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes (little-endian) from each position on; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each byte range; ``lower``: with A-Z as a-z.
 
-    Polynomial over the bytes modulo 2**64, read off one running sum.
+    Eight bytes after another are mixed into the state, so no step is linear in
+    the text: unlike a polynomial, patterned texts do not meet.
     """
-    n = len(data)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    values = (_LOWER[data] if lower else data).astype(np.uint64)
-    values += np.uint64(1)
-    values *= _power(_BASE, n)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(values, out=run[1:])
-    h = (run[ends] - run[starts]) * _power(_INVERSE, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    data = _LOWER[data] if lower else data
+    lanes, length = _lanes(data), ends - starts
+    h = mix((lanes[starts] & _MASK[np.minimum(length, 8)]) ^ (length.astype(np.uint64) + np.uint64(1)) * np.uint64(_SIZE))
+    left = np.flatnonzero((length > 8) & (length <= LONG))
+    at = 8
+    while len(left):
+        lane = lanes[starts[left] + at] & _MASK[np.minimum(length[left] - at, 8)]
+        h[left] = mix(h[left] * np.uint64(_NEXT) ^ mix(lane + np.uint64(_BASE)))
+        at += 8
+        left = left[length[left] > at]
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), _BASE)
+    return h
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -142,14 +143,14 @@ class Shingles:
             n = len(h)
             at = np.searchsorted(starts, offsets)
             rolled = np.zeros(n, np.uint64)
-            for j in range(k):
+            for j in range(min(k, n)):
                 rolled[: n - j] += h[j:] * np.uint64(pow(_BASE, j + 1, 1 << 64))
             rolled = mix(rolled)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 if b - a >= k:
                     yield np.unique(rolled[a : b - k + 1])
                 elif b > a:
-                    short = (h[a:b] * _power(_BASE, k + 1)[1 : b - a + 1]).sum(dtype=np.uint64)
-                    yield mix(np.array([short + np.uint64(b - a)], np.uint64))
+                    short = sum(int(x) * pow(_BASE, j + 2, 1 << 64) for j, x in enumerate(h[a:b])) + b - a
+                    yield mix(np.array([short % (1 << 64)], np.uint64))
                 else:
                     yield np.zeros(0, np.uint64)

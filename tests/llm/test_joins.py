@@ -58,13 +58,100 @@ def test_jaccard_group_of_copies(spark):
     assert got == truth
 
 
+def pattern(n=1024):
+    """Two texts that every polynomial hash modulo a power of two takes for one."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_shingles_of_few_words():
+    import pyarrow as pa
+
+    from latticework.llm import words
+
+    bank = "p q r s t u v".split()
+    texts = [" ".join(bank[:n]) for n in range(7)]
+    alone = [[list(s) for s in words.Shingles(5)(pa.array([t]))][0] for t in texts]
+    assert [len(s) for s in alone] == [0, 1, 1, 1, 1, 1, 2]
+    assert len({tuple(s) for s in alone}) == 7
+    for n, t in enumerate(texts):
+        for other in ["z " * 600_000, "z", "", None]:
+            got = [list(s) for s in words.Shingles(5)(pa.array([other, t]))]
+            assert got[1] == alone[n] and got[0] == [list(s) for s in words.Shingles(5)(pa.array([other]))][0]
+        for m in range(7):
+            assert [list(s) for s in words.Shingles(5)(pa.array([t, texts[m]]))] == [alone[n], alone[m]]
+
+
+def test_hashes_tell_patterns_apart():
+    from latticework.llm import words
+
+    for n in (1, 2, 3, 8, 16, 64, 128, 256, 1024, 4096):
+        a, b = (np.frombuffer(t.encode(), np.uint8) for t in pattern(n))
+        both = np.concatenate([a, b])
+        x, y = words.hashes(both, np.array([0, n]), np.array([n, 2 * n]))
+        assert x != y
+    texts = ["x" * n for n in range(600)] + ["\0" * n for n in range(1, 600)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    assert len(set(words.hashes(data, ends - [len(t) for t in texts], ends).tolist())) == len(texts)
+
+
+def test_jaccard_of_few_and_of_patterned_words(spark):
+    one, other = pattern()
+    base = [f"v{i}" for i in range(19)]
+    rows = [(1, "two words"), (2, " ".join(base[:10] + [one] + base[10:])), (3, " ".join(base[:10] + [other] + base[10:])), (4, one), (5, other), (6, "Two  words"), (7, "a b c"), (8, None)]
+    truth, _ = jaccard_truth(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == truth and got[3][1] == 3 and got[5][1] == 5
+    alone = jaccard_components(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in alone] == [(1, 1, 1)]
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """A group whose likeness lies around the threshold, over pairs of blocks."""
+    import latticework.llm.ngram_join as j
+
+    draw = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        words = list(base) if i % 3 else base[40:] + base[:40]
+        for at in draw.choice(80, draw.integers(0, 5), replace=False):
+            words[at] = f"x{draw.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    truth, links = jaccard_truth(rows)
+    assert len(links) > 500 and len({r for _, r in truth.values()}) > 10
+    for block, centres in ((1 << 9, 1), (1 << 12, 1), (1 << 18, 4)):
+        monkeypatch.setattr(j, "BLOCK", block)
+        monkeypatch.setattr(j, "CENTRES", centres)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == truth
+
+
+def test_counts_of_shingles():
+    import pyarrow as pa
+
+    from latticework.llm.ngram_join import _count, _slots
+
+    tokens = np.sort(np.random.default_rng(5).integers(0, 2**64, 5000, np.uint64))
+    for buckets in (1, 3, 211, 1 << 20):
+        bucket, slot = _slots(tokens, buckets)
+        assert (np.diff(bucket) >= 0).all() and bucket.max() < buckets
+        assert len(set(zip(bucket.tolist(), slot.tolist()))) == len(tokens)
+    held = [np.array(x, "<u4") for x in ([1, 2, 9], [2, 9], [], [9, 10])]
+    counts = [np.array(x, "<u4") for x in ([1, 1, 3], [1, 1], [], [1, 2])]
+    table = pa.table({"chunk": list("abcd"), "bucket": [0] * 4, "slots": [x.tobytes() for x in held], "counts": [x.tobytes() for x in counts]})
+    level = lambda n: 1 + int(4 * np.log2(n)) if n > 1 else 0
+    assert [list(x.as_py()) for x in _count(table)["levels"]] == [[level(1), level(2), level(5)], [level(2), level(5)], [], [level(5), level(2)]]
+
+
 def test_empty_and_clashing(spark):
     none = documents(spark, rows=[])
     assert jaccard_components(none).count() == 0
     assert compare_edited(none).count() == 0
     from pyspark.sql import functions as F
 
-    odd = documents(spark).withColumn("token", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("part", F.lit(2)).withColumn("fingerprint", F.lit("z"))
+    odd = documents(spark).withColumn("token", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("part", F.lit(2)).withColumn("cid", F.lit("y")).withColumn("fingerprint", F.lit("z"))
     assert jaccard_components(odd).count() == compare_edited(odd).count() == odd.count()
 
 
