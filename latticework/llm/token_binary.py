@@ -8,6 +8,7 @@ place at the next level, so any id is read without decoding a block.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -122,76 +123,111 @@ def tokenizer(path: str):
     return found
 
 
+#: Fixed value: how a pre-tokenizer says that it cuts before digits, signs and the endings of these.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+@lru_cache(maxsize=4)
+def traits(path: str) -> tuple[bool, str | None, tuple[str, ...]]:
+    """Whether the tokenizer lowers letters and cuts words as ``words.fine`` does; a
+    special token that stands between words without touching them; all added tokens."""
+    said = json.loads(tokenizer(path).to_str())
+    steps = lambda part, name: (part or {}).get(name) or ([part] if part else [])
+    lowers = any(x["type"] == "Lowercase" for x in steps(said["normalizer"], "normalizers"))
+    cuts = any(x["type"] == "Split" and x["pattern"] == {"Regex": _SPLIT} and x["behavior"] == "Removed" and x["invert"] for x in steps(said["pre_tokenizer"], "pretokenizers"))
+    added = said["added_tokens"]
+    between = [x["content"] for x in added if x["special"] and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"])]
+    return lowers and cuts, between[0] if between else None, tuple(x["content"] for x in added)
+
+
 #: Words that the library encodes at once; its result for each takes much memory.
 AT_ONCE = 4096
 
 
 def encode_words(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and how many each has."""
+    """Ids of all texts one after another, and how many each has.
+
+    Texts are joined by a special token, which the library takes out before all
+    else, so that one call encodes many; those that hold an added token go alone.
+    """
+    tok, (_, between, added) = tokenizer(path), traits(path)
     ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for a in range(0, len(texts), AT_ONCE):
-        coded = [e.ids for e in tokenizer(path).encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
-        lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)))
-        ids.append(np.fromiter((i for x in coded for i in x), np.uint32, int(lengths[-1].sum())))
+        part = texts[a : a + AT_ONCE]
+        joined = between.join(part) if between else ""
+        if not between or any((joined.count(x) > len(part) - 1) if x == between else (x in joined) for x in added):
+            for t in part:
+                ids.append(np.array(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32))
+                lengths.append(np.array([len(ids[-1])]))
+            continue
+        flat = np.array(tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = flat == tok.token_to_id(between)
+        lengths.append(np.diff(np.concatenate([[-1], np.flatnonzero(cuts), [len(flat)]])) - 1)
+        ids.append(flat[~cuts])
     return np.concatenate(ids), np.concatenate(lengths)
 
 
 class WordEncoder:
-    """Ids of words by their hash; each word is encoded when it first comes.
+    """Ids of words; each different word (told by its bytes) is encoded when it first comes.
 
     Holds at most ``most`` words and then starts anew.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
-        self.path, self.most = path, most
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.path, self.most, self.fine = path, most, traits(path)[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number: dict[bytes, int] = {}
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids, lengths = encode_words(self.path, texts)
-        total = len(ids)
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + total] = ids
-        self.at = np.concatenate([self.at, np.arange(len(self.starts), len(self.starts) + len(keys))])
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += total
-        self.keys = np.concatenate([self.keys, keys])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.at = self.keys[order], self.at[order]
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, cuts=words.bounds) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+    def _learn(self, new: list[bytes]) -> None:
+        ids, lengths = encode_words(self.path, [w.decode() for w in new])
+        n = len(self.number)
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts, self.lengths = self._room(self.starts, n + len(new)), self._room(self.lengths, n + len(new))
+        self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(new)] = lengths
+        self.used += len(ids)
+        self.number.update(zip(new, range(n, n + len(new))))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids start (one more entry at the end)."""
-        starts, ends = cuts(data, offsets)
-        keys, first, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.most:
+        starts, ends = words.bounds(data, offsets)
+        if self.fine:
+            starts, ends, plain = words.fine(data, starts, ends)
+            data = words.lowered(data, starts[plain], ends[plain])
+        which, found = words.distinct(data, starts, ends)
+        new = [w for w in found if w not in self.number]
+        if len(self.number) + len(new) > self.most:
             self._clear()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        if not known.all():
-            raw = data.tobytes()
-            new = first[~known]
-            self._learn(keys[~known], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
-            place = np.searchsorted(self.keys, keys)
-        entry = self.at[place][inverse] if len(keys) else np.zeros(0, np.int64)
+            new = found
+        if new:
+            self._learn(new)
+        entry = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))[which]
         lengths = self.lengths[entry]
         ids = self.ids[words.spread(self.starts[entry], lengths)]
         run = np.concatenate([[0], np.cumsum(lengths)])
         return ids, run[np.searchsorted(starts, offsets)]
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def _write(path: str, end_id: int, folder: str, file_ids: int):
     """Encode texts and write files as they fill; one manifest row for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, docs, lengths, held, seq = WordEncoder(path), [], [], [], 0, 0
+        encoder, ids, docs, lengths, held, seq = word_encoder(path), [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             whole, n = np.concatenate(ids), np.concatenate(lengths)
@@ -210,15 +246,21 @@ def _write(path: str, end_id: int, folder: str, file_ids: int):
             names = batch.column(0).to_numpy(zero_copy_only=False)
             for at, data, offsets in words.text_slices(batch.column(1), 2 << 20):
                 got, run_at = encoder(data, offsets)
-                n = len(offsets) - 1
                 full = np.insert(got, run_at[1:], np.uint32(end_id))
-                ids.append(full)
-                docs.append(names[at : at + n].astype(np.int64))
-                lengths.append(np.diff(run_at) + 1)
-                held += len(full)
-                if held >= file_ids:
-                    yield flush()
-                    ids, docs, lengths, held, seq = [], [], [], 0, seq + 1
+                ends = np.concatenate([[0], np.cumsum(np.diff(run_at) + 1)])
+                a, n = 0, len(offsets) - 1
+                while a < n:
+                    # up to the document with which the file is full
+                    b = min(n, int(np.searchsorted(ends, ends[a] + file_ids - held)))
+                    b = max(b, a + 1)
+                    ids.append(full[ends[a] : ends[b]])
+                    docs.append(names[at + a : at + b].astype(np.int64))
+                    lengths.append(np.diff(ends[a : b + 1]))
+                    held += int(ends[b] - ends[a])
+                    a = b
+                    if held >= file_ids:
+                        yield flush()
+                        ids, docs, lengths, held, seq = [], [], [], 0, seq + 1
         if held:
             yield flush()
 
@@ -236,11 +278,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
-    # ties by the text's digest, so that reruns write equal files
-    ordered = rows.repartitionByRange(2 * shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
+    # ties by the text's digest: reruns write equal files, and a repeated id may span tasks
+    rows = rows.withColumn("digest", F.crc32(F.col("text").cast("binary")))
+    ordered = rows.repartitionByRange(2 * shuffle_width(spark), "doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
     files = materialize(ordered.mapInArrow(_write(tokenizer_path, end_id, new_folder(spark, "tokens"), file_ids), "part int, seq long, path string, docs long, ids long"), "manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    earlier = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", earlier(Window.orderBy("part")).alias("first"))
+    # one row for each task of the write
+    return files.join(F.broadcast(parts), "part").withColumn("start", F.col("first") + earlier(Window.partitionBy("part").orderBy("seq"))).drop("first")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,13 @@ _STARTS = np.ones(256, bool)
 _STARTS[:33] = False
 _STARTS[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
+#: Letters, digits, signs, white space of ASCII; 5: bytes that no rule here cuts at.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[97:123] = _KIND[65:91] = 1
+_KIND[48:58] = 2
+_KIND[_SPACE] = 0
+_KIND[128:] = _KIND[39] = 5
+
 #: Odd multipliers of the hash; a word beyond LONG bytes is hashed alone, by xxh3.
 _BASE, _NEXT, _SIZE, LONG = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 256
 #: The low n bytes of a lane of eight.
@@ -88,6 +95,47 @@ def _lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
+def fine(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of letters, digits and signs of ASCII cut into runs of letters, single
+    digits and runs of signs: starts, ends, and whether a piece comes of such a
+    word. Words with other bytes, an apostrophe or ``<|`` stay whole."""
+    n = len(data)
+    kind = _KIND[data]
+    bad = np.zeros(n + 1, np.int64)
+    whole = kind > 3
+    if n > 1:
+        whole[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    np.cumsum(whole, out=bad[1:])
+    plain = bad[ends] == bad[starts]
+    inside = np.zeros(n + 1, np.int8)
+    inside[starts[plain]] += 1
+    inside[ends[plain]] -= 1
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        cut[1:n] = (np.cumsum(inside[:n], dtype=np.int8)[1:] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    cut[starts] = True
+    begin = np.flatnonzero(cut[:n])
+    word = np.searchsorted(starts, begin, "right") - 1
+    end = ends[word]
+    same = np.flatnonzero(word[1:] == word[:-1])
+    end[same] = begin[same + 1]
+    return begin, end, plain[word]
+
+
+def lowered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``data`` with A-Z as a-z in these (disjoint) ranges."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    return np.where(np.cumsum(inside[: len(data)], dtype=np.int8) > 0, _LOWER[data], data)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each byte range among the different ones (compared byte by byte), and these."""
+    coded = pc.dictionary_encode(cut(data, starts, ends))
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each byte range; ``lower``: with A-Z as a-z.
 
@@ -126,6 +174,15 @@ def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[spread(starts, lengths)]))])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Byte planes (low bytes first) of numbers below 2**32, which compress where numbers are small."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class Shingles:
     """Distinct hashes of k-word shingles of texts: a shingle is k consecutive
     words (A-Z lowered); a text with fewer words has its whole sequence as one,

@@ -91,6 +91,38 @@ def test_pieces_encode_independently(text):
         assert [i for x, y in zip(a, b) for i in low.encode(raw[x:y].decode(), add_special_tokens=False).ids] == low.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aB'sTre12 .,!\n\t\r\x0b\x1c\x1f\x7f\x85\xa0éÉ\u030c 　́北🙂<|>_", "<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>"]), max_size=30).map("".join), max_size=4))
+def test_word_encoder(texts):
+    import pyarrow as pa
+
+    from latticework.llm import words
+    from latticework.llm.token_binary import WordEncoder, encode_words
+
+    for path in (WORD, BYTE):
+        tok = tokenizer(path)
+        flat, lengths = encode_words(path, texts)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert lengths.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    encoder = WordEncoder(WORD, most=5)
+    assert encoder.fine
+    for _, data, offsets in words.text_slices(pa.array(texts, pa.string())):
+        ids, at = encoder(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tokenizer(WORD).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_patterned_words(spark):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x {one} y"), (2, f"x {other} y"), (3, other), (4, f"{one} {other} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    low, tok = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    want = {i: zlib.crc32(np.array(low.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in read_tokens(write_tokens(docs, WORD)).collect()} == want
+    got = {r.doc_id: (bytes(r.ids), r.decoded) for r in encode_documents(docs, BYTE, decode=True).collect()}
+    assert got == {i: (np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t) for i, t in rows}
+
+
 def pages(spark):
     html = "<html>" + "copy " * 40
     rows = [(1, "http://a", "<p>x</p>"), (2, None, None), (3, "u\r\nX: y", html), (4, "v", html), (5, "w", html), (6, "é", ""), (7, "", "<p>x</p>"), (8, "z", "ü" * 60), (9, "z", "ü" * 60), (3, "again", html), (None, "no id", "x"), (10, "long", "y" * 300_000), (11, "crlf", "a\r\n\r\nb\r\n\r\n" * 20)]
