@@ -27,19 +27,12 @@ from latticework.llm.token_binary import encode_words, tokenizer
 
 #: Bytes of text in a block, about (a longer text is a block of its own).
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for each part of the table of distinct words.
+BUCKET_BYTES = 32 << 20
 #: Words whose ids are gathered at once; bytes of ids decoded at once.
 GATHER, DECODE = 1 << 18, 1 << 18
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """Byte planes of the numbers (low bytes first), for compression."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-
-
-def _widen(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 _SHAPE = pa.schema([("words", pa.bool_()), ("key", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _SHAPE_SQL = "words boolean, key long, block long, a binary, b binary, c binary"
 
@@ -53,53 +46,41 @@ def _unpack(x: pa.Scalar | bytes) -> bytes:
 
 
 class _Block:
-    """Texts as numbers of their distinct words."""
+    """Texts as numbers of their distinct words (told by their bytes)."""
 
     def __init__(self):
-        self.names, self.parts, self.counts, self.text, self.lengths = [], [], [], [], []
-        self.keys, self.order, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.names, self.parts, self.counts, self.held = [], [], [], 0
+        self.number: dict[bytes, int] = {}
 
     def add(self, names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
         starts, ends = words.pieces(data, offsets)
-        found, first, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, found)
-        known = np.zeros(len(found), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == found[inside]
-        new = first[~known]
-        if len(new):
-            self.text.append(data[words.spread(starts[new], ends[new] - starts[new])])
-            self.lengths.append(ends[new] - starts[new])
-            self.order = np.concatenate([self.order, len(self.order) + np.arange(len(new))])
-            self.keys = np.concatenate([self.keys, found[~known]])
-            by = np.argsort(self.keys, kind="stable")
-            self.keys, self.order = self.keys[by], self.order[by]
-            place = np.searchsorted(self.keys, found)
-        self.parts.append(self.order[place][inverse] if len(found) else np.zeros(0, np.int64))
+        which, found = words.distinct(data, starts, ends)
+        number = self.number
+        mine = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
+        self.parts.append(mine[which])
         self.counts.append(np.diff(np.searchsorted(starts, offsets)))
         self.names.append(names)
         self.held += len(data)
 
     def rows(self, buckets: int) -> pa.RecordBatch:
         """One row with the texts, and one for each bucket with the words of that bucket."""
-        numbers, n = np.concatenate(self.parts), len(self.keys)
+        numbers, n = np.concatenate(self.parts), len(self.number)
         rank = np.argsort(-np.bincount(numbers, minlength=n), kind="stable")  # common words get small numbers
         new = np.empty(n, np.int64)
         new[rank] = np.arange(n)
-        size = np.concatenate([*self.lengths, np.zeros(0, np.int64)])
-        data = np.concatenate([*self.text, np.zeros(0, np.uint8)])
+        size = np.fromiter(map(len, self.number), np.int64, n)
+        data = np.frombuffer(b"".join(self.number), np.uint8)
         starts = np.cumsum(size) - size
-        texts = [np.concatenate(self.names).tobytes(), np.concatenate(self.counts).astype("<u4").tobytes(), _narrow(new[numbers]).tobytes()]
-        block = int.from_bytes(hashlib.blake2b(b"".join(texts), digest_size=8).digest(), "little", signed=True)
+        texts = [np.concatenate(self.names).tobytes(), np.concatenate(self.counts).astype("<u4").tobytes(), words.planes(new[numbers])]
+        block = int.from_bytes(hashlib.blake2b(b"".join([*texts, size.tobytes(), data.tobytes()]), digest_size=8).digest(), "little", signed=True)
         out = [(False, block, block, *map(_pack, texts))]
-        bucket = (self.keys % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((new[self.order], bucket))  # self.order: the first number of each key
-        edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for k in range(buckets):
-            part = self.order[by[edges[k] : edges[k + 1]]]
-            if len(part):
-                steps = np.diff(new[part], prepend=0)
-                out.append((True, k, block, _pack(data[words.spread(starts[part], size[part])]), _pack(_narrow(size[part])), _pack(_narrow(steps))))
+        bucket = (words.hashes(data, starts, starts + size) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((new, bucket))
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]])) if n else np.zeros(0, np.int64)
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            part = by[a:b]
+            steps = np.diff(new[part], prepend=0)
+            out.append((True, int(bucket[part[0]]), block, _pack(data[words.spread(starts[part], size[part])]), _pack(words.planes(size[part])), _pack(words.planes(steps))))
         return pa.RecordBatch.from_pylist([dict(zip(_SHAPE.names, r)) for r in out], _SHAPE)
 
 
@@ -126,18 +107,17 @@ def _encode_bucket(path: str):
         if not table["words"][0].as_py():
             return pa.schema([("key", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]).empty_table()
         texts = [np.frombuffer(_unpack(x), np.uint8) for x in table["a"]]
-        sizes = [_widen(_unpack(x)).astype(np.int64) for x in table["b"]]
+        sizes = [words.from_planes(_unpack(x)).astype(np.int64) for x in table["b"]]
         data, size = np.concatenate(texts), np.concatenate(sizes)
         ends = np.cumsum(size)
         starts = ends - size
-        _, first, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        flat, lengths = encode_words(path, [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        inverse, found = words.distinct(data, starts, ends)
+        flat, lengths = encode_words(path, [w.decode() for w in found])
         begins, at, out = np.cumsum(lengths) - lengths, 0, []
         for row in range(len(table)):
             mine = inverse[at : at + len(sizes[row])]
             at += len(mine)
-            out.append({"key": table["block"][row].as_py(), "numbers": table["c"][row].as_py(), "lengths": _pack(_narrow(lengths[mine])), "ids": _pack(_narrow(flat[words.spread(begins[mine], lengths[mine])]))})
+            out.append({"key": table["block"][row].as_py(), "numbers": table["c"][row].as_py(), "lengths": _pack(words.planes(lengths[mine])), "ids": _pack(words.planes(flat[words.spread(begins[mine], lengths[mine])]))})
         return pa.Table.from_pylist(out, pa.schema([("key", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]))
 
     return run
@@ -162,16 +142,16 @@ def _rebuild(path: str, decode: bool):
         texts = left.filter(pa.compute.invert(left["words"]))
         if not len(texts):
             return schema.empty_table()
-        numbers = np.concatenate([np.cumsum(_widen(_unpack(x)).astype(np.int64)) for x in right["numbers"]] or [np.zeros(0, np.int64)])
-        size = np.concatenate([_widen(_unpack(x)).astype(np.int64) for x in right["lengths"]] or [np.zeros(0, np.int64)])
-        flat = np.concatenate([_widen(_unpack(x)) for x in right["ids"]] or [np.zeros(0, "<u4")])
+        numbers = np.concatenate([np.cumsum(words.from_planes(_unpack(x)).astype(np.int64)) for x in right["numbers"]] or [np.zeros(0, np.int64)])
+        size = np.concatenate([words.from_planes(_unpack(x)).astype(np.int64) for x in right["lengths"]] or [np.zeros(0, np.int64)])
+        flat = np.concatenate([words.from_planes(_unpack(x)) for x in right["ids"]] or [np.zeros(0, "<u4")])
         starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         starts[numbers], lengths[numbers] = np.cumsum(size) - size, size
         out = []
         for row in range(len(texts)):
             names = np.frombuffer(_unpack(texts["a"][row]), np.int64)
             counts = np.frombuffer(_unpack(texts["b"][row]), "<u4").astype(np.int64)
-            at = _widen(_unpack(texts["c"][row]))
+            at = words.from_planes(_unpack(texts["c"][row]))
             if len(at) and at.max() >= len(lengths):
                 raise ValueError("a block lacks ids of its words: its input must read alike each time")
             ends = np.cumsum(counts)
@@ -199,8 +179,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """
     width = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
+    # as many parts of the table as keep each one's words, from all blocks, about as small as a block
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(width, -(-size // BUCKET_BYTES))
     # one exchange serves both: texts by block and words by bucket
-    dealt = rows.mapInArrow(_blocks(width), _SHAPE_SQL).repartition(width, "key")
+    dealt = rows.mapInArrow(_blocks(buckets), _SHAPE_SQL).repartition(width, "key")
     coded = dealt.groupBy("key").applyInArrow(_encode_bucket(tokenizer_path), "key long, numbers binary, lengths binary, ids binary")
     return dealt.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(_rebuild(tokenizer_path, decode), "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)
 
