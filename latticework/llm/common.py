@@ -3,6 +3,7 @@ folder, and global positions without a single-task sort."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where
-    it is set; a fresh local folder where it is not (one-machine tests)."""
+    it is set; where it is not, a fresh local folder for a local master and an error on a cluster."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="latticework-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -76,3 +79,18 @@ def with_position(df: DataFrame, order: list[Column], group: str | None = None,
     # parts has at most one row for each partition and group boundary
     ranked = kept.join(F.broadcast(parts), ["_group", "_part"])
     return ranked.withColumn(name, F.col("_row") + F.col("_shift")).drop("_row", "_group", "_part", "_shift")
+
+
+#: A key with more than this share of all rows is joined by broadcasting its row; there are fewer of them than its inverse.
+HOT = 1e-3
+
+
+def join_keyed(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join with ``right``, which has one row for each ``key`` and the number
+    ``count`` of rows of ``left`` that hold it (dropped). Rows of a hot key stay
+    where they are, so none gathers in one task."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > HOT * total
+    few, rest = F.broadcast(right.filter(hot).drop(count)), right.filter(~hot).drop(count)
+    cold = left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti").join(rest, key)
+    return left.join(few, key).unionByName(cold)

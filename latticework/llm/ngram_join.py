@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import words
-from latticework.llm.common import bound_batches, materialize, new_folder, shuffle_width
+from latticework.llm.common import bound_batches, join_keyed, materialize, new_folder, shuffle_width
 from latticework.llm.components import components
 from latticework.llm.files import get, put_at
 
 #: Shingles whose sets one file holds, and that one bucket of counts holds, about.
-CHUNK, BUCKET = 1 << 22, 1 << 20
+CHUNK, BUCKET = 1 << 21, 1 << 20
 #: Shingles of the sets of a block, about.
 BLOCK = 1 << 18
 #: Classes of a list that all others are verified against first.
@@ -102,8 +102,7 @@ def _deal(k: int, buckets: int, folder: str):
             full = np.flatnonzero(np.diff(edge))
             full = full if len(full) else np.zeros(1, np.int64)  # a chunk without shingles is heard of too
             cuts = [(edge[b], edge[b + 1]) for b in full.tolist()]
-            count = count.astype("<u4")
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(cuts)), pa.array(full), pa.array([slot[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([count[a:b].tobytes() for a, b in cuts], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(cuts)), pa.array(full), pa.array([words.planes(np.diff(slot[a:b], prepend=np.uint32(0))) for a, b in cuts], pa.binary()), pa.array([words.planes(count[a:b]) for a, b in cuts], pa.binary())], names)
 
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
@@ -125,8 +124,8 @@ def _count(table: pa.Table) -> pa.Table:
     """For each chunk, one byte for each of its shingles of this bucket: 0 if one
     set has it, else 1 + 4 log2 of the number of sets."""
     table = table.combine_chunks()
-    slots = [np.frombuffer(x.as_py(), "<u4") for x in table["slots"]]
-    counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]])
+    slots = [np.cumsum(words.from_planes(x.as_py()), dtype=np.uint32) for x in table["slots"]]
+    counts = np.concatenate([words.from_planes(x.as_py()) for x in table["counts"]])
     _, inverse = np.unique(np.concatenate(slots), return_inverse=True)
     total = np.bincount(inverse, counts)
     level = np.where(total > 1, 1 + np.floor(4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)[inverse]
@@ -356,8 +355,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     levels = dealt.groupBy("bucket").applyInArrow(_count, "chunk string, bucket long, levels binary")
     found = materialize(levels.groupBy("chunk").applyInArrow(_prefixes(folder, percent / 100), _FOUND_SQL), "prefixes")
     members = found.filter("many is null").select("doc_id", "n", "key")
-    firsts = members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
-    classes = found.filter("many is not null").drop("doc_id").dropDuplicates(["key"]).join(firsts, "key")
+    firsts = members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
+    classes = found.filter("many is not null").drop("doc_id").dropDuplicates(["key"]).join(firsts.drop("copies"), "key")
     # the table is written once, so these numbers hold
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).drop("key"), "classes")
 
@@ -381,8 +380,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     rest = _blocks(materialize(open_.join(mixed, "token"), "mixed"), classes, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
 
-    class_root = firsts.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", F.coalesce("root", "doc").alias("component_id"))
-    joined = members.filter("n > 0").join(class_root, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    class_root = firsts.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", F.coalesce("root", "doc").alias("component_id"), "copies")
+    joined = join_keyed(members.filter("n > 0"), materialize(class_root, "roots"), "key", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionAll(members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
