@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import materialize, new_folder, shuffle_width
+from latticework.llm.common import join_keyed, materialize, new_folder, shuffle_width
 from latticework.llm.files import get, put
 
 #: The skippable frame that holds a dictionary, a dictionary's
@@ -55,11 +55,14 @@ def frame_archive(records: list[bytes], samples: list[bytes]) -> bytes:
 
 
 def read_frames(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one for each frame."""
+    """The records of an archive, one for each frame; the dictionary's frame may be left out."""
     if len(data) < 8:
-        raise WarcError("no leading skippable frame")
+        raise WarcError("not an archive")
     magic, size = struct.unpack_from("<II", data)
-    if magic != DICT_FRAME or 8 + size > len(data):
+    begin = 8 + size
+    if magic == FRAME_MAGIC:  # no dictionary: records from the start
+        begin, size = 0, 0
+    elif magic != DICT_FRAME or begin > len(data):
         raise WarcError("no dictionary in the leading frame")
     raw = data[8 : 8 + size]
     if raw[:4] == struct.pack("<I", FRAME_MAGIC):
@@ -67,7 +70,7 @@ def read_frames(data: bytes) -> Iterator[bytes]:
     if raw and raw[:4] != struct.pack("<I", DICT_MAGIC):
         raise WarcError("the leading frame holds no dictionary")
     shared = zstandard.ZstdCompressionDict(raw) if raw else None
-    unpack, at, view = zstandard.ZstdDecompressor(dict_data=shared), 8 + size, memoryview(data)
+    unpack, at, view = zstandard.ZstdDecompressor(dict_data=shared), begin, memoryview(data)
     while at < len(data):
         one, parts, start = unpack.decompressobj(), [], at
         while not one.eof:
@@ -206,8 +209,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.length(html).cast("long").alias("length"), F.sha2(html, 256).alias("digest")).filter("page_id is not null")
-    first = rows.filter(F.col("length") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    marks = rows.select("page_id", "digest").join(first, "digest").filter("page_id <> first").select("page_id", "digest", "first").distinct()
+    long = rows.filter(F.col("length") >= LEAST_SHARED).select("page_id", "digest")
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marks = join_keyed(long, materialize(first, "digests"), "digest", "n").filter("page_id <> first").select("page_id", "digest", "first").distinct()
     # payloads travel once, by page id and digest, never gathered by a hot digest
     marked = rows.join(marks, ["page_id", "digest"], "left")
     marked = marked.select("page_id", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "length", "digest", F.col("first").alias("refers_to"))
