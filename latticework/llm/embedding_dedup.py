@@ -14,21 +14,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import materialize, with_position
+from latticework.llm.common import join_keyed, materialize, new_folder, shuffle_width, with_position
 from latticework.llm.components import components, local_roots
+from latticework.llm.files import get, put_at
 
 #: Vectors of a block, children of an interval, leading directions of the grid and of the boxes.
 BLOCK, FAN, GRID_DIMS, BOX_DIMS = 1024, 16, 6, 16
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows (none zero) as doubles of unit length, very large and very small ones too."""
+    x = x.astype(np.float64)
+    square = np.einsum("ij,ij->i", x, x)
+    far = ~((square > 1e-200) & (square < 1e200))
+    if far.any():
+        x[far] /= np.abs(x[far]).max(axis=1, keepdims=True)
+        square[far] = np.einsum("ij,ij->i", x[far], x[far])
+    return x / np.sqrt(square)[:, None]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of one length as doubles of unit length."""
-    n = len(column)
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -77,8 +88,8 @@ def _cells(epsilon: float, basis: dict[int, np.ndarray]):
     return run
 
 
-def _pack(basis: dict[int, np.ndarray]):
-    """A block as one row: its box, its range of labels and its vectors."""
+def _pack(basis: dict[int, np.ndarray], folder: str):
+    """A block: its box and range of labels as a row, its vectors in a file."""
 
     def run(table: pa.Table) -> pa.Table:
         out = []
@@ -86,14 +97,26 @@ def _pack(basis: dict[int, np.ndarray]):
             for d, part in _by_dim(batch):
                 x = _matrix(part["embedding"]) @ basis[d][:, :BOX_DIMS]
                 labels = part["label"].to_numpy()
-                raw = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-                out.append({"block": part["block"][0].as_py(), "dim": d, "low": x.min(0).tolist(), "high": x.max(0).tolist(), "first": int(labels.min()), "last": int(labels.max()), "ids": part["vec_id"].to_numpy().tobytes(), "labels": labels.tobytes(), "copies": part["copies"].to_numpy().tobytes(), "vectors": raw.tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("first", pa.int64()), ("last", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())]))
+                raw = part["embedding"].flatten().to_numpy(zero_copy_only=False)
+                columns = [part[c].to_numpy().astype("<i8") for c in ("vec_id", "label", "copies")]
+                data = np.array([len(part), d, raw.itemsize], "<i8").tobytes() + b"".join(c.tobytes() for c in columns) + raw.tobytes()
+                path = f"{folder}/{xxhash.xxh3_128_hexdigest(data)}"
+                put_at(path, data)
+                out.append({"block": part["block"][0].as_py(), "dim": d, "low": x.min(0).tolist(), "high": x.max(0).tolist(), "first": int(labels.min()), "last": int(labels.max()), "path": path})
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("first", pa.int64()), ("last", pa.int64()), ("path", pa.string())]))
 
     return run
 
 
-_PACKED = "block long, dim int, low array<double>, high array<double>, first long, last long, ids binary, labels binary, copies binary, vectors binary"
+def _read_block(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels, multiplicities and unit vectors (in double precision) of a block."""
+    data = get(path)
+    n, d, width = np.frombuffer(data, "<i8", 3).tolist()
+    ids, labels, copies = np.frombuffer(data, "<i8", 3 * n, 24).reshape(3, n)
+    return ids, labels, copies, _unit(np.frombuffer(data, f"<f{width}", n * d, 24 + 24 * n).reshape(n, d))
+
+
+_PACKED = "block long, dim int, low array<double>, high array<double>, first long, last long, path string"
 
 
 def near_intervals(blocks: DataFrame, epsilon: float, count: int) -> DataFrame:
@@ -119,27 +142,24 @@ def near_intervals(blocks: DataFrame, epsilon: float, count: int) -> DataFrame:
 
 
 def _compare(threshold: float):
+    """Links and roots of the pairs of blocks (p, q); a block is read once for a run of pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
-            for row in range(len(batch)):
-                r = {k: batch.column(i)[row].as_py() for i, k in enumerate(batch.schema.names)}
-                d, same = r["dim"], r["a"] == r["b"]
-                ids, labels, copies, unit = [], [], [], []
-                for s in "xy":
-                    ids.append(np.frombuffer(r[f"{s}_ids"], np.int64))
-                    labels.append(np.frombuffer(r[f"{s}_labels"], np.int64))
-                    copies.append(np.frombuffer(r[f"{s}_copies"], np.int64))
-                    v = np.frombuffer(r[f"{s}_vectors"], np.float32).astype(np.float64).reshape(-1, d)
-                    unit.append(v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None])
-                hit = (unit[0] @ unit[1].T >= threshold) & (labels[0][:, None] == labels[1][None, :])
+            for p, q in zip(batch["p"].to_pylist(), batch["q"].to_pylist()):
+                if p != last:
+                    last, x = p, _read_block(p)
+                same = p == q
+                y = x if same else _read_block(q)
+                hit = (x[3] @ y[3].T >= threshold) & (x[1][:, None] == y[1][None, :])
                 if same:
                     np.fill_diagonal(hit, False)
-                links = hit @ copies[1]
-                x, y = np.nonzero(np.triu(hit) if same else hit)
-                if not len(x):
+                a, b = np.nonzero(np.triu(hit) if same else hit)
+                if not len(a):
                     continue
-                nodes, roots = local_roots(ids[0][x], ids[1][y])
-                counts = [(ids[0], links)] if same else [(ids[0], links), (ids[1], hit.T @ copies[0])]
+                nodes, roots = local_roots(x[0][a], y[0][b])
+                counts = [(x[0], hit @ y[2])] + ([] if same else [(y[0], hit.T @ x[2])])
                 n_ids, n_links = (np.concatenate(z) for z in zip(*counts))
                 known = np.searchsorted(nodes, n_ids).clip(0, len(nodes) - 1)
                 found = nodes[known] == n_ids
@@ -148,6 +168,16 @@ def _compare(threshold: float):
     return run
 
 
+def _label_numbers(rows: DataFrame) -> DataFrame:
+    """``label`` as a long: as it is where it is a whole number, else numbered in its order."""
+    kind = dict(rows.dtypes)["label"]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return rows.withColumn("number", F.col("label").cast("long"))
+    known = with_position(rows.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")), [F.col("label")], name="number")
+    named = join_keyed(rows.filter("label is not null"), known.select("label", "number", "n"), "label", "n")
+    return named.unionByName(rows.filter("label is null").withColumn("number", F.lit(None).cast("long")))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, label.
 
@@ -157,34 +187,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     with nothing (n_links 0, component_id = vec_id). Equal vectors of a label
     are compared once and counted with their multiplicity, so a hot vector
     costs one row. Rows that repeat a vec_id count as vectors of their own. An
-    empty table gives an empty result; other columns are not carried.
+    empty table gives an empty result; other columns are not carried. Labels may
+    be of any type that has an order; vectors of doubles stay doubles. Blocks lie
+    in files of the shared folder; pairs of them carry only their names.
     """
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    kind = "array<float>" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("embedding"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("usable", usable)
+    rows = _label_numbers(rows.withColumn("usable", usable)).withColumnsRenamed({"label": "own_label", "number": "label"})
     distinct = rows.filter("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     distinct = materialize(distinct.withColumn("dim", F.size("embedding")), "vectors")
     basis = principal_directions(distinct)
-    fields = "label long, embedding array<float>, vec_id long, copies long, dim int"
+    fields = f"label long, embedding {kind}, vec_id long, copies long, dim int"
     placed = distinct.mapInArrow(_cells(epsilon, basis), fields + ", cells array<int>, lead double")
     placed = with_position(placed, [F.col(c) for c in ("dim", "label", "cells", "lead", "vec_id")], group="dim")
     placed = placed.withColumn("block", F.expr(f"position div {BLOCK}"))
-    blocks = materialize(placed.select("dim", "block", "label", "embedding", "vec_id", "copies").groupBy("dim", "block").applyInArrow(_pack(basis), _PACKED), "blocks")
+    blocks = materialize(placed.select("dim", "block", "label", "embedding", "vec_id", "copies").groupBy("dim", "block").applyInArrow(_pack(basis, new_folder(vectors.sparkSession, "blocks")), _PACKED), "blocks")
     count = (blocks.agg(F.max("block")).first()[0] or 0) + 1
     pairs = near_intervals(blocks, epsilon, count)
-    side = lambda s, k: blocks.select("dim", F.col("block").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "labels", "copies", "vectors")])
-    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(width, "a", "b")
-    both = pairs.join(side("x", "a"), ["dim", "a"]).join(side("y", "b"), ["dim", "b"])
-    found = materialize(both.mapInArrow(_compare(threshold), "id long, links long, root long"), "links")
+    side = lambda s, k: blocks.select("dim", F.col("block").alias(k), F.col("path").alias(s))
+    both = pairs.join(side("p", "a"), ["dim", "a"]).join(side("q", "b"), ["dim", "b"]).select("p", "q", F.expr(f"b div {FAN}").alias("run"))
+    both = both.repartition(shuffle_width(vectors.sparkSession), "p", "run").sortWithinPartitions("p", "q")
+    found = materialize(both.select("p", "q").mapInArrow(_compare(threshold), "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select("id", "root"))
     class_of = distinct.select("label", "embedding", F.col("vec_id").alias("id"), "copies").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    class_of = class_of.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    joined = rows.filter("usable").join(class_of, ["label", "embedding"]).select("vec_id", "n_links", F.col("root").alias("component_id"), "label")
-    alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), "label")
+    key = F.struct("label", "embedding").alias("key")
+    class_of = class_of.select(key, "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    joined = join_keyed(rows.filter("usable").select(key, "vec_id", "own_label"), materialize(class_of, "roots"), "key", "copies").select("vec_id", "n_links", F.col("root").alias("component_id"), F.col("own_label").alias("label"))
+    alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("own_label").alias("label"))
     return joined.unionAll(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "label")
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.llm.components import components
 from latticework.llm.embedding_dedup import near_duplicates
@@ -71,13 +72,13 @@ def test_shingles_of_few_words():
 
     bank = "p q r s t u v".split()
     texts = [" ".join(bank[:n]) for n in range(7)]
-    alone = [[list(s) for s in words.Shingles(5)(pa.array([t]))][0] for t in texts]
+    alone = [[list(s) for s in words.Shingles(5)(pa.array([t], pa.string()))][0] for t in texts]
     assert [len(s) for s in alone] == [0, 1, 1, 1, 1, 1, 2]
     assert len({tuple(s) for s in alone}) == 7
     for n, t in enumerate(texts):
         for other in ["z " * 600_000, "z", "", None]:
-            got = [list(s) for s in words.Shingles(5)(pa.array([other, t]))]
-            assert got[1] == alone[n] and got[0] == [list(s) for s in words.Shingles(5)(pa.array([other]))][0]
+            got = [list(s) for s in words.Shingles(5)(pa.array([other, t], pa.string()))]
+            assert got[1] == alone[n] and got[0] == [list(s) for s in words.Shingles(5)(pa.array([other], pa.string()))][0]
         for m in range(7):
             assert [list(s) for s in words.Shingles(5)(pa.array([t, texts[m]]))] == [alone[n], alone[m]]
 
@@ -131,6 +132,7 @@ def test_jaccard_blocks(spark, monkeypatch):
 def test_counts_of_shingles():
     import pyarrow as pa
 
+    from latticework.llm import words
     from latticework.llm.ngram_join import _count, _slots
 
     tokens = np.sort(np.random.default_rng(5).integers(0, 2**64, 5000, np.uint64))
@@ -140,7 +142,7 @@ def test_counts_of_shingles():
         assert len(set(zip(bucket.tolist(), slot.tolist()))) == len(tokens)
     held = [np.array(x, "<u4") for x in ([1, 2, 9], [2, 9], [], [9, 10])]
     counts = [np.array(x, "<u4") for x in ([1, 1, 3], [1, 1], [], [1, 2])]
-    table = pa.table({"chunk": list("abcd"), "bucket": [0] * 4, "slots": [x.tobytes() for x in held], "counts": [x.tobytes() for x in counts]})
+    table = pa.table({"chunk": list("abcd"), "bucket": [0] * 4, "slots": [words.planes(np.diff(x, prepend=np.uint32(0))) for x in held], "counts": [words.planes(x) for x in counts]})
     level = lambda n: 1 + int(4 * np.log2(n)) if n > 1 else 0
     assert [list(x.as_py()) for x in _count(table)["levels"]] == [[level(1), level(2), level(5)], [level(2), level(5)], [], [level(5), level(2)]]
 
@@ -149,8 +151,6 @@ def test_empty_and_clashing(spark):
     none = documents(spark, rows=[])
     assert jaccard_components(none).count() == 0
     assert compare_edited(none).count() == 0
-    from pyspark.sql import functions as F
-
     odd = documents(spark).withColumn("token", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("part", F.lit(2)).withColumn("cid", F.lit("y")).withColumn("fingerprint", F.lit("z"))
     assert jaccard_components(odd).count() == compare_edited(odd).count() == odd.count()
 
@@ -194,6 +194,18 @@ def test_embedding_near_duplicates(spark):
     assert near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_kinds(spark):
+    """Doubles stay doubles, also those that no float holds; labels may be texts."""
+    near, apart = [1.0, 2.657e-1 * 1.4875], [1.0, 2.657e-1 * 1.488]
+    rows = [(1, [1e200, 0.0], "a"), (2, [1.0, 1e-9], "a"), (3, [1e-200, 0.0], "a"), (4, [0.0, 1e300], "a"), (5, [1.0, 0.0], "b"), (6, [1.0, 0.1], "b"), (7, [1.0, 0.0], None), (8, near, "c"), (9, apart, "c"), (10, [1.0, 0.0], "c")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("key", F.lit("x")).withColumn("number", F.lit(3))
+    got = {r.vec_id: (r.n_links, r.component_id, r.label) for r in near_duplicates(table).collect()}
+    unit = {i: np.array(v) / np.hypot(*(np.array(v) / max(v))) / max(v) for i, v, _ in rows}
+    links = {i: sum(j != i and a == b and a is not None and unit[i] @ unit[j] >= 0.93 for j, _, b in rows) for i, _, a in rows}
+    assert {i: g[0] for i, g in got.items()} == links
+    assert [got[i][1] for i in range(1, 8)] == [1, 1, 1, 4, 5, 5, 7] and got[5][2] == "b"
+
+
 def test_embedding_blocks(spark, monkeypatch):
     import latticework.llm.embedding_dedup as e
 
