@@ -53,8 +53,9 @@ def mix_documents(
     repeated 0 times. An empty table gives an empty result; repeated rows are
     documents of their own.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = materialize(rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("mix")), F.lit(1 << 30))), "sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("digest"))
+    # by id and text: rows that repeat an id are spread like others
+    rows = materialize(rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("digest"), F.lit("mix")), F.lit(1 << 30))), "sizes")
     n = rows.count()
     bits = max(0, min(30, math.ceil(math.log2(max(1, n) / ROWS_PER_BUCKET))))
     rows = rows.withColumn("bucket", F.shiftright("draw", 30 - bits).cast("int"))
@@ -74,7 +75,7 @@ def mix_documents(
     starts = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     starts = starts.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "bucket", "start", "source_size", "target", "whole", "rest")
 
-    inside = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     both = rows.alias("r").join(starts.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.bucket") == F.col("t.bucket")))
     more = (F.col("start") + F.col("local") + F.col("size") / 2.0 < F.col("rest")) & (F.col("size") > 0)

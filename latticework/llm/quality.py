@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import words
+from latticework.llm.common import materialize
 from latticework.llm.labelled import held_out, labelled_sample
 
 #: Bits of the hashed space of words and word pairs, and of character classes.
@@ -177,11 +178,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "features"])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, most: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> NbSvm:
-    """The model of ``labels.quality``, learned on the driver from about ``most``
-    labelled documents at most that are not held out."""
+def train_quality(docs: DataFrame, labels: DataFrame, most: int = 8000, most_features: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text") -> NbSvm:
+    """The model of ``labels.quality``, learned on the driver from labelled
+    documents that are not held out: about ``most`` at most, and of these, in an
+    order by hash of the id, as many as have ``most_features`` features together
+    (four bytes each), so the driver's memory is bounded however long texts are."""
     sample = labelled_sample(docs, labels, "quality", most, id_col, text_col)
-    found = sample.mapInArrow(_features, "id long, y int, features array<int>").toArrow().sort_by("id")
+    rows = materialize(sample.mapInArrow(_features, "id long, y int, features array<int>").withColumn("draw", F.xxhash64("id", F.lit("order"))), "features")
+    sizes = rows.select("draw", F.size("features").alias("n")).toArrow().sort_by("draw")  # two numbers for each of `most` rows
+    fit_in = np.searchsorted(np.cumsum(sizes["n"].to_numpy()), most_features, "right")
+    if fit_in < len(sizes):
+        rows = rows.filter(F.col("draw") < sizes["draw"][int(fit_in)].as_py())
+    found = rows.drop("draw").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     column = found["features"].combine_chunks()
     column = column if not isinstance(column, pa.ChunkedArray) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.int32()))
     flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -201,9 +209,10 @@ def _score(model: NbSvm):
 def score_quality(docs: DataFrame, model: NbSvm, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
-    The whole text is the only input of the score; a null text counts as
-    empty, and an empty one has the score of the bias. Repeated rows are scored
-    each; an empty table gives an empty result; other columns are not carried.
+    The whole text, however long, is the only input of the score; a null text
+    counts as empty, and an empty one has the score of the bias. Equal texts have
+    equal scores, and repeated rows are scored each; an empty table gives an empty
+    result; other columns are not carried.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]

@@ -1,7 +1,10 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Grades: 0 clean, 1 toxic, 2 toxic with more hits than the median toxic
-document. One weight for each term moves all thresholds alike:
+Labels tell toxic from clean only, so grades beyond that are made here: 0
+clean, 1 toxic, 2 toxic with more words of the vocabulary than the median toxic
+document. The step from 0 to 1 is learned from labels alone; the one from 1 to 2
+orders toxic documents by how much of them is toxic, and is no judgement from
+outside. One weight for each term moves all thresholds alike:
 P(grade >= k) = 1 / (1 + exp(threshold_k - score)); the expected severity is
 the sum of these over k.
 """
@@ -130,14 +133,15 @@ def _gather(model: Ordinal):
     return run
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
+def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """Learn from about ``most`` labelled documents at most that are not held out.
 
-    The vocabulary is the ``TERMS`` words and word beginnings that speak most
+    The vocabulary is the ``most_terms`` words and word beginnings that speak most
     clearly for toxicity: seen in at least three toxic documents of the sample,
     and there (at the lower end of what chance allows) at least ``LEAST_ODDS``
-    times as often as in clean ones. Without toxic or
-    clean rows the model calls every text clean.
+    times as often as in clean ones. The driver holds them, so they are bounded;
+    where fewer pass the test, ``most_terms`` leaves none out. Without toxic or clean
+    rows the model calls every text clean.
     """
     sample = labelled_sample(docs, labels, "toxic", most, id_col, text_col).persist()
     try:
@@ -150,7 +154,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_co
         odds = F.log((F.col("toxic") + 0.5) / bad / ((F.col("seen") - F.col("toxic") + 0.5) / (n - bad)))
         error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("seen") - F.col("toxic") + 0.5))
         terms = terms.filter("term <> 0 and toxic >= 3").withColumn("odds", odds - 1.64 * error).filter(F.col("odds") >= float(np.log(LEAST_ODDS)))
-        chosen = terms.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "term").limit(TERMS).select("term").toArrow()["term"].to_numpy()
+        chosen = terms.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "term").limit(most_terms).select("term").toArrow()["term"].to_numpy()
         model = Ordinal(np.sort(chosen.astype(np.int64).view(np.uint64)), np.zeros(len(chosen)), clean.thresholds)
         seen = sample.mapInArrow(_gather(model), "id long, y int, terms array<long>, counts array<long>, hits long").toArrow().sort_by("id")
     finally:
@@ -175,8 +179,8 @@ def _grade(model: Ordinal):
 def grade_toxicity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, severity (0 to 2), grade (0 to 2), toxic (grade > 0), hits.
 
-    The whole text is read; a null or empty one has no terms. Repeated rows
-    are graded each; an empty table gives an empty result; other columns are
+    The whole text is read, however long; a null or empty one has no terms.
+    Equal texts have equal grades, and repeated rows are graded each; an empty table gives an empty result; other columns are
     not carried.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

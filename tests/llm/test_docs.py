@@ -138,6 +138,60 @@ def test_dual_coordinate_descent_separates():
     assert np.mean([(w[r].sum() + b > 0) == t for r, t in zip(rows, y)]) > 0.97
 
 
+def test_log_count_ratios():
+    draw = np.random.default_rng(1)
+    rows = [np.sort(draw.choice(40, draw.integers(1, 9), replace=False)) for _ in range(60)]
+    y = draw.integers(0, 2, 60)
+    got = quality.log_count_ratios(rows, y)
+    held = [[1 + sum(f in set(r.tolist()) for r, t in zip(rows, y) if t == c) for f in range(quality.SIZE)] for c in (0, 1)]
+    want = np.log(np.array(held[1]) / sum(held[1])) - np.log(np.array(held[0]) / sum(held[0]))
+    assert np.allclose(got, want)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    draw = np.random.default_rng(2)
+    rows = [np.sort(draw.choice(12, 4, replace=False)) for _ in range(40)]
+    values = [draw.normal(size=4) for _ in rows]
+    y, cost = draw.integers(0, 2, 40), draw.uniform(0.2, 2.0, 40)
+    w, b = quality.dual_coordinate_descent(rows, values, y, cost, 12, epochs=4000)
+    x = np.zeros((40, 13))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r], x[i, 12] = v, 1.0
+    sign = np.where(y == 1, 1.0, -1.0)
+    # projected gradient steps on the whole dual problem
+    q = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha = np.zeros(40)
+    for _ in range(40_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    best = (alpha * sign) @ x
+    objective = lambda u: u @ u / 2 + cost @ np.maximum(0, 1 - sign * (x @ u))
+    assert objective(np.append(w, b)) <= objective(best) * (1 + 1e-4)
+    assert np.allclose(np.append(w, b), best, atol=2e-2)
+
+
+def test_calibration():
+    margins = np.linspace(-3, 3, 400)
+    y = (np.random.default_rng(3).uniform(size=400) < 1 / (1 + np.exp(-(2 * margins - 1)))).astype(int)
+    a, b = quality._calibrate(margins, y)
+    loss = lambda a, b: np.mean(np.log1p(np.exp(-np.where(y == 1, 1, -1) * (a * margins + b))))
+    assert loss(a, b) <= min(loss(p, q) for p in np.linspace(0.5, 4, 36) for q in np.linspace(-3, 2, 51)) + 1e-3
+
+
+def test_classifiers_on_long_tied_and_repeated_texts(spark):
+    rows, labels = labelled(spark, 200)
+    docs = documents(spark, rows=rows)
+    good, tox = quality.train_quality(docs, labels), toxicity.train_toxicity(docs, labels)
+    long = "calm words " * 150_000
+    odd = documents(spark, rows=[(1, long, "en", "a", 1), (2, long + "scumbag", "en", "a", 1), (3, rows[3][1], "en", "a", 1), (3, rows[3][1], "en", "a", 1), (4, rows[3][1], "fr", None, 1)])
+    scores = sorted((r.doc_id, r.score) for r in quality.score_quality(odd, good).collect())
+    assert len(scores) == 5 and len({s for i, s in scores if i > 2}) == 1
+    grades = sorted((r.doc_id, r.severity, r.hits) for r in toxicity.grade_toxicity(odd, tox).collect())
+    assert len(grades) == 5 and len({g[1:] for g in grades if g[0] > 2}) == 1 and [g[2] for g in grades[:2]] == [0, 1]
+    small = quality.train_quality(docs, labels, most_features=3000)
+    again = quality.train_quality(docs.repartition(3), labels, most_features=3000)
+    assert (small.weight == again.weight).all() and (small.weight != good.weight).any()
+
+
 def test_toxicity(spark):
     rows, labels = labelled(spark)
     docs = documents(spark, rows=rows)
@@ -162,6 +216,29 @@ def test_ordinal_thresholds_ascend():
     assert model.chances(np.array([3]), np.array([1])).sum() > 1.5 > 0.5 > model.chances(np.array([0]), np.array([1])).sum()
 
 
+def test_ordinal_reaches_the_optimum():
+    """Against steps along numerical gradients of the penalised likelihood."""
+    draw = np.random.default_rng(4)
+    rows = [(np.sort(draw.choice(5, 2, replace=False)), draw.integers(1, 4, 2)) for _ in range(150)]
+    grade = np.array([min(2, int(i.sum() + draw.integers(0, 3)) // 3) for i, _ in rows])
+    x = np.zeros((150, 5))
+    for k, (i, c) in enumerate(rows):
+        x[k, i] = 1 + np.log(c)
+
+    def loss(p):
+        cuts = np.cumsum([p[5], np.exp(p[6])])
+        above = 1 / (1 + np.exp(cuts[None, :] - (x @ p[:5])[:, None]))
+        edge = np.concatenate([np.ones((150, 1)), above, np.zeros((150, 1))], axis=1)
+        return -np.mean(np.log(edge[np.arange(150), grade] - edge[np.arange(150), grade + 1])) + 1e-3 / 2 * p[:5] @ p[:5]
+
+    p = np.zeros(7)
+    for _ in range(4000):
+        p -= 0.5 * np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in np.eye(7) * 1e-5])
+    w, cuts = toxicity.fit_ordinal(rows, grade, 5, decay=1e-3, steps=4000)
+    assert loss(np.concatenate([w, [cuts[0], np.log(cuts[1] - cuts[0])]])) <= loss(p) + 1e-5
+    assert np.allclose(w, p[:5], atol=0.02)
+
+
 def test_repeated_ids_keep_unlike_texts(spark):
     import corpus_pipeline
 
