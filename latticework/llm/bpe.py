@@ -49,10 +49,10 @@ class _Block:
     """Texts as numbers of their distinct words (told by their bytes)."""
 
     def __init__(self):
-        self.names, self.parts, self.counts, self.held = [], [], [], 0
+        self.names, self.valid, self.parts, self.counts, self.held = [], [], [], [], 0
         self.number: dict[bytes, int] = {}
 
-    def add(self, names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, names: np.ndarray, valid: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
         starts, ends = words.pieces(data, offsets)
         which, found = words.distinct(data, starts, ends)
         number = self.number
@@ -60,6 +60,7 @@ class _Block:
         self.parts.append(mine[which])
         self.counts.append(np.diff(np.searchsorted(starts, offsets)))
         self.names.append(names)
+        self.valid.append(valid)
         self.held += len(data)
 
     def rows(self, buckets: int) -> pa.RecordBatch:
@@ -71,7 +72,7 @@ class _Block:
         size = np.fromiter(map(len, self.number), np.int64, n)
         data = np.frombuffer(b"".join(self.number), np.uint8)
         starts = np.cumsum(size) - size
-        texts = [np.concatenate(self.names).tobytes(), np.concatenate(self.counts).astype("<u4").tobytes(), words.planes(new[numbers])]
+        texts = [np.concatenate(self.names).tobytes() + np.concatenate(self.valid).tobytes(), np.concatenate(self.counts).astype("<u4").tobytes(), words.planes(new[numbers])]
         block = int.from_bytes(hashlib.blake2b(b"".join([*texts, size.tobytes(), data.tobytes()]), digest_size=8).digest(), "little", signed=True)
         out = [(False, block, block, *map(_pack, texts))]
         bucket = (words.hashes(data, starts, starts + size) % np.uint64(buckets)).astype(np.int64)
@@ -88,9 +89,11 @@ def _blocks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
         for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            names = batch.column(0).fill_null(0).to_numpy()
             for at, data, offsets in words.text_slices(batch.column(1), 2 << 20):
-                block.add(names[at : at + len(offsets) - 1], data, offsets)
+                to = at + len(offsets) - 1
+                block.add(names[at:to], valid[at:to], data, offsets)
                 if block.held >= BLOCK_BYTES:
                     yield block.rows(buckets)
                     block = _Block()
@@ -130,12 +133,12 @@ def _rebuild(path: str, decode: bool):
     """Each text's ids, from its block's numbers and the ids of the block's words."""
     schema = _CODED.append(pa.field("decoded", pa.string())) if decode else _CODED
 
-    def some(names: np.ndarray, counts: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> pa.Table:
+    def some(names: pa.Array, counts: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> pa.Table:
         size = lengths[at]
         ids = flat[words.spread(starts[at], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
         begin = np.concatenate([[0], ends[:-1]])
-        columns = [pa.array(names), pa.array(ends - begin), words.cut(ids.view(np.uint8), 4 * begin, 4 * ends)]
+        columns = [names, pa.array(ends - begin), words.cut(ids.view(np.uint8), 4 * begin, 4 * ends)]
         return pa.table([*columns, _decoded(columns[2], path)] if decode else columns, schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -149,7 +152,9 @@ def _rebuild(path: str, decode: bool):
         starts[numbers], lengths[numbers] = np.cumsum(size) - size, size
         out = []
         for row in range(len(texts)):
-            names = np.frombuffer(_unpack(texts["a"][row]), np.int64)
+            raw = _unpack(texts["a"][row])
+            n = len(raw) // 9
+            names = pa.array(np.frombuffer(raw, np.int64, n), mask=~np.frombuffer(raw, bool, n, 8 * n))
             counts = np.frombuffer(_unpack(texts["b"][row]), "<u4").astype(np.int64)
             at = words.from_planes(_unpack(texts["c"][row]))
             if len(at) and at.max() >= len(lengths):
@@ -166,22 +171,24 @@ def _rebuild(path: str, decode: bool):
     return run
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, keep_unnamed: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document: ids as little-endian unsigned
     32-bit integers, equal to those of the library on the whole text (without
     added special tokens, truncation and padding). ``decode``: also the text of
     these ids, as ``decode_documents`` gives it, in the same pass.
 
-    A null text is empty and has no ids; rows without an id are left out;
+    A null text is empty and has no ids; rows without an id are left out, or with
+    ``keep_unnamed`` have a null one;
     repeated rows are encoded each; an empty table gives an empty result; other
     columns are not carried. ``docs`` must give the same rows when read again
     (files do), since lost tasks are run anew.
     """
     width = shuffle_width(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows if keep_unnamed else rows.filter("doc_id is not null")
     # as many parts of the table as keep each one's words, from all blocks, about as small as a block
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(width, -(-size // BUCKET_BYTES))
+    buckets = max(4 * width, -(-size // BUCKET_BYTES))
     # one exchange serves both: texts by block and words by bucket
     dealt = rows.mapInArrow(_blocks(buckets), _SHAPE_SQL).repartition(width, "key")
     coded = dealt.groupBy("key").applyInArrow(_encode_bucket(tokenizer_path), "key long, numbers binary, lengths binary, ids binary")

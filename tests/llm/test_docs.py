@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -249,14 +250,26 @@ def test_repeated_ids_keep_unlike_texts(spark):
     for parts in (1, 5):
         kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), "")
         got = sorted((r.doc_id or 0, (r.text or "").strip()) for r in kept.collect())
-        assert got == sorted([(3, a), (5, b), (5, c), (6, ""), (7, ""), (0, c)])
-    from latticework.llm.mixing import mix_documents as mix
+        assert got == sorted([(3, a), (5, b), (5, c), (6, ""), (7, "")])
+    rows = [(1, "x y", "en", "s", 1), (1, "u v", "en", "s", 1), (1, "p q r", "en", "s", 1), (1, "p q r", "en", "s", 1), (2, "k l", "en", None, 1), (None, "n " * 50, "en", "s", 1), (None, None, "en", "s", 0)]
+    runs = [sorted((r.doc_id or 0, r.text or '') for r in corpus_pipeline.mix_sources(spark, documents(spark, rows=rows).repartition(n), "").collect()) for n in (1, 4)]
+    assert runs[0] == runs[1]
+    times = Counter(runs[0])
+    # 61 words share 91.5: source s has 59 of them and weight 3, null 2 and weight 1; null stops at 4
+    assert times[(2, "k l")] == 2 and all(times[(r[0] or 0, r[1])] >= (2 if r[1] == "p q r" else 1) for r in rows if r[1])
+    assert abs(sum(len(t.split()) for i, t in runs[0] if i != 2) - 87.5) <= 25
+    assert times[(0, '')] == 1  # taken whole times like all of its source, never for the rest
+    for none in (documents(spark, rows=[]), documents(spark, rows=rows[-1:])):
+        for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources, corpus_pipeline.tokenize):
+            assert stage(spark, none, "").count() == none.count() * (stage is not corpus_pipeline.mix_sources)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
 
-    rows = [(1, "x y", "en", "s", 1), (1, "u v", "en", "s", 1), (1, "p q r", "en", "s", 1), (2, "k l", "en", None, 1), (None, "n " * 50, "en", "s", 1)]
-    got = sorted(r.text for r in corpus_pipeline.mix_sources(spark, documents(spark, rows=rows), "").collect())
-    named = mix(documents(spark, rows=rows[:-1])).collect()
-    assert len(got) == sum(r.repeats for r in named) and sum(len(t.split()) for t in got) == sum(r.taken for r in named)
-    assert {"x y", "u v", "p q r"} & set(got) and not any("n" in t for t in got)
+    documents(spark, rows=[]).write.parquet(f"{tmp_path}/documents.parquet")
+    labelled(spark, 10)[1].write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -270,20 +283,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     docs = documents(spark, rows=rows).withColumn("repeats", F.lit(7)).withColumn("_copy", F.lit("x"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    got = sorted((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    got = list((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
 
     tox = toxicity.train_toxicity(docs, labels)
     column = lambda rs: pa.array([r[1] or "" for r in rs])
     kept = [r for r, (i, c, _) in zip(rows, tox.counts(column(rows))) if tox.chances(i, c)[0] < 0.5]
     good = quality.train_quality(documents(spark, rows=kept), labels)
     kept = [r for r, f in zip(kept, quality.indicators(column(kept))) if good.score(f) >= 0.5]
-    truth, _ = jaccard_truth([r for r in kept if r[0] is not None])
-    kept = [r for r in kept if r[0] is None or truth[r[0]][1] == r[0]]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    truth, _ = jaccard_truth([(at, *r[1:]) for at, r in enumerate(kept)])
+    kept = [r for at, r in enumerate(kept) if truth[at][1] == at]
     assert len(kept) > 100
-    taken = {r.doc_id: r.repeats for r in mix(documents(spark, rows=kept)).collect()}
+    # rows are numbered, as one of them has no id
+    taken = {r.doc_id: r.repeats for r in mix(documents(spark, rows=[(at, *r[1:]) for at, r in enumerate(kept)])).collect()}
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    want = [(r[0], np.array(tok.encode(r[1] or "", add_special_tokens=False).ids, "<u4").tobytes()) for r in kept if r[0] is not None for _ in range(taken[r[0]])]
-    assert got == sorted(want)
+    want = [(r[0], np.array(tok.encode(r[1] or "", add_special_tokens=False).ids, "<u4").tobytes()) for at, r in enumerate(kept) for _ in range(taken[at])]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=order) == sorted(want, key=order)
