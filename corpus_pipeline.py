@@ -3,11 +3,11 @@ mixing, BPE. Each stage works on all rows that the one before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm.bpe import encode_documents
-from latticework.llm.common import WORD, materialize, new_folder, with_position
+from latticework.llm.common import materialize, new_folder, with_position
 from latticework.llm.mixing import mix_documents
 from latticework.llm.ngram_join import jaccard_components
 from latticework.llm.quality import keep_good, train_quality
@@ -19,61 +19,71 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labelled ones among ``docs``, does not grade toxic."""
+    """Documents that the toxicity model, learned from the labelled ones among ``docs``,
+    does not grade toxic. Null and empty texts stay; equal texts share their fate;
+    rows without an id are judged like others; an empty table stays empty."""
     return keep_clean(docs, train_toxicity(docs, _labels(spark, sf_dir)))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model, learned from the labelled ones among ``docs``, predicts good."""
+    """Documents that the quality model, learned from the labelled ones among ``docs``,
+    predicts good. Null and empty texts have the score of the model's bias; equal
+    texts share their fate; an empty table stays empty."""
     return keep_good(docs, train_quality(docs, _labels(spark, sf_dir)))
 
 
-def _repeats_ids(docs: DataFrame) -> bool:
-    return not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+def _plain_ids(docs: DataFrame) -> bool:
+    """Whether every row has an id of its own."""
+    return docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows as (row, doc_id, text, source, at): ``at`` is a number of each row in a fixed order."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source").withColumn("by_row", F.xxhash64("row"))
+    return with_position(rows, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("by_row")], name="at")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates and
-    documents without an id. Where ids repeat, rows are documents of their own
-    (unlike texts of an id all stay), in a fixed order within the id; of its
-    rows without words one stays."""
-    unnamed = docs.filter("doc_id is null")
-    if not _repeats_ids(docs):
+    """The document with the smallest id of each component of near duplicates.
+
+    Where ids repeat or are null, rows are documents of their own, in the order of
+    their ids (null last) and within an id in a fixed one: unlike texts of an id
+    all stay. Documents without words (or with a null text) link with nothing and
+    stay, one for each id. An empty table stays empty.
+    """
+    if _plain_ids(docs):
         kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").unionByName(unnamed).select(*docs.columns)
-    rows = docs.filter("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", "text").withColumn("by_row", F.xxhash64("row"))
-    rows = with_position(rows, [F.col("doc_id"), F.xxhash64("text"), F.col("by_row")], name="at")
-    found = materialize(jaccard_components(rows, id_col="at").filter("doc_id = component_id").select(F.col("doc_id").alias("at"), "n_shingles"), "kept")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = _numbered(docs)
+    found = jaccard_components(rows, id_col="at").filter("doc_id = component_id")
+    found = materialize(found.select(F.col("doc_id").alias("at"), "n_shingles"), "kept")
     worded, blank = found.filter("n_shingles > 0").select("at"), found.filter("n_shingles = 0").select("at")
     blank = rows.select("at", "doc_id").join(blank, "at").groupBy("doc_id").agg(F.min("at").alias("at")).select("at")
-    return rows.join(worded.unionAll(blank), "at", "left_semi").select("row.*").unionByName(unnamed).select(*docs.columns)
+    return rows.join(worded.unionAll(blank), "at", "left_semi").select("row.*").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows without an id are
-    neither taken nor counted. Rows that repeat an id are taken each."""
-    named = docs.filter("doc_id is not null")
-    taken = mix_documents(named)
-    key = ["doc_id"]
-    rows = named.select(F.struct("*").alias("row"), "doc_id")
-    if _repeats_ids(named):
-        # rows of an id with one size and source share their draw: numbered, they meet their own repeats
-        key = ["doc_id", "size", "origin", "nth"]
-        by = ["doc_id", "size", "origin"]
-        origin = F.to_json(F.struct("source"))
-        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        rows = named.select(F.struct("*").alias("row"), "doc_id", size.alias("size"), origin.alias("origin")).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("row"))))
-        taken = taken.withColumn("origin", origin).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("repeats").desc())))
-    copies = F.explode(F.sequence(F.lit(1), F.col("taken_repeats"))).alias("copy")
-    both = rows.join(taken.filter("repeats > 0").select(*key, F.col("repeats").alias("taken_repeats")), key)
-    return both.select("row", copies).select("row.*")
+    """Each document as many times as the mix takes it. Rows that repeat an id and
+    rows without one are documents of their own; a text without words is taken the
+    whole times of its source. An empty table stays empty."""
+    copies = F.explode(F.sequence(F.lit(1), F.col("taken_repeats")))
+    if _plain_ids(docs):
+        rows, key = docs.select(F.struct("*").alias("row"), "doc_id"), "doc_id"
+        taken = mix_documents(docs)
+    else:
+        numbered = _numbered(docs)
+        rows, key = numbered.select("row", "at"), "at"
+        taken = mix_documents(numbered, id_col="at").withColumnRenamed("doc_id", "at")
+    both = rows.join(taken.filter("repeats > 0").select(key, F.col("repeats").alias("taken_repeats")), key)
+    return both.select("row", copies.alias("copy")).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each copy."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each copy;
+    rows without an id have doc_id null. A null text has no ids."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_unnamed=True)
 
 
 STAGES = [
@@ -86,7 +96,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and read again for the next."""
+    """All stages over ``documents``; each is written as Parquet and read again for the
+    next. Columns beyond those of ``documents`` travel along, whatever their names;
+    only doc_id, n_tokens and ids come out of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, f"stage-{name}")
