@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder (``spark.checkpoint.dir``; a fresh local
-    one where it is not set) and return a reader of it."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """An unused folder name in the shared folder: ``spark.checkpoint.dir``; where that
+    is not set, a fresh local one for a local master and an error on a cluster."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="latticework-")
         sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/latticework-{tag}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/latticework-{tag}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of it."""
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

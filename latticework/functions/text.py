@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,18 @@ def tokenise_keywords(raw: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: F.octet_length(p) >= 2))
 
 
+def tokenise_code(raw: Column) -> Column:
+    """Query tokens of a piece of code, each once: what its string literals say,
+    identifiers and their parts, segments of paths; of at least two bytes."""
+    quoted = F.regexp_extract_all(raw, F.lit("\"([^\"]*)\"|'([^']*)'"), F.lit(0))
+    said = F.flatten(F.transform(quoted, lambda q: tokenise_keywords(q)))
+    idents = F.regexp_extract_all(raw, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    named = F.flatten(F.transform(idents, lambda i: F.concat(F.array(ascii_lower(i)), split_identifier(i))))
+    paths = F.filter(F.split(raw, r"\s+"), lambda w: F.contains(w, F.lit("/")))
+    steps = F.flatten(F.transform(paths, lambda p: F.transform(F.split(p, "/"), lambda s: ascii_lower(F.regexp_replace(s, r"[^\p{L}\p{N}_.]", "")))))
+    return F.array_distinct(F.filter(F.concat(said, named, steps), lambda t: F.octet_length(t) >= 2))
+
+
 def fts_tokens(body: Column) -> Column:
     """Index tokens: ASCII identifiers split into parts, CJK runs as bigrams
     (one alone stays); every other character separates."""
@@ -49,11 +63,33 @@ def query_tokens(raw: Column) -> Column:
     return F.slice(F.array_distinct(fts_tokens(raw)), 1, MOST_QUERY_TOKENS)
 
 
+#: Parts of a stored index, by a token's hash.
+PARTS = 32
+
+
+def part_of(token: Column) -> Column:
+    return F.pmod(F.crc32(token), F.lit(PARTS)).cast("int")
+
+
 def postings(bodies: DataFrame, id_col: str, body_col: str) -> DataFrame:
-    """(id, token, tf, length) of every body."""
+    """(id, token, tf, length, head, part) of every body; one posting of a body is its
+    head. Stored partitioned by ``part``, a query reads the parts of its tokens alone."""
     tokens = bodies.select(F.col(id_col).alias("id"), fts_tokens(F.col(body_col)).alias("tokens"))
-    long = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return long.groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    long = tokens.select("id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "token"))
+    counted = long.groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"), (F.min("at") == 0).alias("head"))
+    return counted.select("id", "token", "tf", "length", "head", part_of(F.col("token")).alias("part"))
+
+
+def sizes(index: DataFrame) -> tuple[int, float]:
+    """Bodies of an index and their mean length, from counts that add up."""
+    n, total = index.agg(F.count_if("head"), F.sum("tf")).first()
+    return n, (total / n if n else 1.0)
+
+
+def hits(index: DataFrame, tokens: list[str]) -> DataFrame:
+    """The postings of some tokens."""
+    parts = sorted({zlib.crc32(t.encode()) % PARTS for t in tokens})
+    return index.filter(F.col("part").isin(parts) & F.col("token").isin(tokens))
 
 
 def bm25(index: DataFrame, documents: int, mean_length: float, tokens: list[str], match_all: bool, limit: int | None = 256, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -61,7 +97,7 @@ def bm25(index: DataFrame, documents: int, mean_length: float, tokens: list[str]
 
     ``index``: postings. Only the query's postings are read and grouped.
     """
-    hit = index.filter(F.col("token").isin(tokens))
+    hit = hits(index, tokens)
     df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has tokens
     idf = F.log((F.lit(float(documents)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean_length))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines of a bucket of the interval join.
@@ -38,11 +38,18 @@ def innermost(hits: DataFrame) -> DataFrame:
 
 
 def most_specific(hits: DataFrame) -> DataFrame:
-    """The hits of a hunk that strictly contain no smaller hit of it."""
-    a, b = hits.alias("a"), hits.alias("b")
-    inside = (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.hunk") == F.col("b.hunk")) & (F.col("a.start_line") <= F.col("b.start_line")) & (F.col("a.end_line") >= F.col("b.end_line"))
-    smaller = (F.col("a.end_line") - F.col("a.start_line")) > (F.col("b.end_line") - F.col("b.start_line"))
-    return a.join(b, inside & smaller, "left_anti")
+    """The hits of a hunk that strictly contain no smaller hit of it.
+
+    In the order of starts, later ones first, and of ends, an interval contains
+    another one just if an end before it is no larger than its own: one window.
+    """
+    order = Window.partitionBy("file_path", "hunk").orderBy(F.col("start_line").desc(), "end_line")
+    later = order.rowsBetween(Window.unboundedPreceding, -1)
+    # equal intervals count once: they contain nothing of each other; endless ones hold nothing and are held by none
+    closed = hits.filter("end_line is not null")
+    once = closed.select("file_path", "hunk", "start_line", "end_line").distinct().withColumn("least", F.min("end_line").over(later))
+    kept = once.filter("least is null or least > end_line").drop("least")
+    return closed.join(kept, ["file_path", "hunk", "start_line", "end_line"], "left_semi").select(*hits.columns).unionAll(hits.filter("end_line is null"))
 
 
 def diff(base: DataFrame, head: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -65,6 +72,23 @@ def coverage(base: DataFrame, port: DataFrame, key: str, group: str) -> DataFram
     return out.select(group, "keys", "ported", (F.col("keys") - F.col("ported")).alias("missing"), F.when(F.col("keys") > 0, F.col("ported") / F.col("keys")).otherwise(0.0).alias("ratio"))
 
 
+def aliased(base: DataFrame, port: DataFrame, key: str, group: str, port_map: DataFrame) -> DataFrame:
+    """(group, key, found, by_alias): distinct keys of ``base`` with the key of ``port``
+    that stands for each: its own, else the alias of ``port_map`` (key, alias)."""
+    have = port.select(F.col(key).alias("have")).filter("have <> ''").distinct()
+    first = port_map.groupBy(key).agg(F.min("alias").alias("alias"))
+    rows = base.filter(F.col(key) != "").select(group, key).distinct().join(first, key, "left")
+    rows = rows.join(have.withColumn("own", F.col("have")), F.col(key) == F.col("have"), "left").drop("have")
+    rows = rows.join(have.withColumn("other", F.col("have")), F.col("alias") == F.col("have"), "left").drop("have")
+    return rows.select(group, key, F.coalesce("own", "other").alias("found"), (F.col("own").isNull() & F.col("other").isNotNull()).alias("by_alias"))
+
+
+def placed(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows in ``order``, with their ``place`` from 1: the rows are
+    taken before they are numbered, so the window holds no more."""
+    return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, side): edges whose from or to is no node."""
     ids = nodes.select("id")

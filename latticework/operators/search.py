@@ -60,3 +60,32 @@ def ranked(hits: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
     path = F.coalesce("path", F.lit(""))
     score = F.when(exprs.is_auxiliary_path(path) | exprs.is_test_path(path), F.floor(score * 3 / 4)).otherwise(score)
     return out.select("id", score.cast("bigint").alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
+
+
+# What a candidate's description is worth, and how much an edge says about a hit.
+CANDIDATE_TEXT = 40
+PRIORITY = {"declares_verification": 5, "reads_provider": 4, "persists_to": 4, "navigates_to": 4, "subscribes_stream": 4, "derives_from": 4, "calls": 3, "references": 3, "contains": 2}
+
+
+def card(edges: DataFrame, node_id: str) -> DataFrame:
+    """(other, priority): the neighbours of a node, each with its best edge's priority."""
+    touching = edges.filter((F.col("from_id") == node_id) | (F.col("to_id") == node_id))
+    other = F.when(F.col("from_id") == node_id, F.col("to_id")).otherwise(F.col("from_id"))
+    worth = F.lit(1)
+    for kind, n in PRIORITY.items():
+        worth = F.when(F.col("kind") == kind, n).otherwise(worth)
+    rows = touching.select(other.alias("other"), worth.alias("priority")).filter(F.col("other") != node_id)
+    return rows.groupBy("other").agg(F.max("priority").cast("bigint").alias("priority"))
+
+
+def score_candidates(candidates: DataFrame, tokens: list[str]) -> DataFrame:
+    """(id, score) of candidates (id, name, description): as for nodes, without paths;
+    the description counts once, whatever tokens it holds."""
+    low = lambda c: exprs.ascii_lower(F.coalesce(F.col(c), F.lit("")))
+    rows = candidates.select("id", low("id").alias("i"), low("name").alias("m"), low("description").alias("d"), F.coalesce(text.split_identifier(F.col("name")), F.array()).alias("parts"), F.array_join(F.coalesce(text.compact_segments(F.col("name")), F.array()), "").alias("whole"), F.lit(0).alias("score"), F.lit(False).alias("told"))
+    for t in tokens:
+        named = F.when(F.col("i") == t, EXACT_ID).when(F.col("m") == t, EXACT_NAME).when(F.array_contains("parts", t) | (F.col("whole") == t), NAME_TOKEN)
+        tells = named.isNull() & F.contains("d", F.lit(t)) & ~F.col("told")
+        weak = F.when(F.contains("i", F.lit(t)) | F.contains("m", F.lit(t)), SUBSTRING).otherwise(0)
+        rows = rows.select("id", "i", "m", "d", "parts", "whole", (F.col("score") + F.coalesce(named, F.when(tells, CANDIDATE_TEXT).otherwise(weak))).alias("score"), (F.col("told") | tells).alias("told"))
+    return rows.filter("score > 0").select("id", F.col("score").cast("bigint").alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,22 +19,20 @@ def exact_groups(marks: DataFrame, least_tokens: int = 8) -> DataFrame:
 def near_pairs(marks: DataFrame, radius: int = 10) -> DataFrame:
     """(src, dst, distance) of distinct SimHashes within ``radius`` bits.
 
-    ``radius`` + 1 bands of the 64 bits: two hashes within the radius agree on
-    one of them, so joining by band loses none. A pair counts at its first
-    equal band.
+    Of four blocks of 16 bits, hashes within the radius differ in at most
+    ``radius`` // 4 bits of one: each hash asks for every key that near to its own,
+    so keys stay 16 bits long and no pair is lost.
     """
-    bands = radius + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    bits = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1))
+    if not 0 <= radius < 16:
+        raise ValueError("radius must be from 0 to 15")
+    masks = [sum(1 << b for b in bits) for k in range(radius // 4 + 1) for bits in combinations(range(16), k)]
     one = marks.select("simhash").distinct()
-    long = one.select("simhash", F.posexplode(F.array(*[bits(F.col("simhash"), i) for i in range(bands)])).alias("band", "key"))
-    a, b = long.alias("a"), long.alias("b")
-    distance = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))
-    earlier = F.lit(False)
-    for i in range(bands - 1):
-        earlier = earlier | ((F.col("a.band") > i) & (bits(F.col("a.simhash"), i) == bits(F.col("b.simhash"), i)))
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.simhash") < F.col("b.simhash")) & (distance <= radius) & ~earlier)
-    return near.select(F.col("a.simhash").alias("src"), F.col("b.simhash").alias("dst"), distance.alias("distance"))
+    block = lambda c, i: F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    held = one.select("simhash", F.posexplode(F.array(*[block(F.col("simhash"), i) for i in range(4)])).alias("block", "key"))
+    asked = held.select(F.col("simhash").alias("other"), "block", F.explode(F.lit(masks)).alias("mask"), "key").withColumn("key", F.col("key").bitwiseXOR(F.col("mask")))
+    distance = F.bit_count(F.col("simhash").bitwiseXOR(F.col("other")))
+    near = held.join(asked, ["block", "key"]).filter((F.col("simhash") < F.col("other")) & (distance <= radius))
+    return near.select(F.col("simhash").alias("src"), F.col("other").alias("dst"), distance.alias("distance")).distinct()
 
 
 def near_clusters(marks: DataFrame, radius: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.tables import keep
@@ -53,6 +53,13 @@ def expand(edges: DataFrame, seeds: DataFrame, kinds: list[str], depth: int) ->
     return nodes, inside
 
 
+def neighbours(edges: DataFrame, ids: DataFrame, backward: bool = True) -> DataFrame:
+    """(id): the ids and what one edge leads to from them (and, ``backward``, to them)."""
+    step = lambda a, b: edges.join(ids.select(F.col("id").alias(a)), a, "left_semi").select(F.col(b).alias("id"))
+    out = ids.select("id").unionAll(step("from_id", "to_id"))
+    return (out.unionAll(step("to_id", "from_id")) if backward else out).distinct()
+
+
 def first_parent(edges: DataFrame) -> DataFrame:
     """(id, parent): of several containers the one whose edge id is smallest."""
     return edges.filter("kind = 'contains'").groupBy(F.col("to_id").alias("id")).agg(F.min_by("from_id", "id").alias("parent"))
@@ -88,16 +95,21 @@ def label_components(pairs: DataFrame) -> DataFrame:
 
 
 def claim(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(id, seed, depth): each node within ``depth`` hops goes to the seed with the
-    highest score (columns id, score, rank); ties to the smaller rank."""
+    """(id, seed): each node within ``depth`` hops goes to the seed with the highest
+    score (columns id, score, rank); ties to the smaller rank.
+
+    Only a node's best seed goes on at each hop: what a neighbour could hand over
+    later is what is best for it by then, so a hub hands over one row an edge.
+    """
     pairs = keep(pairs, "adjacency")
-    at = keep(seeds.select("id", F.col("id").alias("seed"), "score", "rank", F.lit(0).alias("depth")), "claims")
-    every = at
-    for hop in range(1, depth + 1):
-        step = at.join(pairs, at["id"] == pairs["src"]).select(F.col("dst").alias("id"), "seed", "score", "rank").distinct()
-        at = keep(step.join(every.select("id", "seed"), ["id", "seed"], "left_anti").select("id", "seed", "score", "rank", F.lit(hop).alias("depth")), "claims")
-        if at.isEmpty():
+    order = F.struct((-F.col("score")).alias("low"), "rank", "seed")
+    best = keep(seeds.select("id", F.col("id").alias("seed"), "score", "rank").select("id", order.alias("best")), "claims")
+    fresh = best
+    for _ in range(depth):
+        step = fresh.join(pairs, fresh["id"] == pairs["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("best").alias("best"))
+        new = step.join(best.withColumnRenamed("best", "old"), "id", "left").filter("old is null or best < old").select("id", "best")
+        fresh = keep(new, "claims")
+        if fresh.isEmpty():
             break
-        every = every.unionAll(at)
-    best = Window.partitionBy("id").orderBy(F.col("score").desc(), "rank")
-    return every.withColumn("n", F.row_number().over(best)).filter("n = 1").select("id", "seed", "depth")
+        best = keep(best.unionAll(fresh).groupBy("id").agg(F.min("best").alias("best")), "claims")
+    return best.select("id", F.col("best.seed").alias("seed"))

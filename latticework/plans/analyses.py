@@ -61,31 +61,22 @@ def candidate_review(g: Graph) -> DataFrame:
     return R.review(candidate_scan(g).withColumn("status", F.lit("proposed")), reviews).select("id", "status")
 
 
-@query("connect", """WITH m AS (SELECT to_id AS requirement, from_id AS target FROM edges WHERE kind = 'declares_implementation' AND length(from_id) % 2 = 0), l AS (SELECT e.to_id AS requirement, e.from_id AS target FROM edges e WHERE kind = 'declares_verification' AND to_id IN (SELECT id FROM nodes) AND from_id IN (SELECT id FROM nodes)),
+@query("connect", """WITH m AS (SELECT to_id AS requirement, from_id AS target FROM edges WHERE kind = 'declares_implementation'), l AS (SELECT e.to_id AS requirement, e.from_id AS target FROM edges e WHERE kind = 'declares_verification' AND to_id IN (SELECT id FROM nodes) AND from_id IN (SELECT id FROM nodes)),
 u AS (SELECT * FROM m UNION SELECT * FROM l) SELECT requirement, count(*) AS targets FROM u GROUP BY 1""")
 def connect(g: Graph) -> DataFrame:
     """Requirements' targets after valid proposals are merged in."""
     e = g.edges
-    manifest = e.filter("kind = 'declares_implementation' and length(from_id) % 2 = 0").groupBy(F.col("to_id").alias("requirement")).agg(F.array_sort(F.collect_set("from_id")).alias("targets"))
+    manifest = e.filter("kind = 'declares_implementation'").groupBy(F.col("to_id").alias("requirement")).agg(F.array_sort(F.collect_set("from_id")).alias("targets"))
     links = e.filter("kind = 'declares_verification'").select(F.col("to_id").alias("requirement"), F.col("from_id").alias("target"))
     links = links.unionAll(links.limit(1).select("requirement", F.lit("no such node").alias("target")))
     return R.connect(manifest, links, g.nodes).select("requirement", F.size("targets").cast("bigint").alias("targets"))
 
 
-@query("doc_votes", """WITH o AS (SELECT DISTINCT concat('n', p_partkey % 400) AS name, p_brand AS module FROM part WHERE p_partkey % 3 <> 0), s AS (SELECT name, min(module) AS module FROM o GROUP BY 1 HAVING count(*) = 1), d AS (SELECT DISTINCT o_orderkey % 200 AS doc, concat('n', o_custkey % 400) AS name FROM orders),
+@query("doc_votes", """WITH o AS (SELECT DISTINCT concat('n', CASE WHEN p_size > 10 THEN p_partkey ELSE p_partkey % 50 END) AS name, p_brand AS module FROM part), s AS (SELECT name, min(module) AS module FROM o GROUP BY 1 HAVING count(*) = 1), d AS (SELECT DISTINCT o_orderkey % 200 AS doc, concat('n', o_custkey) AS name FROM orders),
 v AS (SELECT doc, module, count(*) AS votes FROM d JOIN s USING (name) GROUP BY 1, 2), t AS (SELECT *, max(votes) OVER (PARTITION BY doc) AS top FROM v) SELECT doc, module, votes FROM t WHERE votes = top AND votes >= 2""")
 def doc_votes(g: Graph) -> DataFrame:
-    owners = g.table("part").filter("p_partkey % 3 <> 0").select(_CAT("n", F.col("p_partkey") % 400).alias("name"), F.col("p_brand").alias("module"))
-    mentions = g.table("orders").select((F.col("o_orderkey") % 200).alias("doc"), _CAT("n", F.col("o_custkey") % 400).alias("name"))
-    return R.doc_votes(mentions, owners)
-
-
-@query("all_doc_votes", """WITH o AS (SELECT DISTINCT concat('n', p_partkey % 400) AS name, p_brand AS module FROM part), s AS (SELECT name, min(module) AS module FROM o GROUP BY 1 HAVING count(*) = 1), d AS (SELECT DISTINCT o_orderkey % 200 AS doc, concat('n', o_custkey % 400) AS name FROM orders),
-v AS (SELECT doc, module, count(*) AS votes FROM d JOIN s USING (name) GROUP BY 1, 2), t AS (SELECT *, max(votes) OVER (PARTITION BY doc) AS top FROM v) SELECT doc, module, votes FROM t WHERE votes = top AND votes >= 2""")
-def all_doc_votes(g: Graph) -> DataFrame:
-    """``doc_votes`` with every part as an owner."""
-    owners = g.table("part").select(_CAT("n", F.col("p_partkey") % 400).alias("name"), F.col("p_brand").alias("module"))
-    mentions = g.table("orders").select((F.col("o_orderkey") % 200).alias("doc"), _CAT("n", F.col("o_custkey") % 400).alias("name"))
+    owners = g.table("part").select(_CAT("n", F.when(F.col("p_size") > 10, F.col("p_partkey")).otherwise(F.col("p_partkey") % 50)).alias("name"), F.col("p_brand").alias("module"))
+    mentions = g.table("orders").select((F.col("o_orderkey") % 200).alias("doc"), _CAT("n", F.col("o_custkey")).alias("name"))
     return R.doc_votes(mentions, owners)
 
 

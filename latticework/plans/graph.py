@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import exprs
 from latticework.functions import kinds as K
 from latticework.operators import communities as C
-from latticework.operators import reach
+from latticework.operators import checks, reach
+from latticework.operators import features as features_
+from latticework.operators import impact as impact_
+from latticework.operators import resolve as R
+from latticework.operators import search as S
 from latticework.operators import traverse as T
+from latticework.operators.joins import placed
+from latticework.plans.analyses import candidate_review
 from latticework.plans.registry import literals, query
 from latticework.plans.relations import file_graph
 from latticework.sources.derived import Graph
@@ -95,45 +101,142 @@ def impurity(g: Graph) -> DataFrame:
     return reach.impure(g.edges.filter("kind = 'calls'"), facts).select("id")
 
 
-_SEEDS = "s AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT to_id AS id, count(*) AS score FROM edges WHERE kind = 'references' GROUP BY 1) x)"
+_CLAIMS = """f AS (SELECT id, path FROM nodes WHERE kind IN ('file', 'python_module', 'dart_class', 'swift_class') AND path IS NOT NULL AND NOT regexp_matches(path, '(^|/)(test|tests)(/|$)')),
+c AS (SELECT DISTINCT from_id, to_id FROM edges WHERE kind = 'contains'), i(seed, id) AS (SELECT id, id FROM f UNION SELECT i.seed, c.to_id FROM i JOIN c ON i.id = c.from_id),
+r AS (SELECT seed, count(metadata_json) AS roles FROM i JOIN nodes n ON i.id = n.id GROUP BY 1), x AS (SELECT i.seed, count(*) AS refs FROM edges e JOIN i ON e.to_id = i.id WHERE e.kind IN ('calls', 'references', 'imports') AND NOT EXISTS (SELECT 1 FROM i j WHERE j.seed = i.seed AND j.id = e.from_id) GROUP BY 1),
+s AS (SELECT f.id, f.path, 1 + 5 * coalesce(r.roles, 0) + least(coalesce(x.refs, 0), 20) AS score FROM f LEFT JOIN r ON f.id = r.seed LEFT JOIN x ON f.id = x.seed)"""
 
 
-@query("features", f"""WITH p AS (SELECT DISTINCT to_id AS src, from_id AS dst FROM edges WHERE kind IN ('references', 'contains') AND from_id <> to_id), {_SEEDS},
-r(id, seed, depth) AS (SELECT id, id, 0 FROM s UNION SELECT p.dst, r.seed, r.depth + 1 FROM r JOIN p ON r.id = p.src WHERE r.depth < 2),
-b AS (SELECT r.id, r.seed, row_number() OVER (PARTITION BY r.id ORDER BY s.score DESC, s.rank) AS n FROM (SELECT DISTINCT id, seed FROM r) r JOIN s ON r.seed = s.id) SELECT id, seed FROM b WHERE n = 1""", recursive=True)
-def features(g: Graph) -> DataFrame:
-    """Each node within two hops of a supplier goes to the most referenced one."""
-    scores = g.edges.filter("kind = 'references'").groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("score"))
-    seeds = scores.withColumn("rank", F.col("id"))
-    return T.claim(T.adjacency(g.edges, ["references", "contains"], reverse=True), seeds, 2).select("id", "seed")
+@query("seed_scores", f"WITH {_CLAIMS} SELECT id, CAST(score AS BIGINT) AS score FROM s", recursive=True)
+def seed_scores(g: Graph) -> DataFrame:
+    """How much each file speaks for a feature: framework roles and outside references of all that it contains."""
+    return features_.seeds(g.nodes, g.edges).select("id", "score")
 
 
-@query("components", "WITH p AS (SELECT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM edges WHERE kind = 'calls' AND from_id LIKE 'python::lib%' AND to_id LIKE 'python::lib%' AND length(from_id) % 2 = 0), sym AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, root) AS (SELECT a, a FROM sym UNION SELECT sym.b, r.root FROM r JOIN sym ON r.id = sym.a) SELECT id, min(root) AS root FROM r GROUP BY id", recursive=True)
-def components(g: Graph) -> DataFrame:
-    pairs = g.edges.filter("kind = 'calls' and from_id like 'python::lib%' and to_id like 'python::lib%' and length(from_id) % 2 = 0")
-    return T.label_components(pairs.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
+@query("features", f"""WITH {_CLAIMS}, k AS (SELECT count(*) AS code FROM nodes WHERE kind IN {literals(K.CODE)}),
+t AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, path, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS n FROM s) y WHERE n = 1 QUALIFY rank <= (SELECT least(greatest(code // 250, 20), 80) FROM k)),
+p AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM edges WHERE kind IN ('contains', 'imports', 'calls', 'references') AND from_id <> to_id UNION SELECT to_id, from_id FROM edges WHERE kind = 'contains' AND from_id <> to_id),
+w(id, rank, depth) AS (SELECT id, rank, 0 FROM t UNION SELECT p.dst, w.rank, w.depth + 1 FROM w JOIN p ON w.id = p.src WHERE w.depth < 3), b AS (SELECT id, min(rank) AS rank FROM w GROUP BY id) SELECT b.id, t.id AS seed FROM b JOIN t ON b.rank = t.rank""", recursive=True)
+def features(g: Graph) -> DataFrame:
+    """The feature that each node within three hops of a seed belongs to."""
+    return features_.claims(g.nodes, g.edges)
 
 
-@query("call_components")
-def call_components(g: Graph) -> DataFrame:
+@query("components")
+def components(g: Graph) -> DataFrame:
     """Connected components of all call edges (recursive SQL would hold all pairs of one; no SQL)."""
     pairs = g.edges.filter("kind = 'calls' and from_id <> to_id")
     return T.label_components(pairs.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
 
 
-@query("select_tests", """WITH c AS (SELECT id FROM nodes WHERE kind = 'python_function' AND path = 'lib/p5.py'),
-direct AS (SELECT e.from_id AS id, 'calls_changed' AS reason, 3 AS rank FROM edges e JOIN c ON e.to_id = c.id JOIN nodes n ON n.id = e.from_id WHERE e.kind IN ('calls', 'references') AND n.kind = 'test_case'),
-req AS (SELECT v.from_id AS id, 'verifies_requirement' AS reason, 2 AS rank FROM edges i JOIN c ON i.from_id = c.id JOIN edges v ON v.to_id = i.to_id AND v.kind = 'declares_verification' WHERE i.kind = 'declares_implementation')
-SELECT id, arg_max(reason, rank) AS reason FROM (SELECT * FROM direct UNION ALL SELECT * FROM req) x GROUP BY id""")
+_CHANGED = f"""hit AS (SELECT DISTINCT n.id, n.path, n.start_line, n.end_line, c.hunk FROM nodes n JOIN changes c ON n.path = c.path AND n.start_line <= c.new_end AND n.end_line >= c.new_start WHERE n.kind IN {literals(K.CODE_OR_TEST)}),
+changed AS (SELECT DISTINCT id FROM hit a WHERE NOT EXISTS (SELECT 1 FROM hit b WHERE a.path = b.path AND a.hunk = b.hunk AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND a.end_line - a.start_line > b.end_line - b.start_line)),
+rev AS (SELECT DISTINCT to_id AS src, from_id AS dst FROM edges WHERE kind IN ('calls', 'references') AND from_id <> to_id), w(id, depth) AS (SELECT id, 0 FROM changed UNION SELECT rev.dst, w.depth + 1 FROM w JOIN rev ON w.id = rev.src WHERE w.depth < 2),
+d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)"""
+
+
+@query("impact_of_diff", f"""WITH {_CHANGED}, req AS (SELECT DISTINCT e.to_id AS id FROM edges e JOIN changed c ON e.from_id = c.id WHERE e.kind = 'declares_implementation')
+SELECT d.id, CASE WHEN d.depth = 0 THEN 'changed' WHEN n.kind IN ('test_case', 'test_group') THEN 'test' ELSE 'propagated' END AS role, CAST(d.depth AS BIGINT) AS depth FROM d LEFT JOIN nodes n ON d.id = n.id
+UNION ALL SELECT id, 'requirement', 0 FROM req UNION ALL SELECT DISTINCT e.from_id, 'linked_test', 0 FROM edges e JOIN req ON e.to_id = req.id WHERE e.kind = 'declares_verification'""", recursive=True)
+def impact_of_diff(g: Graph) -> DataFrame:
+    """A diff's changed symbols, what depends on them, the requirements that they
+    (or what contains them) implement, and these requirements' tests."""
+    return impact_.impact(g.nodes, g.edges, g.changes, depth=2)
+
+
+@query("select_tests", f"""WITH {_CHANGED}, t AS (SELECT id, path FROM nodes WHERE kind IN ('test_case', 'test_group')), x AS (SELECT id FROM d),
+own AS (SELECT t.id, 'test_file_directly_changed' AS reason, 3 AS rank FROM t WHERE path IN (SELECT path FROM changes)),
+cites AS (SELECT e.from_id AS id, 'references_changed_symbol' AS reason, 3 AS rank FROM edges e JOIN x ON e.to_id = x.id JOIN t ON e.from_id = t.id WHERE e.kind IN ('calls', 'references')),
+m AS (SELECT DISTINCT n.id FROM nodes n JOIN nodes s ON n.path = s.path JOIN x ON s.id = x.id WHERE n.kind IN {literals(K.of_family("module"))}),
+imp AS (SELECT t.id, 'imports_changed_module' AS reason, 2 AS rank FROM edges e JOIN m ON e.to_id = m.id JOIN nodes n ON e.from_id = n.id JOIN t ON t.path = n.path WHERE e.kind = 'imports'),
+every AS (SELECT * FROM own UNION SELECT * FROM cites UNION SELECT * FROM imp)
+SELECT id, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons, CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM every GROUP BY id""", recursive=True)
 def select_tests(g: Graph) -> DataFrame:
-    """Tests to run for a changed file, each with its best reason."""
-    changed = g.nodes.filter("kind = 'python_function' and path = 'lib/p5.py'").select("id")
-    e = g.edges
-    direct = e.filter(F.col("kind").isin("calls", "references")).join(changed.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id"))
-    direct = direct.join(g.nodes.filter("kind = 'test_case'").select("id"), "id", "left_semi").select("id", F.lit("calls_changed").alias("reason"), F.lit(3).alias("rank"))
-    met = e.filter("kind = 'declares_implementation'").join(changed.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("to_id").distinct()
-    req = e.filter("kind = 'declares_verification'").join(met, "to_id", "left_semi").select(F.col("from_id").alias("id"), F.lit("verifies_requirement").alias("reason"), F.lit(2).alias("rank"))
-    return direct.unionAll(req).groupBy("id").agg(F.max_by("reason", "rank").alias("reason"))
+    """Tests to run for a diff, with their reasons and the confidence of the best one."""
+    return impact_.select_tests(g.nodes, g.edges, g.changes, depth=2)
+
+
+@query("questions", f"""WITH {_ENTRY}, used AS (SELECT to_id FROM edges WHERE kind IN ('calls', 'references', 'imports', 'reads_provider', 'navigates_to', 'persists_to', 'subscribes_stream', 'declares_implementation')),
+cand AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN concat('Bad ', p_partkey) ELSE concat('cand-', p_partkey % 50) END AS id, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_name END AS name, p_partkey AS seq FROM part),
+good AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM cand WHERE regexp_matches(id, '^[a-z0-9][a-z0-9_-]*$')) y WHERE n = 1 AND trim(name) <> ''),
+verdict AS (SELECT concat('cand-', o_custkey % 60) AS id, arg_max(CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'rejected' END, o_orderkey) AS v FROM orders GROUP BY 1),
+q AS (SELECT 'orphan_symbol' AS category, 'info' AS severity, id, path FROM nodes WHERE kind IN {literals(K.CODE)} AND metadata_json IS NULL AND name NOT IN ('main', '__main__') AND id NOT IN (SELECT to_id FROM used) AND id NOT IN (SELECT id FROM entry)
+UNION ALL SELECT 'pending_candidate', 'warn', id, NULL FROM good WHERE id NOT IN (SELECT id FROM verdict)
+UNION ALL SELECT 'test_without_references', 'info', id, path FROM nodes WHERE kind = 'test_case' AND id NOT IN (SELECT from_id FROM edges WHERE kind IN ('calls', 'references'))
+UNION ALL SELECT DISTINCT 'dangling_import', 'info', e.to_id, n.path FROM edges e JOIN nodes n ON e.from_id = n.id WHERE e.kind = 'imports' AND e.to_id NOT IN (SELECT id FROM nodes) AND regexp_matches(n.path, '^test|/tests?/')),
+n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id, path) AS n FROM q) SELECT category, severity, id, path FROM n WHERE n <= 20""")
+def questions(g: Graph) -> DataFrame:
+    """Open questions, at most 20 of each of the four categories, in id order."""
+    entries = g.nodes.filter(reach.implicit_entry())
+    every = checks.questions(g.nodes, g.edges, candidate_review(g), entries, K.CODE)
+    order = Window.partitionBy("category").orderBy("id", "path")
+    # the rank is limited before the shuffle, so a category sends 20 rows a task
+    return every.withColumn("n", F.row_number().over(order)).filter("n <= 20").drop("n")
+
+
+@query("dead_code_report", rf"""WITH {_ENTRY}, {_REACH}, u AS (SELECT id, path, name FROM nodes WHERE kind IN {literals(K.CODE)} AND NOT regexp_matches(path, '(^|/)(test|tests)(/|$)') AND id NOT IN (SELECT id FROM r2)),
+c AS (SELECT u.id, count(e.id) AS inbound FROM u LEFT JOIN edges e ON e.to_id = u.id AND e.kind IN {literals(K.USAGE)} GROUP BY u.id),
+x AS (SELECT u.id, u.path, split_part(split_part(u.id, '::', -1), '#', -1) AS label, CASE WHEN inbound > 0 THEN 1 WHEN u.name NOT LIKE '\_%' ESCAPE '\' THEN 2 ELSE 3 END AS rank FROM u JOIN c ON u.id = c.id)
+SELECT row_number() OVER (ORDER BY rank DESC, path, label, id) AS place, id, CASE rank WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS confidence FROM x WHERE rank >= 2 QUALIFY place <= 100""", recursive=True)
+def dead_code_report(g: Graph) -> DataFrame:
+    """The first 100 dead symbols of medium confidence or more: confidence down, then path, label, id."""
+    rank = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
+    rows = dead_code(g).withColumn("rank", rank).filter("rank >= 2").withColumn("label", exprs.label_of(F.col("id")))
+    return placed(rows, [F.col("rank").desc(), F.col("path"), F.col("label"), F.col("id")], 100).select("place", "id", "confidence")
+
+
+@query("trace_report", f"WITH {_WALK} SELECT row_number() OVER (ORDER BY depth, id) AS place, id, CAST(depth AS BIGINT) AS depth FROM d QUALIFY place <= 100", recursive=True)
+def trace_report(g: Graph) -> DataFrame:
+    """The first 100 nodes of the trace by depth and id."""
+    return placed(trace(g).select("id", "depth"), [F.col("depth"), F.col("id")], 100)
+
+
+@query("module_parents", """WITH m AS (SELECT DISTINCT path FROM nodes WHERE path LIKE '%/%'), d AS (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS i FROM m), dirs AS (SELECT DISTINCT array_to_string(string_split(path, '/')[:i], '/') AS dir FROM d),
+inner_ AS (SELECT to_id AS id, arg_min(from_id, id) AS parent FROM edges WHERE kind = 'contains' GROUP BY 1)
+SELECT concat('module::', dir) AS id, CASE WHEN dir LIKE '%/%' THEN concat('module::', regexp_replace(dir, '/[^/]*$', '')) END AS parent FROM dirs
+UNION ALL SELECT n.id, coalesce(i.parent, CASE WHEN n.path LIKE '%/%' THEN concat('module::', regexp_replace(n.path, '/[^/]*$', '')) END) FROM nodes n LEFT JOIN inner_ i ON n.id = i.id""")
+def module_parents(g: Graph) -> DataFrame:
+    """The parent of each module of a directory and of each node: what contains it, else its directory."""
+    parts = g.nodes.filter("path like '%/%'").select("path").distinct().select(F.split("path", "/").alias("p"))
+    dirs = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.array_join(F.slice("p", F.lit(1), i), "/"))).alias("dir")).distinct()
+    above = lambda c: F.when(F.contains(F.col(c), F.lit("/")), F.concat(F.lit("module::"), F.regexp_replace(c, "/[^/]*$", "")))
+    mods = dirs.select(F.concat(F.lit("module::"), "dir").alias("id"), above("dir").alias("parent"))
+    own = g.nodes.select("id", "path").join(T.first_parent(g.edges), "id", "left")
+    return mods.unionAll(own.select("id", F.coalesce("parent", above("path")).alias("parent")))
+
+
+@query("focus_subgraph", f"""WITH p AS (SELECT DISTINCT from_id, to_id FROM edges WHERE kind = 'contains'), r(id) AS (SELECT id FROM nodes WHERE kind = 'file' AND path = 'src/n3/lib.rs' UNION SELECT p.to_id FROM r JOIN p ON r.id = p.from_id),
+h AS (SELECT id FROM r UNION SELECT e.to_id FROM edges e JOIN r ON e.from_id = r.id UNION SELECT e.from_id FROM edges e JOIN r ON e.to_id = r.id),
+s AS (SELECT id FROM h UNION SELECT e.to_id FROM edges e JOIN h ON e.from_id = h.id WHERE e.kind IN {literals(K.SEMANTIC)}) SELECT s.id FROM s JOIN nodes n ON s.id = n.id""", recursive=True)
+def focus_subgraph(g: Graph) -> DataFrame:
+    """A file with all that it contains, one hop around, and one semantic hop further."""
+    inner = T.closure(T.adjacency(g.edges, ["contains"]), g.nodes.filter("kind = 'file' and path = 'src/n3/lib.rs'"))
+    around = T.neighbours(g.edges, inner)
+    further = T.neighbours(g.edges.filter(F.col("kind").isin(K.SEMANTIC)), around, backward=False)
+    return further.join(g.nodes.select("id"), "id", "left_semi")
+
+
+@query("focus_card", """WITH x AS (SELECT CASE WHEN from_id = 'python::lib/p4.py::part_4' THEN to_id ELSE from_id END AS other, kind FROM edges WHERE from_id = 'python::lib/p4.py::part_4' OR to_id = 'python::lib/p4.py::part_4'),
+b AS (SELECT other, max(CASE kind WHEN 'declares_verification' THEN 5 WHEN 'persists_to' THEN 4 WHEN 'calls' THEN 3 WHEN 'references' THEN 3 WHEN 'contains' THEN 2 ELSE 1 END) AS priority FROM x WHERE other <> 'python::lib/p4.py::part_4' GROUP BY 1)
+SELECT row_number() OVER (ORDER BY priority DESC, other) AS place, other, CAST(priority AS BIGINT) AS priority FROM b QUALIFY place <= 24""")
+def focus_card(g: Graph) -> DataFrame:
+    """The canvas of a hit: its 24 neighbours of the highest edge priority, then by id."""
+    near = S.card(g.edges, "python::lib/p4.py::part_4")
+    return placed(near, [F.col("priority").desc(), F.col("other")], 24).select("place", "other", "priority")
+
+
+@query("overview_view", "SELECT id FROM nodes WHERE kind IN ('rust_module', 'module') AND id NOT IN (SELECT to_id FROM edges WHERE kind = 'contains')")
+def overview_view(g: Graph) -> DataFrame:
+    return R.visible(g.nodes, g.edges, "overview")
+
+
+@query("context_pack", """WITH i AS (SELECT from_id AS id, kind AS role FROM edges WHERE to_id = 'req::Brand#7' AND kind IN ('declares_implementation', 'declares_verification')), src AS (SELECT p_partkey, concat('lib/p', p_partkey % 40, '.py') AS file, p_partkey AS at FROM part)
+SELECT i.id, i.role, n.path, n.start_line, least(n.end_line, n.start_line + 39) AS end_line FROM i JOIN nodes n ON i.id = n.id WHERE n.start_line IS NOT NULL""")
+def context_pack(g: Graph) -> DataFrame:
+    """What an agent reads for a requirement: the spans of its implementations and tests, 40 lines of each at most."""
+    near = g.edges.filter("to_id = 'req::Brand#7' and kind in ('declares_implementation', 'declares_verification')").select(F.col("from_id").alias("id"), F.col("kind").alias("role"))
+    spans = near.join(g.nodes.select("id", "path", "start_line", "end_line"), "id").filter("start_line is not null")
+    return spans.select("id", "role", "path", "start_line", F.least("end_line", F.col("start_line") + 39).alias("end_line"))
 
 
 @query("slice", """WITH i AS (SELECT from_id AS id, kind AS role FROM edges WHERE to_id = 'req::Brand#7' AND kind IN ('declares_implementation', 'declares_verification', 'documents')), f AS (SELECT DISTINCT e.to_id AS id FROM edges e JOIN i ON e.from_id = i.id WHERE i.role = 'declares_implementation' AND e.kind IN ('calls', 'references') AND e.to_id NOT IN (SELECT id FROM i))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import exprs
 from latticework.functions import kinds as K
-from latticework.operators import joins, store
+from latticework.operators import checks, joins, store
 from latticework.plans.registry import literals, query
 from latticework.sources.derived import Graph
 
@@ -105,25 +105,6 @@ def most_specific_ranges(g: Graph) -> DataFrame:
     return joins.most_specific(joins.interval_join(g.ranges, g.hunks)).select("file_path", "hunk", "symbol_id")
 
 
-_ALL_HITS = _HITS.replace("FROM ranges r JOIN hunks h", "FROM all_ranges r JOIN all_hunks h")
-
-
-@query("all_interval_join", f"WITH {_ALL_HITS} SELECT file_path, symbol_id, hunk FROM hits")
-def all_interval_join(g: Graph) -> DataFrame:
-    """``interval_join`` over every range and hunk."""
-    return joins.interval_join(g.all_ranges, g.all_hunks).select("file_path", "symbol_id", "hunk")
-
-
-@query("all_innermost_range", f"WITH {_ALL_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_path, hunk ORDER BY end_line - start_line, start_line DESC, symbol_id) AS n FROM hits WHERE start_line > 0) SELECT file_path, hunk, symbol_id FROM n WHERE n = 1")
-def all_innermost_range(g: Graph) -> DataFrame:
-    return joins.innermost(joins.interval_join(g.all_ranges, g.all_hunks)).select("file_path", "hunk", "symbol_id")
-
-
-@query("all_most_specific_ranges", f"WITH {_ALL_HITS} SELECT file_path, hunk, symbol_id FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE a.file_path = b.file_path AND a.hunk = b.hunk AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND a.end_line - a.start_line > b.end_line - b.start_line)")
-def all_most_specific_ranges(g: Graph) -> DataFrame:
-    return joins.most_specific(joins.interval_join(g.all_ranges, g.all_hunks)).select("file_path", "hunk", "symbol_id")
-
-
 @query("broken_links", "SELECT id, 'from' AS side FROM edges WHERE from_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT id, 'to' FROM edges WHERE to_id NOT IN (SELECT id FROM nodes)")
 def broken_links(g: Graph) -> DataFrame:
     return joins.dangling(g.edges, g.nodes)
@@ -135,30 +116,6 @@ def orphan_requirements(g: Graph) -> DataFrame:
     return g.nodes.filter("kind = 'requirement'").select("id").join(met, "id", "left_anti")
 
 
-_QUESTIONS = """q AS (
-SELECT 'test_without_references' AS category, id FROM nodes WHERE kind = 'test_case' AND id NOT IN (SELECT from_id FROM edges WHERE kind IN ('calls', 'references', 'declares_verification'))
-UNION ALL SELECT 'symbol_without_usage', id FROM nodes WHERE kind = 'python_function' AND id NOT IN (SELECT to_id FROM edges WHERE kind IN ('calls', 'references'))
-UNION ALL SELECT 'type_without_members', id FROM nodes WHERE kind = 'rust_struct' AND id NOT IN (SELECT from_id FROM edges WHERE kind = 'contains')
-UNION ALL SELECT 'dangling_edge', id FROM edges WHERE to_id NOT IN (SELECT id FROM nodes)), """
-
-
-@query("questions", f"WITH {_QUESTIONS} n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS n FROM q) SELECT category, id FROM n WHERE n <= 20")
-def questions(g: Graph) -> DataFrame:
-    """At most 20 open questions of each category, in id order."""
-    nodes, edges = g.nodes, g.edges
-
-    def lacking(category: str, kind: str, column: str, edge_kinds: list[str]) -> DataFrame:
-        used = edges.filter(F.col("kind").isin(edge_kinds)).select(F.col(column).alias("id"))
-        return nodes.filter(F.col("kind") == kind).select("id").join(used, "id", "left_anti").select(F.lit(category).alias("category"), "id")
-
-    every = lacking("test_without_references", "test_case", "from_id", ["calls", "references", "declares_verification"])
-    every = every.unionAll(lacking("symbol_without_usage", "python_function", "to_id", ["calls", "references"]))
-    every = every.unionAll(lacking("type_without_members", "rust_struct", "from_id", ["contains"]))
-    loose = edges.join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_anti").select(F.lit("dangling_edge").alias("category"), "id")
-    order = Window.partitionBy("category").orderBy("id")
-    return every.unionAll(loose).withColumn("n", F.row_number().over(order)).filter("n <= 20").select("category", "id")
-
-
 _BASE, _HEAD = "from_id NOT LIKE '%7'", "from_id NOT LIKE '%3'"
 _HEAD_STATUS = "CASE WHEN to_id LIKE '%1' THEN 'deprecated' ELSE status END"
 
@@ -251,12 +208,6 @@ def column_coverage(g: Graph) -> DataFrame:
     return both.select("t", F.col("y").isNotNull().alias("matched_table"), size(F.array_intersect("x", "z")).alias("matched"), size(F.array_except("x", "z")).alias("missing"), size(F.array_except("z", "x")).alias("extra"))
 
 
-@query("suffix_join", "SELECT n.id, m.id AS target FROM nodes n JOIN nodes m ON lower(split_part(n.id, '::', -1)) = lower(split_part(replace(m.id, 'java::', 'x::'), '::', -1)) WHERE n.kind = 'java_class' AND m.kind = 'java_class'")
-def suffix_join(g: Graph) -> DataFrame:
-    java = g.nodes.filter("kind = 'java_class'").select("id", F.lower(F.substring_index("id", "::", -1)).alias("k"))
-    return java.join(java.select(F.col("id").alias("target"), "k"), "k").select("id", "target")
-
-
 @query("staleness", "SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) <> sha256(CAST(o_orderkey + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS stale FROM orders")
 def staleness(g: Graph) -> DataFrame:
     """Rows whose stored hash differs from that of what is there now."""
@@ -318,3 +269,83 @@ def link_gaps(g: Graph) -> DataFrame:
     counts = e.groupBy(F.col("to_id").alias("id")).agg(F.count_if(F.col("kind") == "declares_implementation").alias("i"), F.count_if(F.col("kind") == "declares_verification").alias("t"))
     r = g.nodes.filter("kind = 'requirement'").select("id").join(counts, "id", "left").select("id", F.coalesce("i", F.lit(0)).alias("implementations"), F.coalesce("t", F.lit(0)).alias("tests"))
     return r.withColumn("verdict", F.when(F.col("implementations") == 0, "missing").when(F.col("tests") == 0, "unverified").otherwise("linked"))
+
+
+@query("node_lookup", "SELECT n.id, n.kind, n.path FROM nodes n JOIN (SELECT DISTINCT concat('python::lib/p', l_partkey % 40, '.py::part_', l_partkey) AS id FROM lineitem) a ON n.id = a.id")
+def node_lookup(g: Graph) -> DataFrame:
+    """Nodes by id, in bulk: the asked ids are a table."""
+    asked = g.table("lineitem").select(F.concat(F.lit("python::lib/p"), F.col("l_partkey") % 40, F.lit(".py::part_"), "l_partkey").alias("id")).distinct()
+    return g.nodes.join(asked, "id", "left_semi").select("id", "kind", "path")
+
+
+@query("evidence_of", "SELECT e.artifact_id, n.name, count(*) AS n, count(*) FILTER (e.kind = 'symbol') AS symbols, min(e.id) AS first FROM evidence e JOIN nodes n ON e.artifact_id = n.id GROUP BY 1, 2")
+def evidence_of(g: Graph) -> DataFrame:
+    """How much evidence each artifact has, by an equi-join on its id."""
+    both = g.evidence.join(g.nodes.select(F.col("id").alias("artifact_id"), "name"), "artifact_id")
+    return both.groupBy("artifact_id", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "symbol").alias("symbols"), F.min("id").alias("first"))
+
+
+@query("stale_files", """WITH now AS (SELECT concat('src/f', o_custkey) AS path, md5(CAST(max(o_orderkey) + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS hash FROM orders GROUP BY o_custkey UNION ALL SELECT 'src/new', md5('new'))
+SELECT coalesce(i.path, now.path) AS path, CASE WHEN i.path IS NULL THEN 'new' WHEN now.path IS NULL THEN 'gone' WHEN i.hash <> now.hash THEN 'stale' ELSE 'fresh' END AS state FROM file_index i FULL JOIN now ON i.path = now.path""")
+def stale_files(g: Graph) -> DataFrame:
+    """The index of files against the hashes of what is there now."""
+    now = g.sql("SELECT concat('src/f', o_custkey) AS path, md5(CAST(max(o_orderkey) + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END AS STRING)) AS now FROM {orders} GROUP BY o_custkey UNION ALL SELECT 'src/new', md5('new')")
+    both = g.file_index.select("path", "hash").join(now, "path", "full_outer")
+    state = F.when(F.col("hash").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("hash") != F.col("now"), "stale").otherwise("fresh")
+    return both.select("path", state.alias("state"))
+
+
+@query("in_degree", "SELECT to_id AS id, count(*) AS callers, least(count(*), 20) AS capped FROM edges WHERE kind = 'calls' AND from_id <> to_id GROUP BY 1")
+def in_degree(g: Graph) -> DataFrame:
+    """Callers of each callable, and their number as entry points are ranked by it: 20 at most."""
+    calls = g.edges.filter("kind = 'calls' and from_id <> to_id")
+    return calls.groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("callers")).withColumn("capped", F.least("callers", F.lit(20)))
+
+
+@query("logic_summary", """WITH r AS (SELECT id FROM nodes WHERE kind = 'requirement'), c AS (SELECT to_id AS id, count(*) FILTER (kind = 'declares_implementation') AS i, count(*) FILTER (kind = 'declares_verification') AS t FROM edges GROUP BY 1)
+SELECT CASE WHEN coalesce(i, 0) = 0 THEN 'missing' WHEN coalesce(t, 0) = 0 THEN 'unverified' ELSE 'linked' END AS verdict, count(*) AS n FROM r LEFT JOIN c ON r.id = c.id GROUP BY 1""")
+def logic_summary(g: Graph) -> DataFrame:
+    return link_gaps(g).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("check_findings", """WITH links AS (SELECT * FROM edges WHERE kind IN ('documents', 'declares_implementation', 'declares_verification')), ids AS (SELECT id FROM nodes), r AS (SELECT id FROM nodes WHERE kind = 'requirement'),
+c AS (SELECT r.id, bool_or(coalesce(l.kind = 'declares_implementation', false)) AS impl, bool_or(coalesce(l.kind = 'declares_verification', false)) AS test FROM r LEFT JOIN links l ON l.to_id = r.id GROUP BY 1)
+SELECT 'broken_link' AS code, 'error' AS severity, from_id AS artifact, count(*) AS n FROM links WHERE to_id NOT IN (SELECT id FROM ids) OR from_id NOT IN (SELECT id FROM ids) GROUP BY 3
+UNION ALL SELECT 'missing_linked_test', 'warning', id, 1 FROM c WHERE impl AND NOT test UNION ALL SELECT 'orphan_requirement', 'warning', id, 1 FROM c WHERE NOT impl AND NOT test""")
+def check_findings(g: Graph) -> DataFrame:
+    """Consistency findings at the usual levels: broken links are errors."""
+    return checks.consistency(g.nodes, g.edges, {"broken_link": "error", "missing_linked_test": "warn", "orphan_requirement": "unheard of"})
+
+
+@query("stale_references", r"""WITH d AS (SELECT o_orderkey AS doc, concat('See `lib/p', o_orderkey % 60, '.py` and `', CASE WHEN o_custkey % 3 = 0 THEN 'Widget.' ELSE '' END, 'part_', o_custkey, '()` in `Q', o_orderkey % 5, '.py`') AS body FROM orders),
+x AS (SELECT DISTINCT doc, unnest(regexp_extract_all(body, '`([^`]+)`', 1)) AS ref FROM d), k AS (SELECT doc, ref, CASE WHEN regexp_matches(ref, '^[\w.-]+(/[\w.-]+)+$') THEN 'path' WHEN regexp_matches(ref, '^[\w-]+\.(rs|dart|py|go|ts|swift|java|kt)$') THEN 'file' ELSE 'symbol' END AS kind FROM x),
+p AS (SELECT DISTINCT path FROM nodes WHERE path IS NOT NULL), b AS (SELECT DISTINCT lower(split_part(path, '/', -1)) AS base FROM p), n AS (SELECT DISTINCT lower(name) AS name FROM nodes)
+SELECT doc, kind, ref FROM k WHERE CASE kind WHEN 'path' THEN ref NOT IN (SELECT path FROM p) WHEN 'file' THEN lower(ref) NOT IN (SELECT base FROM b) ELSE lower(split_part(regexp_replace(ref, '\(\)$', ''), '.', -1)) NOT IN (SELECT name FROM n WHERE name IS NOT NULL) END""")
+def stale_references(g: Graph) -> DataFrame:
+    """Inline code of documents that names no path, file or symbol of the graph."""
+    member = F.when(F.col("o_custkey") % 3 == 0, "Widget.").otherwise("")
+    docs = g.table("orders").select(F.col("o_orderkey").alias("doc"), F.concat(F.lit("See `lib/p"), F.col("o_orderkey") % 60, F.lit(".py` and `"), member, F.lit("part_"), "o_custkey", F.lit("()` in `Q"), F.col("o_orderkey") % 5, F.lit(".py`")).alias("body"))
+    return checks.drift(docs, "doc", "body", g.nodes)
+
+
+@query("port_coverage_with_aliases", """WITH b AS (SELECT DISTINCT path, lower(regexp_replace(name, '^_+', '')) AS k FROM nodes WHERE kind = 'python_function'), p AS (SELECT DISTINCT lower(regexp_replace(name, '^_+', '')) AS k FROM nodes WHERE kind = 'python_function' AND indexer = 'scip:python'),
+m AS (SELECT k, min(concat('alias_', k)) AS alias FROM b WHERE length(k) % 2 = 0 GROUP BY k), q AS (SELECT k FROM p UNION SELECT concat('alias_', k) FROM b WHERE length(k) % 3 = 0),
+j AS (SELECT b.path, b.k, coalesce(x.k, y.k) AS found, x.k IS NULL AND y.k IS NOT NULL AS by_alias FROM b LEFT JOIN q x ON x.k = b.k LEFT JOIN m ON m.k = b.k LEFT JOIN q y ON y.k = m.alias)
+SELECT path, count(*) AS keys, count(found) AS ported, count(*) FILTER (by_alias) AS by_alias FROM j GROUP BY path""")
+def port_coverage_with_aliases(g: Graph) -> DataFrame:
+    """Keys found under their own name, else under the one that a port map gives them."""
+    k = exprs.name_key(F.col("name"))
+    base = g.nodes.filter("kind = 'python_function'").select("path", k.alias("k"), "indexer")
+    alias = F.concat(F.lit("alias_"), "k")
+    port_map = base.filter("length(k) % 2 = 0").select("k", alias.alias("alias")).distinct()
+    port = base.filter("indexer = 'scip:python'").select("k").unionAll(base.filter("length(k) % 3 = 0").select(alias.alias("k")))
+    return joins.aliased(base, port, "k", "path", port_map).groupBy("path").agg(F.count(F.lit(1)).alias("keys"), F.count("found").alias("ported"), F.count_if("by_alias").alias("by_alias"))
+
+
+@query("coverage_report", """WITH b AS (SELECT DISTINCT path, lower(regexp_replace(name, '^_+', '')) AS k FROM nodes WHERE kind = 'python_function'), p AS (SELECT DISTINCT lower(regexp_replace(name, '^_+', '')) AS k FROM nodes WHERE kind = 'python_function' AND indexer = 'scip:python'),
+c AS (SELECT path, count(*) AS keys, count(p.k) AS ported FROM b LEFT JOIN p ON b.k = p.k GROUP BY path)
+SELECT row_number() OVER (ORDER BY ported / keys, keys DESC, path) AS place, path, keys, ported FROM c QUALIFY place <= 50""")
+def coverage_report(g: Graph) -> DataFrame:
+    """The 50 least covered groups first, large ones before small ones, then by name (a top-k report)."""
+    rows = port_coverage(g).select("path", "keys", "ported", "ratio")
+    return joins.placed(rows, [F.col("ratio"), F.col("keys").desc(), F.col("path")], 50).select("place", "path", "keys", "ported")

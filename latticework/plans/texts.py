@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import exprs, lexers, text
+from latticework.functions import kinds as K
+from latticework.operators import joins, similar
 from latticework.operators import search as S
-from latticework.operators import similar
-from latticework.plans.registry import query
+from latticework.operators import traverse as T
+from latticework.operators.joins import placed
+from latticework.plans.registry import literals, query
 from latticework.sources import parsers
 from latticework.sources.derived import Graph
 
@@ -21,9 +24,14 @@ def split_identifiers(g: Graph) -> DataFrame:
     return g.nodes.filter("name is not null").select("id", F.array_join(text.split_identifier(F.col("name")), " ").alias("parts"))
 
 
+def document_index(g: Graph) -> DataFrame:
+    """Postings of all documents, stored once."""
+    return g.stored("postings", lambda: text.postings(g.table("documents"), "doc_id", "text"), "part")
+
+
 @query("fts_vocabulary", "SELECT token, count(*) AS n FROM (SELECT unnest(" + _FTS + ") AS token FROM documents) t GROUP BY token")
 def fts_vocabulary(g: Graph) -> DataFrame:
-    return g.table("documents").select(F.explode(text.fts_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return document_index(g).groupBy("token").agg(F.sum("tf").alias("n"))
 
 
 _POST = "p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(" + _FTS + ") AS token FROM documents) t GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS length FROM p GROUP BY 1), s AS (SELECT count(*) AS docs, avg(length) AS mean FROM l)"
@@ -32,22 +40,81 @@ _POST = "p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(
 @query("bm25", f"""WITH {_POST}, q AS (SELECT * FROM p WHERE token IN ('the', 'thon', 'license')), d AS (SELECT token, count(*) AS df FROM q GROUP BY 1)
 SELECT doc_id AS id, round(score, 6) AS score, matched FROM (SELECT q.doc_id, sum(ln((docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score, count(*) AS matched FROM q JOIN d USING (token) JOIN l ON l.doc_id = q.doc_id CROSS JOIN s GROUP BY q.doc_id) x""")
 def bm25(g: Graph) -> DataFrame:
-    index = text.postings(g.table("documents"), "doc_id", "text")
-    n, mean = index.select("id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
-    found = text.bm25(index, n, mean or 1.0, ["the", "thon", "license"], match_all=False, limit=None)
+    index = document_index(g)
+    found = text.bm25(index, *text.sizes(index), ["the", "thon", "license"], match_all=False, limit=None)
     return found.select("id", F.round("score", 6).alias("score"), "matched")
 
 
-@query("search")
-def search(g: Graph) -> DataFrame:
-    """The 25 best nodes for ``order supplier service red widget``."""
+@query("best_documents", f"""WITH {_POST}, q AS (SELECT * FROM p WHERE token IN ('the', 'license')), d AS (SELECT token, count(*) AS df FROM q GROUP BY 1),
+x AS (SELECT q.doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score, count(*) AS matched FROM q JOIN d USING (token) JOIN l ON l.doc_id = q.doc_id CROSS JOIN s GROUP BY q.doc_id)
+SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS place, doc_id AS id FROM x WHERE matched = 2 QUALIFY place <= 256""")
+def best_documents(g: Graph) -> DataFrame:
+    """The 256 best documents that hold all words of a query, by BM25, then id."""
+    index = document_index(g)
+    tokens = query_list(g, "the License", text.query_tokens)
+    found = text.bm25(index, *text.sizes(index), tokens, match_all=True, limit=None)
+    return placed(found.withColumn("score", F.round("score", 9)), [F.col("score").desc(), F.col("id")], 256).select("place", "id")
+
+
+def query_list(g: Graph, raw: str, rule) -> list[str]:
+    """The tokens of a query, by the same expression that a column of queries would take."""
+    return g.spark.range(1).select(rule(F.lit(raw)).alias("t")).first()["t"]
+
+
+def search_nodes(g: Graph, raw: str, limit: int = 25, code: bool = False) -> DataFrame:
+    """The best nodes for a query: words, or (``code``) a piece of code."""
     nodes = g.nodes
-    tokens = ["order", "supplier", "service", "red", "widget"]
-    bodies = nodes.filter("kind <> 'file'").select("id", F.concat_ws(" ", "name", "path", "indexer").alias("body"))
-    index = text.postings(bodies, "id", "body")
-    hit = index.filter(F.col("token").isin(tokens)).groupBy("id").agg(F.count(F.lit(1)).alias("matched"))
+    tokens = query_list(g, raw, text.tokenise_code if code else text.tokenise_keywords)
+    index = g.stored("node_postings", lambda: text.postings(nodes.filter("kind <> 'file'").select("id", F.concat_ws(" ", "name", "path", "indexer").alias("body")), "id", "body"), "part")
+    hit = text.hits(index, tokens).groupBy("id").agg(F.count(F.lit(1)).alias("matched"))
     every, some = hit.filter(F.col("matched") == len(tokens)).select("id"), hit.select("id")
-    return S.ranked(S.with_content(S.structural(nodes, tokens), nodes, every, some), g.edges)
+    return S.ranked(S.with_content(S.structural(nodes, tokens), nodes, every, some), g.edges, limit)
+
+
+@query("search")
+def search(g: Graph) -> DataFrame:
+    """The 25 best nodes for some words."""
+    return search_nodes(g, "order supplier service red widget")
+
+
+@query("search_by_code")
+def search_by_code(g: Graph) -> DataFrame:
+    """The 25 best nodes for a piece of code."""
+    return search_nodes(g, "Supplier7Service.find('red widget') // lib/p4.py", code=True)
+
+
+@query("search_by_position", "SELECT id FROM nodes WHERE path = 'lib/p4.py' AND start_line <= 130 AND end_line >= 130 AND start_line > 0 ORDER BY end_line - start_line, start_line DESC, id LIMIT 1")
+def search_by_position(g: Graph) -> DataFrame:
+    """The innermost symbol at a place of a file."""
+    ranges = g.nodes.filter("start_line is not null").select(F.col("path").alias("file_path"), F.col("id").alias("symbol_id"), "start_line", "end_line")
+    asked = g.spark.createDataFrame([("lib/p4.py", "q", 130, 130)], "file_path string, hunk string, new_start long, new_end long")
+    return joins.innermost(joins.interval_join(ranges, asked)).select(F.col("symbol_id").alias("id"))
+
+
+@query("search_then_trace", f"""WITH seed AS (SELECT id FROM nodes WHERE kind = 'java_class' AND contains(lower(name), 'supplier6service')), p AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM edges WHERE kind IN {literals(K.TRACE_KINDS)} AND from_id <> to_id),
+r(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT p.dst, r.depth + 1 FROM r JOIN p ON r.id = p.src WHERE r.depth < 3) SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id""", recursive=True)
+def search_then_trace(g: Graph) -> DataFrame:
+    """What the best hit of a search leads to."""
+    best = search_nodes(g, "Supplier6Service", limit=1)
+    pairs = T.adjacency(g.edges, K.TRACE_KINDS)
+    return T.bfs(pairs, best, 3).select("id", F.col("depth").cast("bigint").alias("depth"))
+
+
+@query("code_tokens", """WITH d AS (SELECT p_partkey AS id, concat('lib/part_', p_size, '.py getPart', p_size, '("Red ', p_brand, '")') AS code FROM part),
+t AS (SELECT id, list_distinct(list_filter(['red', lower(split_part(p_brand, '#', 1)), split_part(p_brand, '#', 2), 'lib', concat('part_', p_size), 'part', CAST(p_size AS VARCHAR), 'py', concat('getpart', p_size), 'get', concat('part', p_size), concat('part_', p_size, '.py')], lambda x: octet_length(encode(x)) >= 2)) AS want FROM d JOIN part ON id = p_partkey)
+SELECT id, array_to_string(list_sort(list_distinct(list_concat(want, CASE WHEN p_brand LIKE '%#%' THEN ['brand', 'red'] ELSE [] END))), ' ') AS tokens FROM t JOIN part ON id = p_partkey""")
+def code_tokens(g: Graph) -> DataFrame:
+    """Query tokens of pieces of code."""
+    code = F.concat(F.lit("lib/part_"), "p_size", F.lit(".py getPart"), "p_size", F.lit('("Red '), "p_brand", F.lit('")'))
+    return g.table("part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(text.tokenise_code(code)), " ").alias("tokens"))
+
+
+@query("candidate_scores", """WITH c AS (SELECT concat('cand-', p_partkey) AS id, concat('Sync', p_size, ' ', p_brand) AS name, concat('about the ', p_name, ' and sync') AS description FROM part), t AS (SELECT unnest(['red', 'sync7', 'about', 'cand']) AS t)
+SELECT id, CAST(sum(CASE WHEN split_part(lower(name), ' ', 1) = t AND t = 'sync7' THEN 10 ELSE 0 END) + max(CASE WHEN contains(lower(description), t) THEN 40 ELSE 0 END) + sum(CASE WHEN t = 'cand' THEN 10 ELSE 0 END) AS BIGINT) AS score FROM c, t GROUP BY id""")
+def candidate_scores(g: Graph) -> DataFrame:
+    """Candidates scored for some words."""
+    c = g.table("part").select(F.concat(F.lit("cand-"), "p_partkey").alias("id"), F.concat(F.lit("Sync"), "p_size", F.lit(" "), "p_brand").alias("name"), F.concat(F.lit("about the "), "p_name", F.lit(" and sync")).alias("description"))
+    return S.score_candidates(c, ["red", "sync7", "about", "cand"])
 
 
 @query("search_scores", """WITH n AS (SELECT id, kind, lower(id) AS i, lower(name) AS m, lower(path) AS p, string_split(lower(path), '/') AS segs, """ + _SPLIT.replace("@", "name") + r""" AS parts, list_transform(string_split(name, '.'), lambda s: lower(regexp_replace(s, '[^\p{L}\p{N}_]', '', 'g'))) AS whole
@@ -111,21 +178,6 @@ def _lines(g: Graph) -> DataFrame:
     return split.select("doc_id", (F.col("row_no") + 1).alias("row_no"), "line")
 
 
-@query("sections", f"""WITH {_LINES}, h AS (SELECT doc_id, row_no, least(length(split_part(line, ' ', 1)) % 4 + 1, 4) AS level, line FROM l WHERE row_no % 3 = 1), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, split_part(line, ' ', 1) ORDER BY row_no) AS nth FROM h)
-SELECT n.doc_id, n.row_no, n.level, n.nth, (SELECT min(m.row_no) - 1 FROM h m WHERE m.doc_id = n.doc_id AND m.row_no > n.row_no AND m.level <= n.level) AS end_at FROM n""")
-def sections(g: Graph) -> DataFrame:
-    """Every third line as a heading: its repetition number, and its section's end
-    (the line before the next heading that is not deeper; none: null)."""
-    word = F.substring_index("line", " ", 1)
-    h = _lines(g).filter("row_no % 3 = 1").withColumn("level", F.least(F.char_length(word) % 4 + 1, F.lit(4)))
-    by = Window.partitionBy("doc_id").orderBy("row_no")
-    ends = [F.min(F.when(F.col("level") <= k, F.col("row_no"))).over(by.rowsBetween(1, Window.unboundedFollowing)) for k in (1, 2, 3, 4)]
-    end = F.when(F.col("level") == 1, ends[0]).when(F.col("level") == 2, ends[1]).when(F.col("level") == 3, ends[2]).otherwise(ends[3])
-    nth = F.row_number().over(Window.partitionBy("doc_id", word).orderBy("row_no"))
-    out = h.withColumn("nth", nth).withColumn("end_at", end - 1)
-    return out.select("doc_id", F.col("row_no").cast("bigint").alias("row_no"), F.col("level").cast("bigint").alias("level"), F.col("nth").cast("bigint").alias("nth"), F.col("end_at").cast("bigint").alias("end_at"))
-
-
 _HEADS = _LINES + r""", f AS (SELECT *, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY row_no) AS fences, max(row_no) OVER (PARTITION BY doc_id) AS last FROM l),
 h AS (SELECT doc_id, row_no, last, length(regexp_extract(line, '^(#+)', 1)) AS level, regexp_extract(line, '^#+\s+(.*?)\s*#*\s*$', 1) AS title FROM f WHERE fences % 2 = 0 AND regexp_matches(line, '^#{1,6}\s+\S'))"""
 
@@ -146,13 +198,8 @@ def requirements(g: Graph) -> DataFrame:
     return parsers.requirements(g.table("documents"), "doc_id")
 
 
-@query("slugs", r"SELECT doc_id, regexp_replace(regexp_replace(translate(left(text, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("slugs", r"SELECT doc_id, regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def slugs(g: Graph) -> DataFrame:
-    return g.table("documents").select("doc_id", exprs.slug(F.left("text", F.lit(40))).alias("slug"))
-
-
-@query("whole_slugs", r"SELECT doc_id, regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
-def whole_slugs(g: Graph) -> DataFrame:
     return g.table("documents").select("doc_id", exprs.slug(F.col("text")).alias("slug"))
 
 
