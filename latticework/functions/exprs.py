@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column
@@ -51,7 +50,6 @@ def glob_match(path: Column, globs: list[str]) -> Column:
     if not globs:
         return F.lit(False)
     one = lambda g: re.sub(r"\\\*\\\*/?", ".*", re.sub(r"(?<!\\\*)\\\*(?!\\\*)", "[^/]*", re.escape(g))).replace(r"\?", "[^/]")
-    assert fnmatch  # globs follow the shell's characters
     return path.rlike("^(" + "|".join(map(one, globs)) + ")$")
 
 
@@ -126,3 +124,20 @@ def literal_kind(value: Column) -> Column:
 
 def is_trivial_literal(value: Column) -> Column:
     return value.isin("0", "1", "-1", "0.0", "1.0", '""', "''", "true", "false", "")
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether the patterns of a ``.gitignore`` at the top leave a path out: the last
+    that fits decides, ``!`` takes back, a slash inside binds to the top, one at the
+    end means a directory."""
+    out = F.lit(False)
+    for raw in patterns:
+        line = raw.strip()
+        if not line or line.startswith("#"):
+            continue
+        back, line = line.startswith("!"), line.removeprefix("!")
+        folder, bound = line.endswith("/"), "/" in line.rstrip("/")
+        steps = [{"**/": "(.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|[^*?/]+|/", line.strip("/"))]
+        fits = path.rlike(("^" if bound or line.startswith("/") else "(^|/)") + "".join(steps) + ("/" if folder else "(/|$)"))
+        out = F.when(fits, F.lit(not back)).otherwise(out)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +48,9 @@ def token_hash(tokens: list[str]) -> int:
 def simhash(tokens: list[str], k: int = 4) -> int:
     """Sign of the votes of k-token shingles, bit by bit; ties are 0."""
     runs = [tokens[i : i + k] for i in range(len(tokens) - k + 1)] or [tokens]
-    votes = [0] * 64
-    for run in runs:
-        h = token_hash(run)
-        for bit in range(64):
-            votes[bit] += 1 if h >> bit & 1 else -1
-    return sum(1 << bit for bit, v in enumerate(votes) if v > 0)
+    marks = np.array([token_hash(run) for run in runs], "<u8")
+    up = np.unpackbits(marks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * up > len(runs), bitorder="little").tobytes(), "little")
 
 
 def strip_noise(body: str) -> str:
@@ -88,11 +86,12 @@ def literals(bodies: pd.Series) -> pd.Series:
     """String, number and boolean literals with their 1-based lines."""
 
     def scan(body: str | None) -> list[dict]:
-        out = []
+        out, line, at = [], 1, 0
         for m in _TOKEN.finditer(body or ""):
+            line, at = line + body.count("\n", at, m.start()), m.start()
             kind = "string" if m.lastgroup == "str" else "number" if m.lastgroup == "num" else "bool" if m[0] in ("true", "false", "True", "False") else None
             if kind:
-                out.append({"kind": kind, "value": m[0], "line": body.count("\n", 0, m.start()) + 1})
+                out.append({"kind": kind, "value": m[0], "line": line})
         return out
 
     return bodies.map(scan)

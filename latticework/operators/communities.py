@@ -1,84 +1,126 @@
 """Louvain communities of a weighted graph of files.
 
-The local moves follow node order, so the result is defined by a sequential
-run: it takes one task that holds the whole graph of files (not of symbols).
+Moves follow node order and weigh against the whole graph's weight, but never look
+beyond a connected component: components are found first, and each is one group,
+run on arrays. So one task holds a component of files, never all of them.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Smallest gain that moves a node, and levels of aggregation at most.
-LEAST_GAIN, LEVELS = 1e-9, 50
-
-
-def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0) -> list[int]:
-    """A community for each node, numbered by first appearance."""
-    weight: dict[tuple[int, int], float] = {}
-    for a, b, w in edges:
-        key = (min(a, b), max(a, b))
-        weight[key] = weight.get(key, 0.0) + w
-    member = list(range(n))
-    for _ in range(LEVELS):
-        size = max(member, default=-1) + 1
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        loop, total = [0.0] * size, 0.0
-        for (a, b), w in sorted(weight.items()):
-            total += w
-            if a == b:
-                loop[a] += w
-            else:
-                near[a][b] = near[a].get(b, 0.0) + w
-                near[b][a] = near[b].get(a, 0.0) + w
-        if total <= 0:
-            break
-        strength = [2 * loop[i] + sum(near[i].values()) for i in range(size)]
-        home, held = list(range(size)), list(strength)
-        moved_any = moved = True
-        moved_any = False
-        while moved:
-            moved = False
-            for i in range(size):
-                links: dict[int, float] = {}
-                for j, w in near[i].items():
-                    links[home[j]] = links.get(home[j], 0.0) + w
+from latticework.functions.tables import keep
+from latticework.operators.traverse import label_components
+
+#: Smallest gain that moves a node; passes of a level and levels at most.
+LEAST_GAIN, PASSES, LEVELS = 1e-9, 100, 50
+#: A community of more files than this share of all, and than that number, is split again.
+SHARE, LARGE = 12, 40
+
+
+class _Level:
+    """A graph as sorted neighbour lists (compressed rows), its loops and strengths."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        key, place = np.unique(low * n + high, return_inverse=True)
+        w = np.bincount(place, w, len(key))
+        self.n, self.a, self.b, self.w = n, key // n, key % n, w
+        loop = self.a == self.b
+        self.loop = np.bincount(self.a[loop], w[loop], n)
+        ends = np.concatenate([self.a[~loop], self.b[~loop]]), np.concatenate([self.b[~loop], self.a[~loop]])
+        order = np.lexsort((ends[1], ends[0]))
+        self.near, self.weight = ends[1][order], np.tile(w[~loop], 2)[order]
+        self.start = np.searchsorted(ends[0][order], np.arange(n + 1))
+        self.strength = 2 * self.loop + np.bincount(ends[0], np.tile(w[~loop], 2), n)
+
+    def moved(self, total: float, resolution: float) -> np.ndarray:
+        """The community of each node after local moves in node order."""
+        home, held = np.arange(self.n), self.strength.copy()
+        for _ in range(PASSES):
+            still = True
+            for i in range(self.n):
+                at = slice(self.start[i], self.start[i + 1])
+                around, place = np.unique(home[self.near[at]], return_inverse=True)
+                links = np.bincount(place, self.weight[at], len(around))
                 own = home[i]
-                held[own] -= strength[i]
-                value = lambda c: links.get(c, 0.0) - resolution * strength[i] * held[c] / (2 * total)  # noqa: E731, B023
-                best, most = own, value(own)
-                for c in sorted(links):
-                    if value(c) > most + LEAST_GAIN:
-                        best, most = c, value(c)
-                held[best] += strength[i]
+                held[own] -= self.strength[i]
+                pull = resolution * self.strength[i] / (2 * total)
+                here = links[around == own].sum() - pull * held[own]
+                best = own
+                for c, value in zip(around, links - pull * held[around]):  # the smallest number wins a tie
+                    if value > here + LEAST_GAIN:
+                        best, here = c, value
+                held[best] += self.strength[i]
                 if best != own:
-                    home[i], moved, moved_any = best, True, True
-        if not moved_any:
+                    home[i], still = best, False
+            if still:
+                break
+        return home
+
+
+def _numbered(labels: np.ndarray) -> np.ndarray:
+    """Labels as numbers by first appearance."""
+    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[inverse]
+
+
+def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0, total: float | None = None) -> list[int]:
+    """A community for each node, numbered by first appearance; edges without a
+    positive weight don't count; ``total``: the weight of the graph that this is part of."""
+    a, b, w = (np.array(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 3
+    good = w > 0
+    level, member = _Level(max(n, 1), a[good].astype(np.int64), b[good].astype(np.int64), w[good].astype(float)), np.arange(n)
+    total = float(level.w.sum()) if total is None else total
+    for _ in range(LEVELS if total > 0 else 0):
+        home = level.moved(total, resolution)
+        if (home == np.arange(level.n)).all():
             break
-        number: dict[int, int] = {}
-        for c in home:
-            number.setdefault(c, len(number))
-        home = [number[c] for c in home]
-        member = [home[m] for m in member]
-        merged: dict[tuple[int, int], float] = {}
-        for (a, b), w in weight.items():
-            key = (min(home[a], home[b]), max(home[a], home[b]))
-            merged[key] = merged.get(key, 0.0) + w
-        weight = merged
-    number = {}
-    for c in member:
-        number.setdefault(c, len(number))
-    return [number[c] for c in member]
-
-
-def communities(pairs: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(path, community) of an undirected weighted graph (a, b, weight) of files."""
+        home = _numbered(home)
+        member = home[member]
+        level = _Level(int(home.max()) + 1, home[level.a], home[level.b], level.w)
+    return _numbered(member).tolist() if n else []
+
+
+def refined(n: int, edges: list[tuple[int, int, float]], cap: int, total: float) -> list[int]:
+    """``louvain``, and again inside each community of more than ``cap`` nodes, until
+    it is small enough or does not come apart."""
+    labels, whole, fresh = np.array(louvain(n, edges, total=total), np.int64), set(), n
+    while True:
+        large = [c for c, size in zip(*np.unique(labels, return_counts=True)) if size > cap and c not in whole]
+        if not large:
+            return _numbered(labels).tolist()
+        for c in large:
+            inside = np.flatnonzero(labels == c)
+            at = {int(v): i for i, v in enumerate(inside)}
+            part = np.array(louvain(len(inside), [(at[x], at[y], w) for x, y, w in edges if x in at and y in at]))
+            if part.max() == 0:
+                whole.add(c)
+            else:
+                labels[inside] = fresh + part
+                fresh += int(part.max()) + 1
+
+
+def communities(pairs: DataFrame, refine: bool = False) -> DataFrame:
+    """(path, community) of an undirected weighted graph (a, b, weight) of files; a
+    community goes by its first path. ``refine``: large ones are split again."""
+    pairs = keep(pairs.filter("weight > 0").select("a", "b", "weight"), "files")
+    roots = keep(label_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "parts")
+    total, files = pairs.agg(F.sum("weight")).first()[0] or 0.0, roots.count()
+    cap = max(LARGE, files // SHARE)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(frame["a"]) | set(frame["b"]))
         at = {p: i for i, p in enumerate(names)}
-        rows = sorted(zip(frame["a"].map(at), frame["b"].map(at), frame["weight"]))
-        return pd.DataFrame({"path": names, "community": louvain(len(names), rows, resolution)})
+        rows = list(zip(frame["a"].map(at), frame["b"].map(at), frame["weight"]))
+        label = refined(len(names), rows, cap, total) if refine else louvain(len(names), rows, total=total)
+        first: dict[int, str] = {}
+        for name, c in zip(names, label):
+            first.setdefault(c, name)
+        return pd.DataFrame({"path": names, "community": [first[c] for c in label]})
 
-    return pairs.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "path string, community long")
+    placed = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a")
+    return placed.groupBy("root").applyInPandas(run, "path string, community string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,14 +22,24 @@ WORDS = {
 }
 RUST_THROWS = ["unwrap", "expect"]
 COMPARISONS = r"==|!=|<=|>=| < | > "
-SIGNALS = {
-    "async": r"\b(await|async|Future|Promise|Deferred)\b",
-    "io": r"print\(|println|eprintln|fmt\.Print|console\.log|fopen|fwrite|fread|File\(|open\(|\.read\(|\.write\(|readFile|writeFile|std::fs|fs::|fs\.|ioutil|os\.Open|http|fetch\(|axios|reqwest|dio|sqlite|execute\(|\.query\(|prepare\(|localStorage|getenv|std::env|malloc\(|calloc\(|URLSession|Socket|SharedPreferences|UserDefaults|ModelContext|ModelContainer|NSManagedObjectContext|DynamicLibrary",
-    "ui": r"setState|WidgetCenter|UIView|NSView|Scaffold|some View|\.draw\(|render\(|runApp\(|UIApplication|NSApplication",
-    "time": r"DateTime\.now|\.now\(|SystemTime|Instant::now|currentTimeMillis|time\.Now|Date\.now|Clock",
-    "randomness": r"\b(random|Random|rand|shuffle|uuid|UUID)\b|Math\.random",
-    "global_mutation": r"static mut|setenv|\bglobal\b",
+# What betrays each kind of side effect, as it stands in code; words stand alone.
+SIGNAL_WORDS = {
+    "async": ["await", "async", "Future", "Promise", "Deferred"],
+    "randomness": ["random", "Random", "rand", "shuffle", "uuid", "UUID"],
+    "global_mutation": ["global"],
 }
+SIGNAL_TEXTS = {
+    "io": ["print(", "println", "eprintln", "fmt.Print", "console.log", "fopen", "fwrite", "fread", "File(", "open(", ".read(", ".write(", "readFile", "writeFile", "std::fs", "fs::", "fs.", "ioutil", "os.Open", "http", "fetch(", "axios", "reqwest", "dio", "sqlite", "execute(", ".query(", "prepare(", "localStorage", "getenv", "std::env", "malloc(", "calloc(", "URLSession", "Socket", "SharedPreferences", "UserDefaults", "ModelContext", "ModelContainer", "NSManagedObjectContext", "DynamicLibrary"],
+    "ui": ["setState", "WidgetCenter", "UIView", "NSView", "Scaffold", "some View", ".draw(", "render(", "runApp(", "UIApplication", "NSApplication"],
+    "time": ["DateTime.now", ".now(", "SystemTime", "Instant::now", "currentTimeMillis", "time.Now", "Date.now", "Clock"],
+    "randomness": ["Math.random"],
+    "global_mutation": ["static mut", "setenv"],
+}
+
+
+def _signal(name: str) -> str:
+    words = [rf"\b{re.escape(w)}\b" for w in SIGNAL_WORDS.get(name, [])]
+    return "|".join(words + [re.escape(t) for t in SIGNAL_TEXTS.get(name, [])])
 
 
 def _count(words: list[str]) -> Column:
@@ -49,7 +60,7 @@ def symbol_facts(bodies: DataFrame, body: str = "body", rust: Column | None = No
         rows = rows.withColumn("throws", F.col("throws") + F.when(rust, _count(RUST_THROWS)).otherwise(0))
     rows = rows.withColumn("comparisons", F.regexp_count(text, F.lit(COMPARISONS)))
     rows = rows.withColumn("null_checks", F.col("null_checks") + F.regexp_count(text, F.lit(r"\?\?|\?\.")))
-    signals = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(s)) for s, p in sorted(SIGNALS.items())]))
+    signals = F.array_compact(F.array(*[F.when(text.rlike(_signal(s)), F.lit(s)) for s in sorted({*SIGNAL_WORDS, *SIGNAL_TEXTS})]))
     rows = rows.withColumn("impurity", signals)
     purity = F.when(F.trim(F.coalesce(F.col(body), F.lit(""))) == "", "unknown").when(F.size("impurity") == 0, "pure").otherwise("impure")
     return rows.withColumn("purity", purity).drop("_text", "_tokens")

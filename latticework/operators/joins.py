@@ -83,6 +83,26 @@ def aliased(base: DataFrame, port: DataFrame, key: str, group: str, port_map: Da
     return rows.select(group, key, F.coalesce("own", "other").alias("found"), (F.col("own").isNull() & F.col("other").isNotNull()).alias("by_alias"))
 
 
+def first_sites(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, n, sites): how often each key is met, and its first sites (column site).
+
+    Ranks are limited before the shuffle, so a hot key sends few rows a task.
+    """
+    order = Window.partitionBy(key).orderBy("site")
+    first = rows.select(key, "site").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
+    first = first.groupBy(key).agg(F.array_sort(F.collect_list("site")).alias("sites"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(first, key)
+
+
+def named_alike(specs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(spec, target): the ends of ids joined whatever their case: equal ones, ``IName``
+    with ``Name``, ``Name`` with ``NameImpl``."""
+    last = F.element_at(F.split("spec", "::"), -1)
+    asked = F.array_distinct(F.array(F.lower(last), F.lower(F.regexp_replace(last, "^I(?=[A-Z])", "")), F.concat(F.lower(last), F.lit("impl"))))
+    keyed = nodes.select(F.col("id").alias("target"), F.lower(F.substring_index("id", "::", -1)).alias("k"))
+    return specs.select("spec", F.explode(asked).alias("k")).join(keyed, "k").select("spec", "target").distinct()
+
+
 def placed(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows in ``order``, with their ``place`` from 1: the rows are
     taken before they are numbered, so the window holds no more."""

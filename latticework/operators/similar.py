@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.operators.traverse import label_components
@@ -41,3 +41,16 @@ def near_clusters(marks: DataFrame, radius: int = 10) -> DataFrame:
     rooted = marks.join(roots.select(F.col("id").alias("simhash"), "root"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
     first = rooted.groupBy("root").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return rooted.join(first, "root").select("id", "cluster")
+
+
+def cluster_stats(marks: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, members, tokens, similarity): size, upper median of token counts, and
+    the least likeness of two bodies of the cluster (of different hashes; else 1)."""
+    rows = clusters.join(marks.select("id", "tokens", "simhash"), "id")
+    order = Window.partitionBy("cluster").orderBy("tokens", "id")
+    middle = rows.withColumn("n", F.row_number().over(order)).withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
+    middle = middle.filter(F.col("n") == F.floor(F.col("members") / 2) + 1).select("cluster", "members", "tokens")
+    one = rows.select("cluster", "simhash").distinct()
+    far = one.alias("a").join(one.alias("b"), (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.simhash") < F.col("b.simhash")))
+    far = far.groupBy(F.col("a.cluster").alias("cluster")).agg(F.max(F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))).alias("bits"))
+    return middle.join(far, "cluster", "left").select("cluster", "members", "tokens", (1 - F.coalesce("bits", F.lit(0)) / 64.0).alias("similarity"))

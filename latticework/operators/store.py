@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,24 @@ def suppress_imprecise(edges: DataFrame, covered: DataFrame, keep: str) -> DataF
 def export_jsonl(table: DataFrame, folder: str) -> None:
     """One JSON object a row; the folder appears whole or not at all."""
     table.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
+def commit(frames: dict[str, DataFrame], folder: str) -> str:
+    """Write several tables all or none: into a new folder below ``folder``, which
+    counts only once its marker is written, last. Returns that folder."""
+    spark = next(iter(frames.values())).sparkSession
+    place = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
+    for name, frame in frames.items():
+        frame.write.parquet(f"{place}/{name}")
+    stamp = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(place).alias("place"))
+    stamp.write.mode("append").json(f"{folder.rstrip('/')}/log")
+    return place
+
+
+def current(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the last commit; none: null. What a broken one left does not count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/log")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    last = spark.read.schema("at timestamp, place string").json(f"{folder.rstrip('/')}/log").agg(F.max_by("place", "at")).first()
+    return last[0]

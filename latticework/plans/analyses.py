@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.functions import lexers
 from latticework.operators import facts as A
 from latticework.operators import resolve as R
+from latticework.operators import similar
+from latticework.operators.joins import placed
 from latticework.plans.registry import query
-from latticework.plans.texts import _bodies, _lines
+from latticework.plans.texts import _lines
 from latticework.sources.derived import Graph
 
 _CAT = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
@@ -100,18 +103,45 @@ def graph_order(g: Graph) -> DataFrame:
     return both.orderBy("tier", F.col("degree").desc(), "id").limit(200)
 
 
-@query("symbol_facts", "SELECT p_partkey AS id, 1 AS branches, 1 AS early_returns, 1 AS comparisons, CASE WHEN p_size % 7 > 0 THEN 'pure' ELSE 'pure' END AS purity FROM part")
+def _varied(g: Graph) -> DataFrame:
+    """Bodies of the parts that branch, loop, throw, catch, await and touch the outside in turn."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    line = lambda test, text: F.when(test, text).otherwise("")
+    noise = "  # if return raise await\n  s = 'for open( await'\n"
+    parts = [
+        F.lit("def f(x):\n" + noise), line(size % 2 == 0, "  if x > 1:\n    y = 2\n"), line(k % 3 == 0, "  for i in x:\n    while i:\n      g(i)\n"), line(k % 5 == 0, "  raise E\n"),
+        line(k % 7 == 0, "  try:\n    g()\n  except E:\n    pass\n"), line(k % 4 == 1, "  z = x == None\n"), line(k % 11 == 0, "  await h()\n"),
+        line(size % 9 == 0, "  print(x)\n"), line(size % 9 == 1, "  setState(x)\n"), line(size % 9 == 2, "  t = Date.now\n"), line(size % 9 == 3, "  r = random\n"), line(size % 9 == 4, "  global q\n"), F.lit("  return x\n"),
+    ]
+    return g.table("part").select(k.alias("id"), F.concat(*parts).alias("body"))
+
+
+_FACTS = """f AS (SELECT p_partkey AS id, CAST(p_size % 2 = 0 AS INT) AS branches, 2 * CAST(p_partkey % 3 = 0 AS INT) AS loops, 1 AS early_returns, CAST(p_partkey % 5 = 0 AS INT) AS throws, CAST(p_partkey % 7 = 0 AS INT) AS catches, CAST(p_partkey % 4 = 1 AS INT) AS null_checks, CAST(p_partkey % 11 = 0 AS INT) AS awaits,
+CAST(p_size % 2 = 0 AS INT) + CAST(p_partkey % 4 = 1 AS INT) AS comparisons, list_filter([CASE WHEN p_partkey % 11 = 0 THEN 'async' END, CASE p_size % 9 WHEN 0 THEN 'io' WHEN 1 THEN 'ui' WHEN 2 THEN 'time' WHEN 3 THEN 'randomness' WHEN 4 THEN 'global_mutation' END], lambda x: x IS NOT NULL) AS reasons FROM part)"""
+
+
+@query("symbol_facts", f"WITH {_FACTS} SELECT id, branches, loops, early_returns, throws, catches, null_checks, awaits, comparisons, array_to_string(list_sort(reasons), ',') AS impurity, CASE WHEN len(reasons) = 0 THEN 'pure' ELSE 'impure' END AS purity FROM f")
 def symbol_facts(g: Graph) -> DataFrame:
-    return A.symbol_facts(_bodies(g)).select("id", "branches", "early_returns", "comparisons", "purity")
+    """What each body does: counts, signals of impurity, purity."""
+    counts = ["branches", "loops", "early_returns", "throws", "catches", "null_checks", "awaits", "comparisons"]
+    return A.symbol_facts(_varied(g)).select("id", *counts, F.array_join("impurity", ",").alias("impurity"), "purity")
 
 
-@query("suggested_tests", "SELECT suggestion, count(*) AS n FROM (SELECT unnest(['smoke', 'branch', 'boundary', 'purity']) AS suggestion FROM part) x GROUP BY 1")
+@query("suggested_tests", f"""WITH {_FACTS}, r AS (SELECT 'smoke' AS suggestion, 1 AS priority FROM f UNION ALL SELECT 'branch', 2 FROM f WHERE branches > 0 UNION ALL SELECT 'boundary', 2 FROM f WHERE comparisons > 0 UNION ALL SELECT 'null', 2 FROM f WHERE null_checks > 0 UNION ALL SELECT 'error', 1 FROM f WHERE throws > 0
+UNION ALL SELECT 'loop', 3 FROM f WHERE loops > 0 UNION ALL SELECT 'purity', 3 FROM f WHERE len(reasons) = 0 UNION ALL SELECT 'dependency', 2 FROM f WHERE len(reasons) > 0) SELECT suggestion, priority, count(*) AS n FROM r GROUP BY 1, 2""")
 def suggested_tests(g: Graph) -> DataFrame:
-    return A.suggest_tests(A.symbol_facts(_bodies(g))).groupBy("suggestion").agg(F.count(F.lit(1)).alias("n"))
+    """How many symbols ask for each kind of test."""
+    return A.suggest_tests(A.symbol_facts(_varied(g))).groupBy("suggestion", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("similarity_clusters")
+def similarity_clusters(g: Graph) -> DataFrame:
+    """Clusters of near duplicate bodies: size, upper median of tokens, least likeness (hashes that SQL does not have)."""
+    marks = _varied(g).select("id", lexers.fingerprint("body").alias("f")).select("id", "f.*")
+    return similar.cluster_stats(marks, similar.near_clusters(marks))
 
 
-@query("similarity_medians", "WITH c AS (SELECT p_brand AS cluster, list_sort(list(p_size)) AS s FROM part GROUP BY 1) SELECT cluster, s[len(s) // 2 + 1] AS median_tokens FROM c")
-def similarity_medians(g: Graph) -> DataFrame:
-    """The upper median of each cluster."""
-    sizes = g.table("part").withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("p_brand")))
-    return sizes.filter(F.col("n") == F.floor(F.col("all") / 2) + 1).select(F.col("p_brand").alias("cluster"), F.col("p_size").alias("median_tokens"))
+@query("similarity_report")
+def similarity_report(g: Graph) -> DataFrame:
+    """The first 50 of these clusters: most tokens, then largest, then most alike."""
+    return placed(similarity_clusters(g), [F.col("tokens").desc(), F.col("members").desc(), F.col("similarity").desc(), F.col("cluster")], 50)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.plans import analyses, graph, records, registry, relations, texts  # noqa: F401
+from latticework.plans import analyses, graph, records, registry, relations, schemas, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -253,3 +253,9 @@ def slice_(g: Graph) -> DataFrame:
 def communities(g: Graph) -> DataFrame:
     """Louvain modules of the graph of files (sequential by definition; no SQL)."""
     return C.communities(file_graph(g))
+
+
+@query("business_modules")
+def business_modules(g: Graph) -> DataFrame:
+    """The modules that a proposal starts from: communities, large ones split again (no SQL)."""
+    return C.communities(file_graph(g), refine=True)
