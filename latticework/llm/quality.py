@@ -40,6 +40,16 @@ def _rates(*values: float) -> list[int]:
     return [base + 9 * i + int(np.searchsorted(_STEPS, v, "left")) for i, v in enumerate(values)]
 
 
+def _line_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines with content of all texts, and where each text's begin."""
+    edges = np.union1d(np.flatnonzero(data == 10) + 1, offsets)
+    starts, ends = edges[:-1], edges[1:].copy()
+    ends[data[ends - 1] == 10] -= 1
+    full = ends > starts
+    starts = starts[full]
+    return words.hashes(data, starts, ends[full]), np.searchsorted(starts, offsets)
+
+
 def indicators(column: pa.Array) -> Iterator[np.ndarray]:
     """Indices of the features of each text, each once: words, pairs of
     words, n-grams of character classes (a run counts as two at most), and how
@@ -50,6 +60,7 @@ def indicators(column: pa.Array) -> Iterator[np.ndarray]:
         at = np.searchsorted(starts, offsets)
         pair = words.mix(h[:-1] * np.uint64(3) + h[1:])
         kind = _CLASS[data]
+        marks, lines = _line_marks(data, offsets)
         for i in range(len(offsets) - 1):
             a, b, x, y = at[i], at[i + 1], offsets[i], offsets[i + 1]
             if a == b:
@@ -69,11 +80,8 @@ def indicators(column: pa.Array) -> Iterator[np.ndarray]:
                 code = code[: len(k) - n + 1] * np.uint64(64) + k[n - 1 :]
                 found.append((1 << WORD_BITS) + (words.mix(code + np.uint64(n << 40)) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64))
             again = float(np.mean(h[a + 1 : b] == h[a : b - 1])) if b - a > 1 else 0.0
-            breaks = np.flatnonzero(data[x:y] == 10)
-            lines = np.concatenate([[x], x + breaks + 1]), np.concatenate([x + breaks, [y]])
-            full = lines[1] > lines[0]
-            marks = words.hashes(data[x:y], lines[0][full] - x, lines[1][full] - x) if full.sum() > 1 else np.zeros(0)
-            copied = 1 - len(np.unique(marks)) / len(marks) if len(marks) else 0.0
+            mine = marks[lines[i] : lines[i + 1]]
+            copied = 1 - len(np.unique(mine)) / len(mine) if len(mine) > 1 else 0.0
             found.append(np.array(_rates(again, copied, float(np.mean(kind[x:y] == 2)), float(np.mean(kind[x:y] >= 7))), np.int64))
             yield np.unique(np.concatenate(found)).astype(np.int32)
 

@@ -30,7 +30,7 @@ _KIND[_SPACE] = 0
 _KIND[128:] = _KIND[39] = 5
 
 #: Odd multipliers of the hash; a word beyond LONG bytes is hashed alone, by xxh3.
-_BASE, _NEXT, _SIZE, LONG = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 256
+_BASE, _NEXT, _SIZE, LONG = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 64
 #: The low n bytes of a lane of eight.
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
@@ -154,8 +154,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
         h[left] = mix(h[left] * np.uint64(_NEXT) ^ mix(lane + np.uint64(_BASE)))
         at += 8
         left = left[length[left] > at]
-    for i in np.flatnonzero(length > LONG).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), _BASE)
+    far = np.flatnonzero(length > LONG)
+    if len(far):
+        view = memoryview(np.ascontiguousarray(data))
+        h[far] = [xxhash.xxh3_64_intdigest(view[a:b], _BASE) for a, b in zip(starts[far].tolist(), ends[far].tolist())]
     return h
 
 
