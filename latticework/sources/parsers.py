@@ -107,7 +107,7 @@ def table_columns(texts: DataFrame, key: str, column: str) -> DataFrame:
     head = r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"\[]?([\w.]+)[`\"\]]?\s*\(((?:[^()]|\([^()]*\))*)\)"
     found = texts.select(key, F.arrays_zip(F.regexp_extract_all(column, F.lit(head), F.lit(1)).alias("t"), F.regexp_extract_all(column, F.lit(head), F.lit(2)).alias("b")).alias("z"))
     found = found.select(key, F.explode("z").alias("z")).select(key, F.col("z.t").alias("table"), F.col("z.b").alias("body"))
-    pieces = F.split(F.regexp_replace("body", r",(?![^()]*\))", "\u0001"), "\u0001")
+    pieces = F.split(F.regexp_replace("body", r",(?![^()]*\))(?=(?:[^']*'[^']*')*[^']*$)", "\u0001"), "\u0001")
     piece = found.select(key, "table", F.posexplode(F.filter(F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")).alias("at", "piece"))
     first = F.regexp_replace(F.regexp_extract("piece", r"^(\S+)", 1), "[`\"\\[\\]]", "")
     rows = piece.select(key, "table", "at", first.alias("name"), F.regexp_extract("piece", r"^\S+\s*(.*)$", 1).alias("definition"))

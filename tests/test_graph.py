@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from latticework.functions import kinds as K
 from latticework.operators import communities, joins, reach, similar, store
 from latticework.operators import traverse as T
 from latticework.plans import catalogue
-from latticework.sources.derived import Graph
+from latticework.sources.derived import VIEWS, Graph
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -67,7 +68,7 @@ def test_call_components_take_every_call(spark):
         if a != b:
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
-    got = {r.id: r.root for r in catalogue.queries()["call_components"](spark, FOLDER).collect()}
+    got = {r.id: r.root for r in catalogue.queries()["components"](spark, FOLDER).collect()}
     assert got == {n: root(n) for n in up}
     assert any(n.startswith("python::app") for n in got)
 
@@ -173,17 +174,30 @@ def test_interval_joins(spark):
     assert {x.symbol_id for x in joins.most_specific(nested).collect()} == {"mid", "same", "zero"}
 
 
+def test_most_specific_against_pairs(spark):
+    draw = random.Random(8)
+    rows = [(f"f{draw.randrange(2)}", f"s{i}", a := draw.randrange(0, 12), draw.choice([None, *range(a, a + 9)]), f"h{draw.randrange(3)}") for i in range(120)]
+    table = spark.createDataFrame(rows, "file_path string, symbol_id string, start_line bigint, end_line bigint, hunk string")
+    holds = lambda x, y: x[0] == y[0] and x[4] == y[4] and None not in (x[3], y[3]) and x[2] <= y[2] and x[3] >= y[3] and x[3] - x[2] > y[3] - y[2]
+    assert sorted(r.symbol_id for r in joins.most_specific(table).collect()) == sorted(x[1] for x in rows if not any(holds(x, y) for y in rows))
+
+
 def test_interval_queries_take_every_range_and_hunk(spark):
     g = Graph(spark, FOLDER)
-    assert g.all_ranges.count() == g.table("lineitem").count() and g.all_hunks.count() == g.table("orders").count()
-    hits = {tuple(r) for r in catalogue.queries()["all_interval_join"](spark, FOLDER).collect()}
-    assert any(int(symbol.split("_")[0][1:]) % 7 and int(hunk[1:]) % 7 for _, symbol, hunk in hits)
-    part = {tuple(r) for r in catalogue.queries()["interval_join"](spark, FOLDER).collect()}
-    assert part < hits
-    for name in ("all_innermost_range", "all_most_specific_ranges"):
+    assert g.ranges.count() == g.table("lineitem").count() and g.hunks.count() == g.table("orders").count()
+    hits = {tuple(r) for r in catalogue.queries()["interval_join"](spark, FOLDER).collect()}
+    for name in ("innermost_range", "most_specific_ranges"):
         assert {r.hunk for r in catalogue.queries()[name](spark, FOLDER).collect()} == {h for *_, h in hits}
 
 
+def test_graph_is_stored_by_kind(spark):
+    g = Graph(spark, FOLDER)
+    calls = g.edges.filter("kind = 'calls'")
+    assert all("/kind=" in f for f in g.edges.inputFiles())
+    assert "kind=calls" in calls._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [isnotnull(kind" in calls._jdf.queryExecution().toString()
+    assert g.edges.columns == g.sql(VIEWS["edges"]).columns and sorted(map(str, g.nodes.collect())) == sorted(map(str, g.sql(VIEWS["nodes"]).collect()))
+
+
 def test_diff_coverage_and_store(spark):
     base = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", None, 3)], "id string, kind string, n int")
     head = spark.createDataFrame([("a", "y", 1), ("b", "x", 2), ("c", None, 4), ("d", "x", 5)], "id string, kind string, n int")
@@ -205,6 +219,81 @@ def test_export(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "out").glob("*.json")).strip() == '{"id":"a","name":null}'
 
 
+def _moves(n, edges, resolution=1.0):
+    """Louvain with plain dictionaries, as the method is told."""
+    w = {}
+    for a, b, x in edges:
+        if x > 0:
+            w[min(a, b), max(a, b)] = w.get((min(a, b), max(a, b)), 0.0) + x
+    total, member = sum(w.values()), list(range(n))
+    while total > 0:
+        size = max(member, default=-1) + 1
+        near = [{} for _ in range(size)]
+        for (a, b), x in w.items():
+            near[a][b] = near[b][a] = near[a].get(b, 0.0) + x if a != b else near[a].get(a, 0.0) + x
+        k = [sum(x * (2 if j == i else 1) for j, x in near[i].items()) for i in range(size)]
+        home, held = list(range(size)), list(k)
+        for _ in range(100):
+            still = True
+            for i in range(size):
+                links = {}
+                for j, x in near[i].items():
+                    if j != i:
+                        links[home[j]] = links.get(home[j], 0.0) + x
+                own = home[i]
+                held[own] -= k[i]
+                gain = {c: links.get(c, 0.0) - resolution * k[i] * held[c] / (2 * total) for c in [own, *links]}
+                best = own
+                for c in sorted(links):
+                    if gain[c] > gain[best] + 1e-9:
+                        best = c
+                held[best] += k[i]
+                if best != own:
+                    home[i], still = best, False
+            if still:
+                break
+        if home == list(range(size)):
+            break
+        order = {c: i for i, c in enumerate(dict.fromkeys(home))}
+        member = [order[home[m]] for m in member]
+        merged = {}
+        for (a, b), x in w.items():
+            key = tuple(sorted((order[home[a]], order[home[b]])))
+            merged[key] = merged.get(key, 0.0) + x
+        w = merged
+    order = {c: i for i, c in enumerate(dict.fromkeys(member))}
+    return [order[m] for m in member]
+
+
+def test_louvain_against_dictionaries():
+    draw = random.Random(3)
+    for n in (5, 30, 80):
+        edges = [(draw.randrange(n), draw.randrange(n), float(draw.choice([0, 1, 1, 2, 3]))) for _ in range(3 * n)]
+        assert communities.louvain(n, edges) == _moves(n, edges)
+
+
+def test_communities_of_components(spark):
+    """Each component by itself moves as it does in the whole graph; large ones come apart."""
+    draw = random.Random(4)
+    rows = [(f"{g}{draw.randrange(25):02}", f"{g}{draw.randrange(25):02}", float(draw.randrange(1, 4))) for g in "abc" for _ in range(60)] + [("x", "y", 0.0)]
+    pairs = spark.createDataFrame(rows, "a string, b string, weight double").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
+    held = [r for r in pairs.collect() if r.weight > 0]
+    names = sorted({x for r in held for x in (r.a, r.b)})
+    at = {x: i for i, x in enumerate(names)}
+    want = communities.louvain(len(names), [(at[r.a], at[r.b], r.weight) for r in held])
+    first = {}
+    for name, c in zip(names, want):
+        first.setdefault(c, name)
+    assert {r.path: r.community for r in communities.communities(pairs).collect()} == {x: first[c] for x, c in zip(names, want)}
+    ring = [(i, (i + 1) % 90, 1.0) for i in range(90)]
+    parts = communities.refined(90, ring, 4, 90.0)
+    for c, size in Counter(parts).items():
+        inside = [i for i, p in enumerate(parts) if p == c]
+        rest = [(inside.index(a), inside.index(b), w) for a, b, w in ring if a in inside and b in inside]
+        assert size <= 4 or set(communities.louvain(size, rest)) == {0}
+    assert len(set(parts)) > len(set(communities.louvain(90, ring)))
+
+
 def test_louvain():
     two = [(a, b, 1.0) for g in (range(4), range(4, 8)) for a in g for b in g if a < b] + [(3, 4, 0.5)]
     assert communities.louvain(8, two) == [0] * 4 + [1] * 4

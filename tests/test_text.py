@@ -138,7 +138,7 @@ def test_headings_and_requirements_of_all_documents(spark, tmp_path):
 
 def test_slugs_of_whole_documents(spark, tmp_path):
     spark.createDataFrame([(1, "-- A title " + "x" * 40 + " and THE end! "), (2, "é"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.slug for r in catalogue.queries()["whole_slugs"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.slug for r in catalogue.queries()["slugs"](spark, str(tmp_path)).collect()}
     assert got == {1: "a-title-" + "x" * 40 + "-and-the-end", 2: "", 3: None}
 
 
@@ -160,6 +160,87 @@ def test_search_tiers_and_boosts(spark):
     assert ranked == [("order", 100), ("b", 80), ("c", 80), ("t", 65), ("d", 60)]
 
 
+def test_schema_parsers(spark):
+    ddl = "create table if not exists a.B (id int, `n` varchar(10) default 'x,y', d decimal(3, 1),\n unique (id, n), key k (n)); CREATE TABLE c(x int"
+    rows = P.table_columns(spark.createDataFrame([(1, ddl), (2, None), (3, "")], "k int, t string"), "k", "t").collect()
+    assert sorted((r.table, r.position, r.name, r.definition) for r in rows) == [("a.B", 1, "id", "int"), ("a.B", 2, "n", "varchar(10) default 'x,y'"), ("a.B", 3, "d", "decimal(3, 1)")]
+    xml = '<mapper namespace="n.M"><sql id="b">from t1</sql><sql id="a"><include refid="b"/> join t2</sql><select id="s">select 1 <include refid="a" /></select><delete id="d">delete from t3 where x = $x</delete><selectKey id="no">x</selectKey></mapper>'
+    got = {(r.id, r.verb, r.sql) for r in P.mapper_statements(spark.createDataFrame([(1, xml), (2, "<select id='q'>x</select>")], "k int, x string"), "k", "x").collect()}
+    assert got == {("s", "select", "select 1 from t1 join t2"), ("d", "delete", "delete from t3 where x = $x")}
+    for line, want in (("await dio.get<T>('/a/$id/b?x=1')", ("GET", "/a/:param/b")), ("cache.get('key')", None), ('http.post("/x#y", 1)', ("POST", "/x"))):
+        r = one(spark, line, P.consumed_route)
+        assert (tuple(r) if r else None) == want
+    text = "version: 1\nrequirements:\n  REQ-1:\n    docs: [a.md, 'b.md']\n    implementation:\n      - x.py#f\n\n    # no\n    tests:\n      - t\n  REQ-2:\n    tests: []\nother:\n  REQ-9:\n    docs: [z]\n"
+    got = {(r.requirement, r.relation, r.target) for r in P.links_manifest(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").collect()}
+    assert got == {("REQ-1", "documents", "a.md"), ("REQ-1", "documents", "b.md"), ("REQ-1", "declares_implementation", "x.py#f"), ("REQ-1", "declares_verification", "t")}
+    assert {tuple(r) for r in P.port_map(spark.createDataFrame([("# c\na: b\n 'x y' : \"z\"\n\nbad",)], "t string"), "t").collect()} == {("a", "b"), ("x y", "z")}
+    assert [tuple(r) for r in one(spark, "a['k'] + d.get(\"m\", 1) + d.get('n')", P.json_reads)] == [("k", None), ("m", "1"), ("n", None)]
+
+
+def test_spans(spark):
+    rows = [(["a", "// one", "# two", "def f", "x"], 4, 5), (["#include <x>", "def f"], 2, 9), (["# n"] * 60 + ["f"], 61, 61), (["é" * 9000], 1, 1), (["a"], 5, 9), (["# c", "a"], 0, 1)]
+    got = [r.s for r in spark.createDataFrame(rows, "l array<string>, a int, b int").select(P.span(F.col("l"), F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got[0] == "// one\n# two\ndef f\nx" and got[1] == "def f" and got[2].count("# n") == 40 and got[3] == "é" * 4000 and got[4] == "" and got[5] == "# c"
+    assert [r.s for r in spark.createDataFrame(rows[:1], "l array<string>, a int, b int").select(P.span(F.col("l"), F.col("a"), F.col("b"), comments=False).alias("s")).collect()] == ["def f\nx"]
+
+
+def test_checks_and_levels(spark):
+    from latticework.operators import checks
+
+    assert [checks.severity(x) for x in ("error", " WARN", "info", "off", "None", "ignore", "loud")] == ["error", "warning", "info", None, None, None, "warning"]
+    n = spark.createDataFrame([("r1", "requirement"), ("r2", "requirement"), ("r3", "requirement"), ("f", "python_function"), ("t", "test_case")], "id string, kind string")
+    e = spark.createDataFrame([("1", "f", "r1", "declares_implementation"), ("2", "f", "r2", "declares_implementation"), ("3", "t", "r2", "declares_verification"), ("4", "f", "gone", "documents"), ("5", "f", "gone", "calls")], "id string, from_id string, to_id string, kind string")
+    levels = {"broken_link": "error", "orphan_requirement": "info"}
+    assert {tuple(r) for r in checks.consistency(n, e, levels).collect()} == {("broken_link", "error", "f", 1), ("missing_linked_test", "warning", "r1", 1), ("orphan_requirement", "info", "r3", 1)}
+    assert {r.code for r in checks.consistency(n, e, {"broken_link": "off"}).collect()} == {"missing_linked_test", "orphan_requirement"}
+
+
+def test_ignore_patterns(spark):
+    from latticework.functions import exprs
+
+    paths = ["a/b.log", "keep.log", "build/x", "src/build/y", "docs/a/b.md", "top.txt", "src/top.txt", "x/node_modules/y"]
+    match = exprs.ignored(F.col("p"), ["# c", "", "*.log", "!keep.log", "build/", "docs/**/b.md", "/top.txt", "node_modules"])
+    got = {r.p for r in spark.createDataFrame([(p,) for p in paths], "p string").filter(match).collect()}
+    assert got == {"a/b.log", "build/x", "src/build/y", "docs/a/b.md", "top.txt", "x/node_modules/y"}
+
+
+def test_similarity_clusters_against_pairs(spark):
+    from latticework.operators import similar
+
+    rows = [(1, 10, 0b0), (2, 14, 0b111), (3, 12, 0b111), (4, 9, 0xFFFF << 40), (5, 8, (0xFFFF << 40) | 1), (6, 30, -1)]
+    marks = spark.createDataFrame(rows, "id long, tokens int, simhash long")
+    clusters = similar.near_clusters(marks, 3)
+    got = {r.cluster: (r.members, r.tokens, r.similarity) for r in similar.cluster_stats(marks, clusters).collect()}
+    assert got == {1: (3, 12, 1 - 3 / 64), 4: (2, 9, 1 - 1 / 64)}
+
+
+def test_commit_is_all_or_none(spark, tmp_path):
+    from latticework.operators import ledger, store
+
+    folder = f"file://{tmp_path}/store"
+    assert store.current(spark, folder) is None
+    a = spark.createDataFrame([(1,)], "x int")
+    first = store.commit({"n": a, "e": a}, folder)
+    assert store.current(spark, folder) == first
+    with pytest.raises(Exception):
+        store.commit({"n": a, "e": a.select(F.raise_error(F.lit("stop")).alias("x"))}, folder)
+    assert store.current(spark, folder) == first
+    second = store.commit({"n": a.union(a), "e": a}, folder)
+    assert store.current(spark, folder) == second and spark.read.parquet(f"{second}/n").count() == 2
+    one_row = spark.createDataFrame([("a", 1, 2, True, {"n": 1})], ledger.SCHEMA)
+    ledger.append(one_row, f"{folder}/ledger")
+    ledger.append(one_row, f"{folder}/ledger")
+    assert ledger.read_ledger(spark, f"{folder}/ledger").count() == 2
+
+
+def test_code_tokens_and_candidates(spark):
+    from latticework.functions import text
+
+    assert one(spark, "foo.barBaz('Say it') # lib/a_b.py", text.tokenise_code) == ["say", "it", "foo", "barbaz", "bar", "baz", "lib", "a_b", "py", "a_b.py"]
+    c = spark.createDataFrame([("one", "syncJob", "does sync and job"), ("two", None, None)], "id string, name string, description string")
+    assert {tuple(r) for r in S.score_candidates(c, ["sync", "does", "and", "on"]).collect()} == {("one", 50 + 40 + 10)}
+
+
 def test_ledger_batch_and_stream(spark, tmp_path):
     (tmp_path / "l").mkdir()
     lines = ['{"command":"a","ts_unix_ms":1000,"duration_ms":10,"ok":true,"metrics":{"n":2}}', "broken", '{"command":"a","ts_unix_ms":61000,"duration_ms":30,"ok":false,"metrics":{"n":3}}', '{"command":"b","ts_unix_ms":2000,"duration_ms":5,"ok":true,"metrics":null}']
