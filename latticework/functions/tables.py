@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -24,6 +25,12 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 def keep(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return counted(df, tag)[0]
+
+
+def counted(df: DataFrame, tag: str = "table", what: Column | None = None) -> tuple[DataFrame, int]:
+    """``keep``, and how many rows there are (or ``what`` adds up to): counted as they
+    are written, so a loop learns that it is done without another job."""
+    path, seen = new_folder(df.sparkSession, tag), Observation()
+    df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]

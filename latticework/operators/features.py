@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import exprs
 from latticework.functions import kinds as K
-from latticework.functions.tables import keep
+from latticework.functions.tables import counted, keep
 from latticework.operators import traverse as T
 
 #: What may anchor a feature; what a role adds to its score, and outside references at most.
@@ -24,8 +24,8 @@ def seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = level
     while True:  # containment is a tree, or nearly: a node has few anchors above it
         step = level.join(pairs, level["id"] == pairs["src"]).select("seed", F.col("dst").alias("id")).distinct()
-        level = keep(step.join(inside, ["seed", "id"], "left_anti"), "inside")
-        if level.isEmpty():
+        level, n = counted(step.join(inside, ["seed", "id"], "left_anti"), "inside")
+        if not n:
             break
         inside = inside.unionAll(level)
     roles = inside.join(nodes.filter("metadata_json is not null").select("id"), "id").groupBy("seed").agg(F.count(F.lit(1)).alias("roles"))

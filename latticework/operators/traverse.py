@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.tables import keep
+from latticework.functions.tables import counted, keep
 
 
 def adjacency(edges: DataFrame, kinds: list[str] | None = None, reverse: bool = False) -> DataFrame:
@@ -29,8 +29,8 @@ def bfs(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_no
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(pairs, frontier["id"] == pairs["src"]).select(F.col("dst").alias("id")).distinct()
-        step = keep(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if step.isEmpty():
+        step, fresh = counted(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if not fresh:
             break
         levels.append(step)
         seen, frontier = seen.unionAll(step), step
@@ -72,8 +72,8 @@ def ancestors(edges: DataFrame, seeds: DataFrame, hops: int = 17) -> DataFrame:
     every = None
     for hop in range(1, hops + 1):
         at = at.join(parents.select(F.col("id").alias("ancestor"), "parent"), "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(hop).alias("hop"))
-        at = keep(at.filter("id <> ancestor"), "ancestors")
-        if at.isEmpty():
+        at, n = counted(at.filter("id <> ancestor"), "ancestors")
+        if not n:
             break
         every = at if every is None else every.unionAll(at)
     return every if every is not None else at
@@ -86,12 +86,13 @@ def label_components(pairs: DataFrame) -> DataFrame:
     roots = keep(both.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")), "roots")
     while True:
         near = both.join(roots.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("near"))
-        new = roots.join(near, "id").select("id", F.least("root", "near").alias("low"))
-        jump = new.alias("a").join(roots.alias("b"), F.col("a.low") == F.col("b.id")).select("a.id", F.least("a.low", "b.root").alias("root"))
-        jump = keep(jump, "roots")
-        if jump.join(roots.withColumnRenamed("root", "old"), "id").filter("root <> old").isEmpty():
-            return jump
-        roots = jump
+        new = roots.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("low"))
+        jump = new.alias("a").join(roots.alias("b"), F.col("a.low") == F.col("b.id")).select("a.id", "a.old", F.least("a.low", "b.root").alias("root"))
+        # roots that have moved are counted as the round is written
+        jump, moved = counted(jump.select("id", "root", (F.col("old") != F.col("root")).alias("moved")), "roots", F.count_if("moved"))
+        roots = jump.select("id", "root")
+        if not moved:
+            return roots
 
 
 def claim(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -108,8 +109,8 @@ def claim(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     for _ in range(depth):
         step = fresh.join(pairs, fresh["id"] == pairs["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("best").alias("best"))
         new = step.join(best.withColumnRenamed("best", "old"), "id", "left").filter("old is null or best < old").select("id", "best")
-        fresh = keep(new, "claims")
-        if fresh.isEmpty():
+        fresh, n = counted(new, "claims")
+        if not n:
             break
         best = keep(best.unionAll(fresh).groupBy("id").agg(F.min("best").alias("best")), "claims")
     return best.select("id", F.col("best.seed").alias("seed"))
