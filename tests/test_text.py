@@ -27,7 +27,7 @@ def test_split_identifier(spark, ident, parts):
 
 
 def test_tokenisers_disagree_by_design(spark):
-    assert one(spark, "错位竞争 byte_x é caféX a byte_x", text.tokenise_keywords) == ["错位", "位竞", "竞争", "byte_x", "é", "caf", "é"][:6] or True
+    assert one(spark, "错位竞争 byte_x é caféX a byte_x", text.tokenise_keywords) == ["错位", "位竞", "竞争", "byte_x", "é", "caf"]
     assert one(spark, "错位竞争 byteX 界", text.fts_tokens) == ["错位", "位竞", "竞争", "byte", "界"]
     assert one(spark, "cafés bar", text.fts_tokens) == ["caf", "bar"]
     assert one(spark, "a bb a bb", text.tokenise_keywords) == ["bb"]
@@ -275,3 +275,19 @@ def test_framework_roles(spark, decorator, role):
     from latticework.operators.facts import framework_role
 
     assert one(spark, decorator, framework_role) == role
+
+
+def test_watched_files(spark, tmp_path):
+    from latticework.streaming import watch
+
+    folder = tmp_path / "seen"
+    folder.mkdir()
+    step = lambda n, rows: (folder / f"{n}.json").write_text("".join('{"path":"%s","hash":%s,"at":"2024-01-01T00:00:%02dZ"}\n' % (p, f'"{h}"' if h else "null", t) for p, h, t in rows))
+    stream = spark.readStream.schema("path string, hash string, at timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
+    q = watch.file_changes(stream).writeStream.outputMode("append").format("memory").queryName("watch_test").option("checkpointLocation", f"file://{tmp_path}/state").start()
+    for n, rows in enumerate([[("a", "1", 1), ("b", "1", 1)], [("a", "1", 2), ("b", "2", 3), ("b", None, 4)], [("b", "3", 5), ("c", None, 5)]]):
+        step(n, rows)
+        q.processAllAvailable()
+    q.stop()
+    got = sorted((r.path, r.change, r.at.second) for r in spark.sql("select * from watch_test").collect())
+    assert got == [("a", "added", 1), ("b", "added", 1), ("b", "added", 5), ("b", "deleted", 4), ("b", "modified", 3)]
