@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from latticework.functions import exprs
 from latticework.functions import kinds as K
 from latticework.functions.tables import keep
-from latticework.operators.traverse import bfs
+from latticework.operators.traverse import adjacency, bfs, closure
 
 # Names that frameworks and runtimes call.
 LIFECYCLE = ["build", "initState", "dispose", "didChangeDependencies", "didUpdateWidget", "didChangeAppLifecycleState", "createState", "createElement", "main", "noSuchMethod", "toString", "hashCode", "==", "didChangeMetrics", "didChangePlatformBrightness", "didChangeLocales", "didHaveMemoryPressure"]
@@ -34,6 +34,15 @@ def implicit_entry() -> Column:
     return F.coalesce(auxiliary | kind.isin("route", "dart_provider", "test_case", "test_group") | by_name, F.lit(False))
 
 
+def framework_types(nodes: DataFrame, edges: DataFrame, roots: list[str]) -> DataFrame:
+    """(id) of Swift types that inherit, by name and through others, from what a framework
+    instantiates (``inherits`` in their metadata), and of all that these types contain."""
+    types = nodes.filter(F.startswith("kind", F.lit("swift_")) & F.col("name").isNotNull()).select("id", "name", F.explode(F.from_json(F.get_json_object("metadata_json", "$.inherits"), "array<string>")).alias("base"))
+    found = bfs(types.select(F.col("base").alias("src"), F.col("name").alias("dst")).filter("src <> dst").distinct(), types.filter(F.col("base").isin(roots)).select(F.col("name").alias("id")))
+    own = types.join(found.select(F.col("id").alias("name")), "name", "left_semi").select("id").distinct()
+    return closure(adjacency(edges, ["contains"]), own)
+
+
 def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(id) reached from the entries: along usage and containment, up to module
     and file parents, from a constructor to its class; then up to the types and
@@ -49,15 +58,19 @@ def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFra
     return bfs(containers.filter("src <> dst").distinct(), first).select("id")
 
 
-def dead_code(nodes: DataFrame, edges: DataFrame, public_globs: tuple[str, ...] = ()) -> DataFrame:
+def dead_code(nodes: DataFrame, edges: DataFrame, public_globs: tuple[str, ...] = (), entry_paths: tuple[str, ...] = (), framework_roots: tuple[str, ...] = (), least: str = "low") -> DataFrame:
     """(id, path, confidence, inbound, live_inbound) of code that no entry reaches.
 
     high: nothing uses it and nothing speaks for it (a name without leading
     underscore does, in every language, and so do public paths, lifecycle
     names and constructors); medium: nothing uses it; low: only unreached code
-    does, or it is used but not reached.
+    does, or it is used but not reached. ``entry_paths``: files whose symbols are
+    entries; ``framework_roots``: bases of Swift types that are; ``least``: the
+    confidence from which code is told.
     """
-    entries = nodes.filter(implicit_entry()).select("id")
+    entries = nodes.filter(implicit_entry() | F.coalesce(F.col("path").isin(list(entry_paths)), F.lit(False))).select("id")
+    if framework_roots:
+        entries = entries.unionAll(framework_types(nodes, edges, list(framework_roots)))
     alive = keep(reachable(nodes, edges, entries), "reachable")
     code = nodes.filter(F.col("kind").isin(K.CODE) & ~F.coalesce(exprs.is_test_path(F.col("path")), F.lit(False)))
     unreached = code.join(alive, "id", "left_anti")
@@ -68,7 +81,9 @@ def dead_code(nodes: DataFrame, edges: DataFrame, public_globs: tuple[str, ...]
     leaf = F.substring_index(F.substring_index("name", "#", -1), ".", -1)
     spoken_for = ~F.startswith(F.coalesce(leaf, F.lit("")), F.lit("_")) | leaf.isin(LIFECYCLE) | (F.col("kind") == "dart_constructor") | exprs.glob_match(F.coalesce("path", F.lit("")), list(public_globs))
     grade = F.when(F.col("inbound") > 0, "low").when(spoken_for, "medium").otherwise("high")
-    return out.select("id", "path", grade.alias("confidence"), "inbound", "live_inbound")
+    out = out.select("id", "path", grade.alias("confidence"), "inbound", "live_inbound")
+    levels = ["low", "medium", "high"]
+    return out.filter(F.col("confidence").isin(levels[levels.index(least) :]))
 
 
 def impure(calls: DataFrame, facts: DataFrame) -> DataFrame:

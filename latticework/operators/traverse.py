@@ -19,20 +19,20 @@ def bfs(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_no
     """(id, depth) of all nodes within ``max_depth`` hops of the seeds (column
     ``id``), with their least depth.
 
-    ``max_nodes`` keeps the first ones by depth and id. Each hop joins the
-    frontier with the adjacency and drops what has been seen; the driver only
-    learns whether a frontier is empty.
+    ``max_nodes`` keeps the first ones by depth and id: no hop is made once there
+    are as many. Each hop joins the frontier with the adjacency and drops what has
+    been seen; the driver only learns how many nodes are new.
     """
     pairs = keep(pairs, "adjacency")
-    seen = keep(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    frontier, levels, depth = seen, [seen], 0
-    while max_depth is None or depth < max_depth:
+    seen, total = counted(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
+    frontier, depth = seen, 0
+    while (max_depth is None or depth < max_depth) and (max_nodes is None or total < max_nodes):
         depth += 1
         step = frontier.join(pairs, frontier["id"] == pairs["src"]).select(F.col("dst").alias("id")).distinct()
         step, fresh = counted(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if not fresh:
             break
-        levels.append(step)
+        total += fresh
         seen, frontier = seen.unionAll(step), step
     if max_nodes is None:
         return seen

@@ -294,6 +294,26 @@ def test_communities_of_components(spark):
     assert len(set(parts)) > len(set(communities.louvain(90, ring)))
 
 
+def test_entries_by_path_and_by_base(spark):
+    n = spark.createDataFrame(
+        [("v", "swift_class", "a.swift", "MyView", '{"inherits":["BaseView"]}'), ("b", "swift_class", "a.swift", "BaseView", '{"inherits":["UIView"]}'), ("m", "swift_method", "a.swift", "draw", None), ("o", "swift_class", "b.swift", "Other", '{"inherits":["Codable"]}'), ("p", "python_function", "run.py", "_go", None), ("q", "python_function", "x.py", "_idle", None), ("r", "python_function", "x.py", "shown", None)],
+        "id string, kind string, path string, name string, metadata_json string",
+    )
+    e = edges(spark, [("v", "m", "contains"), ("q", "r", "contains")])
+    assert {r.id for r in reach.framework_types(n, e, ["UIView"]).collect()} == {"v", "b", "m"}
+    dead = lambda **k: {(r.id, r.confidence) for r in reach.dead_code(n, e, **k).collect()}
+    every = {("v", "medium"), ("b", "medium"), ("m", "medium"), ("o", "medium"), ("p", "high"), ("q", "high"), ("r", "medium")}
+    assert dead() == every
+    assert dead(entry_paths=("run.py",), framework_roots=("UIView",)) == {("o", "medium"), ("q", "high"), ("r", "medium")}
+    assert dead(least="high") == {("p", "high"), ("q", "high")}
+
+
+def test_budget_stops_the_walk(spark):
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)], "src string, dst string")
+    got = T.bfs(chain, spark.createDataFrame([("n00",)], "id string"), max_nodes=4).collect()
+    assert sorted((r.id, r.depth) for r in got) == [("n00", 0), ("n01", 1), ("n02", 2), ("n03", 3)]
+
+
 def test_louvain():
     two = [(a, b, 1.0) for g in (range(4), range(4, 8)) for a in g for b in g if a < b] + [(3, 4, 0.5)]
     assert communities.louvain(8, two) == [0] * 4 + [1] * 4
