@@ -98,10 +98,9 @@ def _deal(k: int, buckets: int, folder: str):
             put_at(f"{folder}/{chunk}", data)
             token, count = np.unique(_unpack(data)[4], return_counts=True)
             bucket, slot = _slots(token, buckets)
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edge))
-            full = full if len(full) else np.zeros(1, np.int64)  # a chunk without shingles is heard of too
-            cuts = [(edge[b], edge[b + 1]) for b in full.tolist()]
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+            cuts = list(zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)])) or [(0, 0)]  # a chunk without shingles is heard of too
+            full = bucket[edge] if len(edge) else np.zeros(1, np.int64)
             return pa.RecordBatch.from_arrays([pa.array([chunk] * len(cuts)), pa.array(full), pa.array([words.planes(np.diff(slot[a:b], prepend=np.uint32(0))) for a, b in cuts], pa.binary()), pa.array([words.planes(count[a:b]) for a, b in cuts], pa.binary())], names)
 
         for batch in batches:

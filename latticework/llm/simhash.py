@@ -139,7 +139,9 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
     width = shuffle_width(docs.sparkSession)
-    ordered = rows.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")), F.length("text"))
+    # by digest too: rows that repeat one id may span tasks
+    rows = rows.withColumn("digest", F.crc32(F.col("text").cast("binary")))
+    ordered = rows.repartitionByRange(width, "doc_id", "digest").sortWithinPartitions("doc_id", "digest", F.length("text")).select("doc_id", "text")
     kept = materialize(ordered.mapInArrow(_walk, _SCHEMA), "fingerprints")
     # one row for each partition: which partition with rows comes next
     parts = kept.filter("edge = 'first'").select("part")
