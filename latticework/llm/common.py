@@ -3,10 +3,13 @@ folder, and global positions without a single-task sort."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,16 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what ended jobs hold: shuffle files and broadcasts stay until the
+    driver's JVM collects its garbage, and Python keeps freed memory for itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of an Arrow batch that carries whole texts, at most.
 BATCH_ROWS = 1000
 

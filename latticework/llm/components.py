@@ -1,5 +1,5 @@
 """Connected components of an edge table by alternating stars, in rounds of
-joins and minima; no task or driver ever holds a whole component."""
+joins and minima until a task can hold what is left (``CHUNK`` edges at most)."""
 
 from __future__ import annotations
 
@@ -57,15 +57,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of ``edges`` (two long columns, no nulls) that is
     not itself the smallest of its component; root is that smallest node.
 
-    Large-star and small-star rounds (each node's larger, then smaller
-    neighbours join the smallest one) until every node has one edge, to a node
-    that has none. Minima are taken by partial aggregation and joined back, so
+    Fewer than ``CHUNK`` edges are contracted by one task. More take large-star and
+    small-star rounds (each node's larger, then smaller neighbours join the smallest
+    one) until so few are left or every node has one edge, to a node that has none. Minima are taken by partial aggregation and joined back, so
     a hub's edges may be split over tasks. Self loops count as no edge.
     """
     a, b = (F.col(f"`{c}`").cast("long") for c in edges.columns[:2])
     edges = edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = materialize(edges.mapInArrow(_contract, "u long, v long").distinct(), "stars")
     while True:
+        if edges.count() < CHUNK:
+            edges = materialize(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), "roots")
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         busy = edges.groupBy("u").count().filter("count > 1").select("u").limit(1).unionAll(edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1))
         if busy.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,16 +1,23 @@
 """Near-duplicate operators against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm.components import components
+from latticework.llm.common import shared_dir
+from latticework.llm.components import components, local_roots
 from latticework.llm.embedding_dedup import near_duplicates
 from latticework.llm.ngram_join import jaccard_components
 from latticework.llm.simhash import BITS, compare_edited, edited, fingerprints, near_fingerprints, op2_simhash, probed_fingerprints
 from tests.llm.helpers import SCHEMA, documents, fuller
 
 
+def left_in_shared(spark):
+    return set(os.listdir(shared_dir(spark).removeprefix("file://")))
+
+
 def roots(nodes, links):
     up = {n: n for n in nodes}
 
@@ -155,6 +162,19 @@ def test_empty_and_clashing(spark):
     assert jaccard_components(odd).count() == compare_edited(odd).count() == odd.count()
 
 
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    links = [(i, i + 1) for i in range(400)] + [(int(x), 10_000 + int(y)) for x, y in zip(draw.integers(500, 900, 300), draw.integers(0, 300, 300))]
+    table = spark.createDataFrame([links[i] for i in draw.permutation(len(links))], "a long, b long").repartition(4).localCheckpoint()
+    before = left_in_shared(spark)
+    got = {r.node: r.root for r in components(table).collect()}
+    assert len([x for x in left_in_shared(spark) - before if x.startswith("latticework-stars-")]) == 1
+    monkeypatch.setattr("latticework.llm.components.CHUNK", 0)  # of the driver alone: rounds to the end
+    rounds = {r.node: r.root for r in components(table).collect()}
+    nodes, roots = local_roots(*np.array(links).T)
+    assert got == rounds == {int(n): int(r) for n, r in zip(nodes, roots) if n != r}
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
     want = roots({n for e in links for n in e}, links)
