@@ -39,6 +39,13 @@ def put_at(address: str, data: bytes) -> None:
     files.move(part, path)
 
 
+def remove(folder: str) -> None:
+    """Delete a folder that no later job reads."""
+    files, path = _fs(folder)
+    if files.get_file_info(path).type.name == "Directory":
+        files.delete_dir(path)
+
+
 def get(address: str) -> bytes:
     files, path = _fs(address)
     with files.open_input_stream(path, compression=None) as f:

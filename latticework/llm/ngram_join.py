@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import words
-from latticework.llm.common import bound_batches, join_keyed, materialize, new_folder, shuffle_width
+from latticework.llm.common import bound_batches, join_keyed, materialize, new_folder, release, shuffle_width
 from latticework.llm.components import components
-from latticework.llm.files import get, put_at
+from latticework.llm.files import get, put_at, remove
 
 #: Shingles whose sets one file holds, and that one bucket of counts holds, about.
 CHUNK, BUCKET = 1 << 21, 1 << 20
@@ -353,11 +353,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     dealt = rows.mapInArrow(_deal(k, buckets, folder), "chunk string, bucket long, slots binary, counts binary")
     levels = dealt.groupBy("bucket").applyInArrow(_count, "chunk string, bucket long, levels binary")
     found = materialize(levels.groupBy("chunk").applyInArrow(_prefixes(folder, percent / 100), _FOUND_SQL), "prefixes")
+    # the table is written and holds the sets that go on
+    remove(folder)
+    release(spark)
     members = found.filter("many is null").select("doc_id", "n", "key")
     firsts = members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
     classes = found.filter("many is not null").drop("doc_id").dropDuplicates(["key"]).join(firsts.drop("copies"), "key")
     # the table is written once, so these numbers hold
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).drop("key"), "classes")
+    release(spark)
 
     entries = classes.select("cid", "n", "many", F.explode(F.arrays_zip("tokens", "places")).alias("e"))
     entries = entries.select(F.col("e.tokens").alias("token"), "cid", F.struct("cid", "n", F.col("e.places").alias("place")).alias("at"))
@@ -371,6 +375,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, id_col: s
     side = lambda s, d: classes.select(F.col("cid").alias(s), F.col("doc").alias(d), *[F.col(c).alias(f"{s}_{c}") for c in ("many", "tokens", "shingles")])
     both = stars.join(side("x", "a"), "x").join(side("y", "b"), "y")
     stars = materialize(both.drop("x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    release(spark)
     roots = components(stars)
 
     part = classes.select("cid", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("cid", F.coalesce("root", "doc").alias("part"))

@@ -162,6 +162,15 @@ def test_empty_and_clashing(spark):
     assert jaccard_components(odd).count() == compare_edited(odd).count() == odd.count()
 
 
+def test_jaccard_leaves_no_sets_behind(spark):
+    before = left_in_shared(spark)
+    rows = [(i, " ".join(f"w{i % 7}x{j}" for j in range(30))) for i in range(40)]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = left_in_shared(spark) - before
+    assert not [x for x in kept if x.startswith("latticework-sets-")] and [x for x in kept if x.startswith("latticework-prefixes-")]
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 7 for i in range(40)}
+
+
 def test_few_links_take_no_rounds(spark, monkeypatch):
     draw = np.random.default_rng(4)
     links = [(i, i + 1) for i in range(400)] + [(int(x), 10_000 + int(y)) for x, y in zip(draw.integers(500, 900, 300), draw.integers(0, 300, 300))]
