@@ -97,7 +97,7 @@ _HITS = "hits AS (SELECT r.file_path, symbol_id, start_line, end_line, hunk FROM
 
 @query("innermost_range", f"WITH {_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_path, hunk ORDER BY end_line - start_line, start_line DESC, symbol_id) AS n FROM hits WHERE start_line > 0) SELECT file_path, hunk, symbol_id FROM n WHERE n = 1")
 def innermost_range(g: Graph) -> DataFrame:
-    return joins.innermost(joins.interval_join(g.ranges, g.hunks)).select("file_path", "hunk", "symbol_id")
+    return joins.innermost_join(g.ranges, g.hunks).select("file_path", "hunk", "symbol_id")
 
 
 @query("most_specific_ranges", f"WITH {_HITS} SELECT file_path, hunk, symbol_id FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE a.file_path = b.file_path AND a.hunk = b.hunk AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND a.end_line - a.start_line > b.end_line - b.start_line)")

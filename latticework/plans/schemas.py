@@ -58,7 +58,7 @@ def consumed_routes(g: Graph) -> DataFrame:
     rows = g.table("orders").select(_text("app/o", F.col("o_orderkey") % 100, ".py").alias("file_path"), _text("c", "$o_orderkey").alias("hunk"), (F.col("o_orderkey") % 1000 + 3).alias("new_start"), parsers.consumed_route(line).alias("r")).filter("r is not null")
     calls = rows.withColumn("new_end", F.col("new_start"))
     ranges = g.nodes.filter(F.col("kind").isin(K.of_family("callable")) & F.col("start_line").isNotNull()).select(F.col("path").alias("file_path"), F.col("id").alias("symbol_id"), "start_line", "end_line")
-    at = joins.innermost(joins.interval_join(ranges, calls.drop("r"))).select("file_path", "hunk", F.col("symbol_id").alias("caller"))
+    at = joins.innermost_join(ranges, calls).select("file_path", "hunk", F.col("symbol_id").alias("caller"))
     return calls.join(at, ["file_path", "hunk"]).select(F.col("hunk").alias("call"), "r.verb", F.col("r.path").alias("route"), "caller")
 
 

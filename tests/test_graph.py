@@ -174,6 +174,42 @@ def test_interval_joins(spark):
     assert {x.symbol_id for x in joins.most_specific(nested).collect()} == {"mid", "same", "zero"}
 
 
+def test_innermost_without_pairs(spark):
+    draw = random.Random(4)
+    ranges = [(f"f{draw.randrange(3)}", f"s{i:03d}", a := draw.choice([0, None, *range(1, 60)]), draw.choice([None, -1, *[(a or 0) + draw.randrange(0, 50)] * 6])) for i in range(160)]
+    hunks = [(f"f{draw.randrange(4)}", f"h{i}", a := draw.randrange(0, 120), a + draw.choice([0, 0, 3, 40])) for i in range(80)]
+    r = spark.createDataFrame(ranges, "file_path string, symbol_id string, start_line bigint, end_line bigint")
+    h = spark.createDataFrame(hunks, "file_path string, hunk string, new_start bigint, new_end bigint")
+    want = set()
+    for g, k, x, y in hunks:
+        met = [((b - a if b is not None else 1 << 40), -a, s) for f, s, a, b in ranges if f == g and a and (b is None or b >= a) and a <= y and (b is None or b >= x)]
+        want |= {(g, k, min(met)[2])} if met else set()
+    assert {tuple(x) for x in joins.innermost_join(r, h, bucket=16).collect()} == want
+
+
+def test_equal_ranges_and_points_make_no_pairs(spark):
+    r = spark.range(3000).selectExpr("'f' as file_path", "cast(id as string) as symbol_id", "7L as start_line", "20L as end_line")
+    h = spark.range(3000).selectExpr("'f' as file_path", "cast(id as string) as hunk", "9L as new_start", "9L as new_end")
+    out = joins.innermost_join(r, h)
+    assert {x.symbol_id for x in out.collect()} == {"0"}
+    assert most_rows(out) <= 6000  # 9,000,000 pairs before
+
+
+def most_rows(frame) -> int:
+    """The most rows that a step of the frame's plan puts out."""
+    frame.collect()
+    steps, most = [frame._jdf.queryExecution().executedPlan()], 0
+    while steps:
+        step = steps.pop()
+        found = step.metrics().get("numOutputRows")
+        most = max(most, found.get().value() if found.isDefined() else 0)
+        inner = step.children().toList()
+        name = step.getClass().getSimpleName()
+        steps += [inner.apply(i) for i in range(inner.size())]
+        steps += [step.executedPlan()] if name == "AdaptiveSparkPlanExec" else [step.plan()] if name.endswith("QueryStageExec") else []
+    return most
+
+
 def test_most_specific_against_pairs(spark):
     draw = random.Random(8)
     rows = [(f"f{draw.randrange(2)}", f"s{i}", a := draw.randrange(0, 12), draw.choice([None, *range(a, a + 9)]), f"h{draw.randrange(3)}") for i in range(120)]
@@ -349,6 +385,36 @@ def test_resolution_tiers_and_caps(spark):
     assert "r4" not in got and "r6" not in got and len(got["r5"]) == 16
 
 
+def test_resolution_against_pairs(spark):
+    from latticework.operators import resolve as R
+
+    draw = random.Random(6)
+    names = ["foo", "MakeIt", "AB_c", "x"]
+    defs = [(draw.randrange(90), draw.choice(names), draw.choice([None, *range(6)])) for _ in range(110)]
+    refs = [(draw.randrange(70), draw.choice([None, *names]), draw.choice([None, *range(8)])) for _ in range(90)]
+    imports = [(draw.randrange(8), draw.randrange(6)) for _ in range(9)]
+    want = set()
+    for ref in {r for r, *_ in refs}:
+        found = set()
+        for _, name, file in [x for x in refs if x[0] == ref and x[1]]:
+            named = [(i, at) for i, n, at in defs if n == name]
+            found |= {(1, i) for i, at in named if at is not None and at == file} | {(2, i) for i, at in named if (file, at) in imports}
+            found |= {(3, i) for i, _ in named if len(named) <= R.MOST_FAN_IN and name in ("MakeIt", "AB_c")}
+        best = sorted((t, i) for t, i in found if t == min(found)[0])
+        want |= {(ref, i, t) for t, i in best[: R.MOST_TARGETS]}
+    frames = [spark.createDataFrame(rows, f"{a} bigint, {b}") for rows, a, b in ((refs, "ref", "name string, file bigint"), (defs, "id", "name string, file bigint"), (imports, "file", "target bigint"))]
+    assert {tuple(r) for r in R.resolve(*frames).select("ref", "target", "tier").collect()} == want
+
+
+def test_a_name_resolves_once_for_all_its_references(spark):
+    from latticework.operators import resolve as R
+
+    refs = spark.range(2000).selectExpr("id as ref", "'foo' as name", "1 as file")
+    defs = spark.range(2000).selectExpr("id", "'foo' as name", "1 as file")
+    out = R.resolve(refs, defs, spark.createDataFrame([(1, 2)], "file int, target int"))
+    assert out.count() == 2000 * 16 and most_rows(out) <= 2000 * 16  # 4,000,000 pairs before
+
+
 def test_candidates_reviews_and_views(spark):
     from latticework.operators import resolve as R
 
