@@ -18,21 +18,39 @@ def def_use(occurrences: DataFrame) -> DataFrame:
     return both.groupBy("from_id", "to_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _first_targets(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the distinct rows (keys, target) of each key the first ``MOST_TARGETS``."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("target"))
+    return rows.select(*keys, "target").distinct().withColumn("n", nth).filter(F.col("n") <= MOST_TARGETS).drop("n")
+
+
 def resolve(refs: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
     """(ref, target, tier) of references (ref, name, file) to definitions (id,
     name, file): those of the same file (1), else of imported files (2), else
     of the whole module if the name is multi-word and defined at most
-    ``MOST_FAN_IN`` times (3); the first ``MOST_TARGETS`` by id."""
+    ``MOST_FAN_IN`` times (3); the first ``MOST_TARGETS`` by id.
+
+    A name of a file resolves once, whatever its references, and to the first targets
+    of each file: pairs of a reference and a definition never are rows.
+    """
     d = defs.select("name", F.col("id").alias("target"), F.col("file").alias("at"))
-    named = refs.join(d, "name")
-    same = named.filter("file = at").withColumn("tier", F.lit(1))
-    linked = named.join(imports.select("file", F.col("target").alias("at")).distinct(), ["file", "at"]).withColumn("tier", F.lit(2))
-    few = defs.groupBy("name").agg(F.count(F.lit(1)).alias("fan_in")).filter(F.col("fan_in") <= MOST_FAN_IN).select("name")
+    held = _first_targets(d, "name", "at")
+    asked = refs.filter("name is not null").select("name", "file").distinct()
+    same = asked.join(held.withColumnRenamed("at", "file"), ["name", "file"]).withColumn("tier", F.lit(1))
+    linked = asked.join(imports.select("file", F.col("target").alias("at")).distinct(), "file").join(held, ["name", "at"])
+    linked = _first_targets(linked, "name", "file").withColumn("tier", F.lit(2))
+    few = d.groupBy("name").agg(F.count(F.lit(1)).alias("fan_in")).filter(F.col("fan_in") <= MOST_FAN_IN).select("name")
     words = F.col("name").rlike(r"[a-z][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]|^[A-Z][a-z0-9]")
-    wide = refs.filter(words).join(few, "name", "left_semi").join(d, "name").withColumn("tier", F.lit(3))
-    every = same.select("ref", "target", "tier").unionByName(linked.select("ref", "target", "tier")).unionByName(wide.select("ref", "target", "tier"))
-    best = every.withColumn("best", F.min("tier").over(Window.partitionBy("ref"))).filter("tier = best").drop("best").distinct()
-    return best.withColumn("n", F.row_number().over(Window.partitionBy("ref").orderBy("target"))).filter(F.col("n") <= MOST_TARGETS).drop("n")
+    wide = asked.filter(words).join(_first_targets(d.join(few, "name", "left_semi"), "name"), "name").withColumn("tier", F.lit(3))
+    columns = ["name", "file", "tier", "target"]
+    every = same.select(columns).unionByName(linked.select(columns)).unionByName(wide.select(columns))
+    found = every.groupBy("name", "file", "tier").agg(F.collect_list("target").alias("targets"))
+    found = found.groupBy("name", F.col("file").alias("at")).agg(F.min_by(F.struct("tier", "targets"), "tier").alias("best"))
+    named = refs.alias("r").join(found.alias("f"), (F.col("r.name") == F.col("f.name")) & F.col("r.file").eqNullSafe(F.col("at"))).select("ref", "best")
+    # a reference that stands in several rows takes the best tier of them all
+    best = named.groupBy("ref").agg(F.min("best.tier").alias("tier"), F.collect_set("best").alias("every"))
+    targets = F.flatten(F.transform(F.filter("every", lambda x: x["tier"] == F.col("tier")), lambda x: x["targets"]))
+    return best.select("ref", F.explode(F.slice(F.array_sort(F.array_distinct(targets)), 1, MOST_TARGETS)).alias("target"), "tier")
 
 
 def resolve_specs(specs: DataFrame, nodes: DataFrame) -> DataFrame:
