@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import exprs
 from latticework.functions import kinds as K
-from latticework.functions.tables import counted, keep
+from latticework.functions.tables import counted, keep, matching
 from latticework.operators import traverse as T
 
 #: What may anchor a feature; what a role adds to its score, and outside references at most.
@@ -29,7 +29,8 @@ def seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         inside = inside.unionAll(level)
     roles = inside.join(nodes.filter("metadata_json is not null").select("id"), "id").groupBy("seed").agg(F.count(F.lit(1)).alias("roles"))
-    refs = edges.filter(F.col("kind").isin("calls", "references", "imports")).select("from_id", F.col("to_id").alias("id")).join(inside, "id")
+    ids, n = counted(inside.select("id").distinct(), "ids")
+    refs = matching(edges.filter(F.col("kind").isin("calls", "references", "imports")).select("from_id", F.col("to_id").alias("id")), "id", ids, n).join(inside, "id")
     own = inside.select("seed", F.col("id").alias("from_id"))
     refs = refs.join(own, ["seed", "from_id"], "left_anti").groupBy("seed").agg(F.count(F.lit(1)).alias("refs"))
     both = anchors.join(roles, F.col("id") == roles["seed"], "left").drop("seed").join(refs, F.col("id") == refs["seed"], "left").drop("seed")
@@ -45,7 +46,7 @@ def claims(nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     one = seeds(nodes, edges).withColumn("n", F.row_number().over(first)).filter("n = 1")
     best = one.orderBy(F.col("score").desc(), "path", "id").limit(min(max(code // 250, 20), 80))
     ranked = best.withColumn("rank", F.struct("path", "id"))
-    walk = T.adjacency(edges, ["contains", "imports", "calls", "references"]).unionAll(T.adjacency(edges, ["contains"], reverse=True)).distinct()
+    walk = T.adjacency(edges, ["contains", "imports", "calls", "references"]).unionAll(T.adjacency(edges, ["contains"], reverse=True))
     return T.claim(walk, ranked, depth).select("id", "seed")
 
 

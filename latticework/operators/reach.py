@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import exprs
 from latticework.functions import kinds as K
-from latticework.functions.tables import keep
+from latticework.functions.tables import counted, keep, matching
 from latticework.operators.traverse import adjacency, bfs, closure
 
 # Names that frameworks and runtimes call.
@@ -50,12 +50,13 @@ def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFra
     kind = nodes.select("id", "kind")
     contains = edges.filter("kind = 'contains'").select("from_id", "to_id")
     forward = edges.filter(F.col("kind").isin([*K.USAGE, "contains"])).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    parent_kind = contains.join(kind.select(F.col("id").alias("from_id"), F.col("kind").alias("parent_kind")), "from_id")
+    parents = kind.filter(F.col("kind").isin(K.of_family("module", "type"))).select(F.col("id").alias("from_id"), F.col("kind").alias("parent_kind"))
+    parent_kind = keep(contains.join(parents, "from_id"), "parents")
     up = parent_kind.filter(F.col("parent_kind").isin(K.of_family("module"))).select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
     owner = contains.join(kind.filter("kind = 'dart_constructor'").select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-    first = bfs(forward.unionAll(up).unionAll(owner).filter("src <> dst").distinct(), entries).select("id")
+    first = bfs(forward.unionAll(up).unionAll(keep(owner, "owners")).filter("src <> dst"), entries).select("id")
     containers = parent_kind.filter(F.col("parent_kind").isin(K.of_family("module", "type"))).select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-    return bfs(containers.filter("src <> dst").distinct(), first).select("id")
+    return bfs(containers.filter("src <> dst"), first).select("id")
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, public_globs: tuple[str, ...] = (), entry_paths: tuple[str, ...] = (), framework_roots: tuple[str, ...] = (), least: str = "low") -> DataFrame:
@@ -73,10 +74,10 @@ def dead_code(nodes: DataFrame, edges: DataFrame, public_globs: tuple[str, ...]
         entries = entries.unionAll(framework_types(nodes, edges, list(framework_roots)))
     alive = keep(reachable(nodes, edges, entries), "reachable")
     code = nodes.filter(F.col("kind").isin(K.CODE) & ~F.coalesce(exprs.is_test_path(F.col("path")), F.lit(False)))
-    unreached = code.join(alive, "id", "left_anti")
+    unreached, n = counted(code.select("id", "kind", "path", "name").join(alive, "id", "left_anti"), "unreached")
     usage = edges.filter(F.col("kind").isin(K.USAGE)).select("from_id", F.col("to_id").alias("id"))
     live = alive.select(F.col("id").alias("from_id")).withColumn("live", F.lit(1))
-    counts = usage.join(unreached.select("id"), "id", "left_semi").join(live, "from_id", "left").groupBy("id").agg(F.count(F.lit(1)).alias("inbound"), F.count("live").alias("live_inbound"))
+    counts = matching(usage, "id", unreached.select("id").distinct(), n).join(live, "from_id", "left").groupBy("id").agg(F.count(F.lit(1)).alias("inbound"), F.count("live").alias("live_inbound"))
     out = unreached.join(counts, "id", "left").na.fill(0, ["inbound", "live_inbound"])
     leaf = F.substring_index(F.substring_index("name", "#", -1), ".", -1)
     spoken_for = ~F.startswith(F.coalesce(leaf, F.lit("")), F.lit("_")) | leaf.isin(LIFECYCLE) | (F.col("kind") == "dart_constructor") | exprs.glob_match(F.coalesce("path", F.lit("")), list(public_globs))
@@ -88,4 +89,4 @@ def dead_code(nodes: DataFrame, edges: DataFrame, public_globs: tuple[str, ...]
 
 def impure(calls: DataFrame, facts: DataFrame) -> DataFrame:
     """(id, depth): what is impure itself (``facts.id``) or calls something impure."""
-    return bfs(calls.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).filter("src <> dst").distinct(), facts)
+    return bfs(calls.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).filter("src <> dst"), facts)

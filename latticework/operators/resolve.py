@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.functions.tables import counted, matching
+
 #: Definitions of a name beyond which it resolves to none module-wide; targets of a reference at most.
 MOST_FAN_IN, MOST_TARGETS = 32, 16
 
@@ -114,7 +116,7 @@ def visible(nodes: DataFrame, edges: DataFrame, view: str) -> DataFrame:
     if view in ("overview", "code"):
         inner = edges.filter("kind = 'contains'").select(F.col("to_id").alias("id"))
         return nodes.filter(F.col("kind").isin("rust_module", "module")).select("id").join(inner, "id", "left_anti")
-    surface = nodes.filter(F.col("kind").isin("requirement", "business_candidate")).select("id")
-    out = edges.join(surface.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id"))
-    back = edges.join(surface.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id"))
-    return surface.unionAll(out).unionAll(back).distinct().join(nodes.select("id"), "id", "left_semi")
+    surface, n = counted(nodes.filter(F.col("kind").isin("requirement", "business_candidate")).select("id").distinct(), "surface")
+    step = lambda a, b: matching(edges.select(a, b), a, surface, n).select(F.col(b).alias("id"))
+    shown, n = counted(surface.unionAll(step("from_id", "to_id")).unionAll(step("to_id", "from_id")).distinct(), "shown")
+    return matching(nodes.select("id"), "id", shown, n).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import exprs, text
 from latticework.functions import kinds as K
-from latticework.functions.tables import keep
+from latticework.functions.tables import counted, keep, matching
 
 # What a match is worth.
 EXACT_ID, EXACT_NAME, PATH_SEGMENT, CONTENT_ALL, NAME_TOKEN, TEST_NAME, EVIDENCE, NEIGHBOUR, CONTENT_ANY, SUBSTRING = 100, 80, 60, 55, 50, 45, 30, 20, 15, 10
@@ -34,27 +34,30 @@ def structural(nodes: DataFrame, tokens: list[str], kinds: list[str] | None = No
     return n.select("id", "path", score.alias("score")).filter("score > 0")
 
 
-def with_content(hits: DataFrame, nodes: DataFrame, every: DataFrame, some: DataFrame) -> DataFrame:
-    """Scores plus what bodies add: those with all tokens, else those with some (columns id)."""
-    content = every.select("id", F.lit(CONTENT_ALL).alias("score")).unionAll(some.join(every, "id", "left_anti").select("id", F.lit(CONTENT_ANY).alias("score")))
-    content = content.join(nodes.select("id", "path"), "id").select("id", "path", "score")
+def with_content(hits: DataFrame, bodies: DataFrame, tokens: list[str]) -> DataFrame:
+    """Scores plus what bodies (id, path, body) add: those with all tokens, else those with some."""
+    found = F.size(F.array_intersect(text.fts_tokens(F.col("body")), F.array(*map(F.lit, tokens)).cast("array<string>")))
+    content = bodies.withColumn("found", found).filter("found > 0").select("id", "path", F.when(F.col("found") == len(tokens), CONTENT_ALL).otherwise(CONTENT_ANY).alias("score"))
     return hits.unionByName(content).groupBy("id").agg(F.max("path").alias("path"), F.sum("score").alias("score"))
 
 
 def ranked(hits: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
     """(id, score) of the best hits after boosts: a precise outgoing edge, a hit
     among the first neighbours; auxiliary and test paths count three quarters."""
-    hits = keep(hits, "hits")
+    hits, several = counted(hits, "hits")
     window = keep(hits.orderBy(F.col("score").desc(), "id").limit(max(limit, LEAST_WINDOW)), "window")
+    most = max(limit, LEAST_WINDOW)
     live = edges.filter(F.col("status") != "deprecated")
     tier = K.edge_tier(*[F.col(c) for c in ("kind", "source", "certainty", "status", "indexer")])
-    precise = live.filter(F.col("kind").isin(K.USAGE) & (tier == "high")).select(F.col("from_id").alias("id")).distinct().withColumn("evidence", F.lit(EVIDENCE))
+    # at most LEAST_WINDOW or limit ids ask
+    asks = lambda rows: matching(rows, "id", window.select("id"), most)
+    precise = asks(live.filter(F.col("kind").isin(K.USAGE) & (tier == "high")).select(F.col("from_id").alias("id"))).distinct().withColumn("evidence", F.lit(EVIDENCE))
     touching = live.filter(F.col("kind").isin(K.EXPANSION_KINDS))
-    near = touching.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")).unionAll(touching.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"))).filter("id <> other").distinct()
-    near = near.join(window.select("id"), "id", "left_semi")  # at most LEAST_WINDOW or limit ids ask
+    near = asks(touching.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"))).unionAll(asks(touching.select(F.col("to_id").alias("id"), F.col("from_id").alias("other")))).filter("id <> other").distinct()
     first = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("other"))).filter(F.col("n") <= NEIGHBOURS)
-    several = hits.limit(2).count() >= 2
-    linked = first.join(hits.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct().withColumn("linked", F.lit(NEIGHBOUR if several else 0))
+    first = keep(first.select("id", "other"), "neighbours")
+    met = matching(hits.select(F.col("id").alias("other")), "other", first.select(F.col("other").alias("id")).distinct(), most * NEIGHBOURS)
+    linked = first.join(met, "other", "left_semi").select("id").distinct().withColumn("linked", F.lit(NEIGHBOUR if several >= 2 else 0))
     out = window.join(precise, "id", "left").join(linked, "id", "left").na.fill(0, ["evidence", "linked"])
     score = (F.col("score") + F.col("evidence") + F.col("linked")).cast("bigint")
     path = F.coalesce("path", F.lit(""))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.tables import counted, keep
+from latticework.functions.tables import FEW, counted, keep, matching
 
 
 def adjacency(edges: DataFrame, kinds: list[str] | None = None, reverse: bool = False) -> DataFrame:
-    """(src, dst) of the edges of some kinds, each pair once, without self loops."""
+    """(src, dst) of the edges of some kinds, without self loops; a pair of several
+    edges comes several times: walks take what it leads to once."""
     rows = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
     a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    return rows.filter("from_id <> to_id").select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+    return rows.filter("from_id <> to_id").select(F.col(a).alias("src"), F.col(b).alias("dst"))
 
 
 def bfs(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
@@ -20,16 +21,22 @@ def bfs(pairs: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_no
     ``id``), with their least depth.
 
     ``max_nodes`` keeps the first ones by depth and id: no hop is made once there
-    are as many. Each hop joins the frontier with the adjacency and drops what has
-    been seen; the driver only learns how many nodes are new.
+    are as many. Each hop reads the pairs and shuffles those that start in the
+    frontier, so all hops together shuffle a pair once; what has been seen is read
+    but not shuffled for a small step. The driver only learns how many nodes are new.
     """
-    pairs = keep(pairs, "adjacency")
     seen, total = counted(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    frontier, depth = seen, 0
+    frontier, fresh, depth = seen, total, 0
     while (max_depth is None or depth < max_depth) and (max_nodes is None or total < max_nodes):
         depth += 1
-        step = frontier.join(pairs, frontier["id"] == pairs["src"]).select(F.col("dst").alias("id")).distinct()
-        step, fresh = counted(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        step = matching(pairs, "src", frontier, fresh).select(F.col("dst").alias("id")).distinct()
+        if total > FEW:
+            step, met = counted(step, "step")
+            known = matching(seen.select("id"), "id", step, met)
+            step = step.join(F.broadcast(known) if met <= FEW else known, "id", "left_anti")
+        else:
+            step = step.join(seen.select("id"), "id", "left_anti")
+        step, fresh = counted(step.withColumn("depth", F.lit(depth)), "frontier")
         if not fresh:
             break
         total += fresh
@@ -46,10 +53,10 @@ def closure(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def expand(edges: DataFrame, seeds: DataFrame, kinds: list[str], depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``depth`` hops in either direction, and the edges among them."""
-    both = adjacency(edges, kinds).unionAll(adjacency(edges, kinds, reverse=True)).distinct()
-    nodes = keep(bfs(both, seeds, depth), "subgraph")
+    both = adjacency(edges, kinds).unionAll(adjacency(edges, kinds, reverse=True))
+    nodes, n = counted(bfs(both, seeds, depth), "subgraph")
     ids = nodes.select("id")
-    inside = edges.filter(F.col("kind").isin(kinds)).join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    inside = matching(matching(edges.filter(F.col("kind").isin(kinds)), "from_id", ids, n), "to_id", ids, n)
     return nodes, inside
 
 
@@ -102,12 +109,13 @@ def claim(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     Only a node's best seed goes on at each hop: what a neighbour could hand over
     later is what is best for it by then, so a hub hands over one row an edge.
     """
-    pairs = keep(pairs, "adjacency")
     order = F.struct((-F.col("score")).alias("low"), "rank", "seed")
-    best = keep(seeds.select("id", F.col("id").alias("seed"), "score", "rank").select("id", order.alias("best")), "claims")
+    best, n = counted(seeds.select("id", F.col("id").alias("seed"), "score", "rank").select("id", order.alias("best")), "claims")
     fresh = best
     for _ in range(depth):
-        step = fresh.join(pairs, fresh["id"] == pairs["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("best").alias("best"))
+        # pairs that start in what is fresh, found without shuffling the others
+        near = matching(pairs, "src", fresh.select("id"), n)
+        step = near.join(F.broadcast(fresh) if n <= FEW else fresh, F.col("src") == fresh["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("best").alias("best"))
         new = step.join(best.withColumnRenamed("best", "old"), "id", "left").filter("old is null or best < old").select("id", "best")
         fresh, n = counted(new, "claims")
         if not n:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions import kinds as K
+from latticework.functions.tables import keep
 from latticework.operators import joins
 from latticework.operators.features import cluster_name
 from latticework.plans.registry import literals, query
@@ -106,9 +107,10 @@ def module_rollup(g: Graph) -> DataFrame:
     """What each top directory holds, stores to and depends on."""
     m = g.nodes.filter("path is not null").select("id", F.substring_index("path", "/", 1).alias("module"), "kind", "metadata_json")
     both = g.edges.select("from_id", "to_id", F.col("kind").alias("edge")).join(m.select(F.col("id").alias("from_id"), "module"), "from_id").join(m.select(F.col("id").alias("to_id"), F.col("module").alias("other")), "to_id")
-    # pairs first, so that what is counted is no larger than the modules and tables there are
-    needs = both.filter("module <> other").select("module", "other").distinct().groupBy("module").agg(F.count(F.lit(1)).alias("needs"))
-    stores = both.filter("edge = 'persists_to'").select("module", "to_id").distinct().groupBy("module").agg(F.count(F.lit(1)).alias("stores"))
+    # pairs first, in one pass, so that what is counted is no larger than the modules and tables there are
+    met = keep(both.select("module", "other", F.when(F.col("edge") == "persists_to", F.col("to_id")).alias("store")).distinct(), "modules")
+    needs = met.filter("module <> other").select("module", "other").distinct().groupBy("module").agg(F.count(F.lit(1)).alias("needs"))
+    stores = met.filter("store is not null").select("module", "store").distinct().groupBy("module").agg(F.count(F.lit(1)).alias("stores"))
     own = m.groupBy("module").agg(F.count(F.lit(1)).alias("symbols"), F.countDistinct("kind").alias("kinds"), F.count("metadata_json").alias("roles"))
     return own.join(stores, "module", "left").join(needs, "module", "left").na.fill(0, ["stores", "needs"])
 

@@ -195,13 +195,13 @@ def test_equal_ranges_and_points_make_no_pairs(spark):
     assert most_rows(out) <= 6000  # 9,000,000 pairs before
 
 
-def most_rows(frame) -> int:
-    """The most rows that a step of the frame's plan puts out."""
+def most_rows(frame, metric: str = "numOutputRows") -> int:
+    """The most rows that a step of the frame's plan puts out (or has of another metric)."""
     frame.collect()
     steps, most = [frame._jdf.queryExecution().executedPlan()], 0
     while steps:
         step = steps.pop()
-        found = step.metrics().get("numOutputRows")
+        found = step.metrics().get(metric)
         most = max(most, found.get().value() if found.isDefined() else 0)
         inner = step.children().toList()
         name = step.getClass().getSimpleName()
@@ -234,6 +234,59 @@ def test_graph_is_stored_by_kind(spark):
     assert g.edges.columns == g.sql(VIEWS["edges"]).columns and sorted(map(str, g.nodes.collect())) == sorted(map(str, g.sql(VIEWS["nodes"]).collect()))
 
 
+def test_edges_are_distinct_branch_by_branch(spark, tmp_path):
+    from latticework.sources.derived import LEAN_EDGES
+
+    odd = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_nationkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(800)
+        again = rows.limit(60)
+        again = again.unionAll(again.withColumn(odd[t], F.lit(None).cast(again.schema[odd[t]].dataType))) if t in odd else again
+        rows.unionAll(again).write.parquet(f"{tmp_path}/{t}.parquet")
+    g = Graph(spark, str(tmp_path))
+    want = g.sql(VIEWS["edges"])
+    assert g.edges.columns == want.columns and sorted(map(str, g.edges.collect())) == sorted(map(str, want.collect()))
+    # no distinct over whole rows: what is shuffled for the two large branches are keys
+    assert LEAN_EDGES.count("(SELECT DISTINCT l_orderkey") == 2 and "id" not in spark.read.parquet(g.edges.inputFiles()[0]).columns
+
+
+@pytest.mark.parametrize("few", [0, 2, 100_000])
+def test_walks_find_the_same_by_bitmap(spark, monkeypatch, few):
+    from latticework.functions import tables
+
+    monkeypatch.setattr(tables, "FEW", few)
+    monkeypatch.setattr(T, "FEW", few)
+    draw = random.Random(9)
+    pairs = {(draw.randrange(60), draw.randrange(60)) for _ in range(90)}
+    depth, ring = {0: 0, 1: 0}, {0, 1}
+    while ring:
+        ring = {b for a, b in pairs if a in ring} - set(depth)
+        depth |= {b: max(depth.values()) + 1 for b in ring}
+    frame = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in [*pairs, *pairs]], "src string, dst string")
+    got = T.bfs(frame, spark.createDataFrame([("n0",), ("n1",)], "id string"))
+    assert sorted((r.id, r.depth) for r in got.collect()) == sorted((f"n{a}", d) for a, d in depth.items())
+
+
+def test_matching_shuffles_little_more_than_what_matches(spark, monkeypatch):
+    from latticework.functions import tables
+
+    monkeypatch.setattr(tables, "FEW", 0)
+    monkeypatch.setitem(tables.__dict__, "LEAST_BITS", 1 << 16)
+    rows = spark.range(20000).selectExpr("concat('n', id) as a", "id as b")
+    ids = spark.range(0, 20000, 50).selectExpr("concat('n', id) as id")
+    found = tables.matching(rows, "a", ids, 400)
+    assert sorted(r.b for r in found.collect()) == list(range(0, 20000, 50))
+    assert most_rows(found, "shuffleRecordsWritten") < 2000
+
+
+def test_broken_links_do_not_shuffle_edges(spark):
+    edges = spark.range(5000).selectExpr("concat('e', id) as id", "concat('n', id % 3) as from_id", "concat('n', id % 4) as to_id")
+    nodes = spark.createDataFrame([("n0",), ("n1",)], "id string")
+    out = joins.dangling(edges, nodes)
+    want = sorted([(f"e{i}", "from") for i in range(5000) if i % 3 == 2] + [(f"e{i}", "to") for i in range(5000) if i % 4 > 1])
+    assert sorted(map(tuple, out.collect())) == want and most_rows(out, "shuffleRecordsWritten") < 100
+
+
 def test_diff_coverage_and_store(spark):
     base = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", None, 3)], "id string, kind string, n int")
     head = spark.createDataFrame([("a", "y", 1), ("b", "x", 2), ("c", None, 4), ("d", "x", 5)], "id string, kind string, n int")
