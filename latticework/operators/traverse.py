@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.tables import FEW, counted, keep, matching
+from latticework.operators import contract
 
 
 def adjacency(edges: DataFrame, kinds: list[str] | None = None, reverse: bool = False) -> DataFrame:
@@ -86,20 +87,30 @@ def ancestors(edges: DataFrame, seeds: DataFrame, hops: int = 17) -> DataFrame:
     return every if every is not None else at
 
 
+def _number(c: str) -> Column:
+    return F.xxhash64(c)
+
+
 def label_components(pairs: DataFrame) -> DataFrame:
-    """(id, root): the smallest id of each component, by repeated minima over
-    neighbours and over the neighbours' roots (pointer jumping)."""
-    both = keep(pairs.select("src", "dst").unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
-    roots = keep(both.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")), "roots")
-    while True:
-        near = both.join(roots.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("near"))
-        new = roots.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("low"))
-        jump = new.alias("a").join(roots.alias("b"), F.col("a.low") == F.col("b.id")).select("a.id", "a.old", F.least("a.low", "b.root").alias("root"))
-        # roots that have moved are counted as the round is written
-        jump, moved = counted(jump.select("id", "root", (F.col("old") != F.col("root")).alias("moved")), "roots", F.count_if("moved"))
-        roots = jump.select("id", "root")
-        if not moved:
-            return roots
+    """(id, root): the smallest id of each component.
+
+    Ids are contracted by numbers, their hashes; should two ids share one (that is
+    looked up), by numbers that are given out instead.
+    """
+    pairs = pairs.select("src", "dst")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).filter("id is not null").distinct()
+    ids, n = counted(ends.select("id", _number("id").alias("node")), "ids")
+    links = pairs.filter("src is not null and dst is not null")
+    if ids.agg(F.count_distinct("node")).first()[0] == n:
+        links = links.select(_number("src").alias("u"), _number("dst").alias("v"))
+    else:
+        ids = keep(ids.select("id", F.monotonically_increasing_id().alias("node")), "ids")
+        to = lambda c, a: ids.select(F.col("id").alias(c), F.col("node").alias(a))
+        links = links.join(to("src", "u"), "src").join(to("dst", "v"), "dst").select("u", "v")
+    at = ids.join(contract.roots(links), "node", "left").select("id", F.coalesce("root", "node").alias("node"))
+    at = keep(at, "labels")
+    first, n = counted(at.groupBy("node").agg(F.min("id").alias("root")), "firsts")
+    return at.join(F.broadcast(first) if n <= FEW else first, "node").select("id", "root")
 
 
 def claim(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
