@@ -54,6 +54,21 @@ def test_label_components(spark):
     assert got == up
 
 
+@pytest.mark.parametrize("chunk,clash", [(4, False), (4, True), (1 << 20, False)])
+def test_components_in_few_rounds(spark, monkeypatch, chunk, clash):
+    from latticework.operators import contract
+
+    rounds, counted = [], contract.counted
+    monkeypatch.setattr(contract, "CHUNK", chunk)
+    monkeypatch.setattr(contract, "counted", lambda *a: rounds.append(1) or counted(*a))
+    if clash:
+        monkeypatch.setattr(T, "_number", lambda c: F.pmod(F.xxhash64(c), F.lit(50)))
+    # a chain of 300 in the order of its ids, a star, a loop: the chain took as many rounds as its logarithm, each over all ids
+    pairs = [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(300)] + [(f"b{i}", "b9") for i in range(9)] + [("c", "c")]
+    got = {r.id: r.root for r in T.label_components(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert got == {x: {"a": "a000", "b": "b0", "c": "c"}[x[0]] for p in pairs for x in p} and len(rounds) <= (20 if chunk == 4 else 1)
+
+
 def test_call_components_take_every_call(spark):
     edges = Graph(spark, FOLDER).edges.filter("kind = 'calls'").select("from_id", "to_id").collect()
     up = {n: n for e in edges if e.from_id != e.to_id for n in e}
@@ -383,6 +398,22 @@ def test_communities_of_components(spark):
     assert len(set(parts)) > len(set(communities.louvain(90, ring)))
 
 
+def test_neighbour_lists_in_pieces(monkeypatch):
+    import numpy as np
+
+    draw = random.Random(12)
+    edges = [(draw.randrange(50), draw.randrange(50), draw.choice([1.0, 2.0, 0.1])) for _ in range(260)]
+    want = _moves(50, edges), communities.refined(50, edges, 6, sum(w for *_, w in edges))
+    rows = sorted([(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges if a != b] + [(i, i, 0.0) for i in range(50)])
+    cut = lambda i: tuple(np.array(x, t) for x, t in zip(zip(*rows[i : i + 7]), (np.int32, np.int32, np.float64)))
+    monkeypatch.setattr(communities, "AT_ONCE", 16)
+    level = communities._level_of_rows([cut(i) for i in range(0, len(rows), 7)])
+    # small integers take 4 bytes; nothing of the size of the graph is made of Python's numbers
+    assert communities._small(np.array([1.0, 2.0])).dtype == np.float32 and communities._small(np.array([0.1])).dtype == np.float64
+    assert communities._louvain(level).tolist() == want[0] and level.near.dtype == np.int32
+    assert communities._refined(level, 6, sum(w for *_, w in edges)).tolist() == want[1]
+
+
 def test_entries_by_path_and_by_base(spark):
     n = spark.createDataFrame(
         [("v", "swift_class", "a.swift", "MyView", '{"inherits":["BaseView"]}'), ("b", "swift_class", "a.swift", "BaseView", '{"inherits":["UIView"]}'), ("m", "swift_method", "a.swift", "draw", None), ("o", "swift_class", "b.swift", "Other", '{"inherits":["Codable"]}'), ("p", "python_function", "run.py", "_go", None), ("q", "python_function", "x.py", "_idle", None), ("r", "python_function", "x.py", "shown", None)],
