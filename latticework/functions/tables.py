@@ -23,6 +23,12 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{folder.rstrip('/')}/latticework-{tag}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, by a key: what reads few bytes may be one task, whatever
+    is then made of its rows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def write_parts(df: DataFrame, path: str, part: str) -> None:
     """Write ``df`` partitioned by a column of few values; no task sorts its rows for that."""
     conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"

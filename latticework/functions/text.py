@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.exprs import ascii_lower
+from latticework.functions.tables import keep
 
 #: Ranges of ideographs, kana and hangul that are cut into bigrams.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}"
@@ -52,11 +53,19 @@ def tokenise_code(raw: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(said, named, steps), lambda t: F.octet_length(t) >= 2))
 
 
+#: A part of an ASCII identifier: no upper-case letter follows a lower-case one in it. All
+#: repeats are possessive, so that a long one takes no stack.
+_PART = r"(?=[A-Za-z0-9])[A-Z0-9]*+(?:[a-z]++[0-9]++[A-Z0-9]*+)*+[a-z]*+"
+
+
 def fts_tokens(body: Column) -> Column:
     """Index tokens: ASCII identifiers split into parts, CJK runs as bigrams
     (one alone stays); every other character separates."""
-    runs = F.regexp_extract_all(body, F.lit(rf"[A-Za-z0-9_]+|[{CJK}]+"), F.lit(0))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9_]"), split_identifier(r)).otherwise(_bigrams(r))))
+    parts = F.filter(F.regexp_extract_all(body, F.lit(rf"{_PART}|[{CJK}]++"), F.lit(0)), lambda p: F.octet_length(p) >= 2)
+    # one call lowers them all
+    low = F.when(F.size(parts) > 0, F.split(F.lower(F.array_join(parts, " ")), " ", -1)).when(parts.isNotNull(), F.array().cast("array<string>"))
+    pairs = F.flatten(F.transform(low, lambda r: F.when(r.rlike("^[a-z0-9]"), F.array(r)).otherwise(_bigrams(r))))
+    return F.when(body.rlike(f"[{CJK}]"), pairs).otherwise(low)
 
 
 def query_tokens(raw: Column) -> Column:
@@ -80,6 +89,19 @@ def postings(bodies: DataFrame, id_col: str, body_col: str) -> DataFrame:
     return counted.select("id", "token", "tf", "length", "head", part_of(F.col("token")).alias("part"))
 
 
+def asked(bodies: DataFrame, id_col: str, body_col: str, tokens: list[str]) -> tuple[DataFrame, int, float]:
+    """Postings of some tokens alone, the number of bodies and their mean length, from
+    one reading of the bodies: no token but these becomes a row."""
+    count = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
+    one = bodies.select(F.col(id_col).alias("id"), fts_tokens(F.col(body_col)).alias("tokens")).filter(F.size("tokens") > 0)
+    one = one.select("id", F.size("tokens").alias("length"), *[count(t).alias(f"n{i}") for i, t in enumerate(tokens)])
+    held = keep(one.groupBy("id").agg(*[F.sum(c).alias(c) for c in one.columns[1:]]), "asked")
+    n, total = held.agg(F.count(F.lit(1)), F.sum("length")).first()
+    every = F.array(*[F.struct(F.lit(t).alias("token"), F.col(f"n{i}").alias("tf")) for i, t in enumerate(tokens)])
+    found = held.select("id", "length", F.inline(every)).filter("tf > 0")
+    return found.withColumn("part", part_of(F.col("token"))), n, (total / n if n else 1.0)
+
+
 def sizes(index: DataFrame) -> tuple[int, float]:
     """Bodies of an index and their mean length, from counts that add up."""
     n, total = index.agg(F.count_if("head"), F.sum("tf")).first()

@@ -50,6 +50,32 @@ def test_lexers_are_total(body):
     assert 0 <= lexers.simhash(tokens) < 1 << 64 and lexers.token_hash(tokens) == lexers.token_hash(list(tokens))
 
 
+def test_index_tokens_of_long_and_odd_bodies(spark):
+    def parts(run):
+        return [p.lower() for p in re.sub("(?<=[a-z])(?=[A-Z])|_", " ", run).split() if len(p) >= 2]
+
+    draw = random.Random(5)
+    bodies = ["".join(draw.choices("abzAZ09_ .-é中", k=60)) for _ in range(80)] + ["aB1cD2" * 20000, "a1" * 40000, "", None, "中", "中文字 a中文b"]
+    got = {r.i: r.t for r in spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", text.fts_tokens(F.col("b")).alias("t")).collect()}
+    for i, b in enumerate(bodies):
+        runs = re.findall("[A-Za-z0-9_]+|[\u4e00-\u9fff]+", b or "")
+        want = [t for r in runs for t in (parts(r) if r[0] < "\u4e00" else [r[j : j + 2] for j in range(max(len(r) - 1, 1))])]
+        assert got[i] == (None if b is None else want), b
+
+
+def test_asked_postings_are_those_of_the_index(spark):
+    docs = spark.createDataFrame([(1, "the fooBar the"), (2, "foo the"), (2, "bar foo"), (3, "x"), (4, None), (5, "license bar")], "d long, b string")
+    index, n, mean = text.asked(docs, "d", "b", ["the", "foo", "none"])
+    assert {(r.id, r.token, r.tf, r.length) for r in index.collect()} == {(1, "the", 2, 4), (1, "foo", 1, 4), (2, "foo", 2, 4), (2, "the", 1, 4)}
+    assert (n, mean) == (3, 10 / 3)
+
+
+def test_bodies_alike_are_hashed_once(spark):
+    lexers.marks_of.cache_clear()
+    rows = [lexers.marks_of(tuple(lexers.normalise(f"def f{i}(x):\n  return {i}"))) for i in range(50)]
+    assert len(set(rows)) == 1 and lexers.marks_of.cache_info().misses == 1
+
+
 def test_normaliser():
     a = lexers.normalise("def f(x):  # note\n  return g('a', 10) + x.y")
     b = lexers.normalise('def other(zz):\n  return h("longer", 0xFF) + q.r')
