@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions import lexers
+from latticework.functions.tables import dealt, keep
 from latticework.operators import facts as A
 from latticework.operators import resolve as R
 from latticework.operators import similar
@@ -113,7 +114,7 @@ def _varied(g: Graph) -> DataFrame:
         line(k % 7 == 0, "  try:\n    g()\n  except E:\n    pass\n"), line(k % 4 == 1, "  z = x == None\n"), line(k % 11 == 0, "  await h()\n"),
         line(size % 9 == 0, "  print(x)\n"), line(size % 9 == 1, "  setState(x)\n"), line(size % 9 == 2, "  t = Date.now\n"), line(size % 9 == 3, "  r = random\n"), line(size % 9 == 4, "  global q\n"), F.lit("  return x\n"),
     ]
-    return g.table("part").select(k.alias("id"), F.concat(*parts).alias("body"))
+    return dealt(g.table("part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), F.concat(*parts).alias("body"))
 
 
 _FACTS = """f AS (SELECT p_partkey AS id, CAST(p_size % 2 = 0 AS INT) AS branches, 2 * CAST(p_partkey % 3 = 0 AS INT) AS loops, 1 AS early_returns, CAST(p_partkey % 5 = 0 AS INT) AS throws, CAST(p_partkey % 7 = 0 AS INT) AS catches, CAST(p_partkey % 4 = 1 AS INT) AS null_checks, CAST(p_partkey % 11 = 0 AS INT) AS awaits,
@@ -137,8 +138,8 @@ def suggested_tests(g: Graph) -> DataFrame:
 @query("similarity_clusters")
 def similarity_clusters(g: Graph) -> DataFrame:
     """Clusters of near duplicate bodies: size, upper median of tokens, least likeness (hashes that SQL does not have)."""
-    marks = _varied(g).select("id", lexers.fingerprint("body").alias("f")).select("id", "f.*")
-    return similar.cluster_stats(marks, similar.near_clusters(marks))
+    marks = keep(_varied(g).select("id", lexers.fingerprint("body").alias("f")).select("id", "f.*"), "marks")
+    return similar.cluster_stats(marks, keep(similar.near_clusters(marks), "clusters"))
 
 
 @query("similarity_report")
